@@ -57,6 +57,7 @@ class LoopState:
         self.spark = spark
         self.root = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame) -> tuple[DataFrame, int]:
         """Write ``df``; return the stored table and its row count."""
@@ -64,9 +65,10 @@ class LoopState:
         path = f"{self.root}/{self._n:05d}"
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(stored)] = (stored, path)
+        return stored, int(seen.get["n"])
 
     def union_of(self, tables: list[DataFrame]) -> DataFrame:
-        """One scan over several stored tables of the same schema."""
-        paths = [p for t in tables for p in t.inputFiles()]
-        return self.spark.read.schema(tables[0].schema).parquet(*paths)
+        """One scan over several tables saved here with the same schema."""
+        return self.spark.read.schema(tables[0].schema).parquet(*(self._paths[id(t)][1] for t in tables))

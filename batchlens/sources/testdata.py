@@ -189,6 +189,41 @@ FIXTURES: dict[str, str] = {
         JOIN (SELECT 'TASKLET' AS kind, 'tasklet' AS role, 0 AS off UNION ALL SELECT 'CHUNK', 'reader', 0
               UNION ALL SELECT 'CHUNK', 'processor', 1 UNION ALL SELECT 'CHUNK', 'writer', 2) b ON b.kind = s.step_kind
         JOIN {{java_class}} c ON c.class_key = (s.class_key + b.off) % {_C}""",
+    # ---- job-internal flow: steps, one decision and one block per job ---------
+    "flow_node": """
+        SELECT id, 'Step' AS label, name, job_id, step_kind, cast(NULL AS varchar(10)) AS block_type FROM {step}
+        UNION ALL SELECT 'DEC_' || job_key, 'Decision', 'decide ' || job_key, id, NULL, NULL FROM {job}
+        UNION ALL SELECT 'BLK_' || job_key, 'Block', 'block ' || job_key, id, NULL, 'PARALLEL' FROM {job}""",
+    "flow_edge": """
+        SELECT id AS job_id, 'STEP_' || job_key || '_0' AS src_id, 'DEC_' || job_key AS dst_id, cast(NULL AS varchar(10)) AS on_status FROM {job}
+        UNION ALL SELECT id, 'DEC_' || job_key, 'STEP_' || job_key || '_1', 'COMPLETED' FROM {job}
+        UNION ALL SELECT id, 'DEC_' || job_key, 'BLK_' || job_key, 'FAILED' FROM {job}
+        UNION ALL SELECT id, 'BLK_' || job_key, 'STEP_' || job_key || '_2', NULL FROM {job} WHERE type = 'dynamic_job'
+        UNION ALL SELECT id, 'STEP_' || job_key || '_1', 'STEP_' || job_key || '_2', NULL FROM {job}""",
+    "job_entry": "SELECT id AS job_id, 'STEP_' || job_key || '_0' AS node_id FROM {job}",
+    # ---- one node list and one edge list over all labels ---------------------
+    "node_view": """
+        SELECT 'JobGroup' AS label, id, name, description, cast(NULL AS varchar(40)) AS type, enabled, cast(NULL AS varchar(20)) AS status FROM {job_group}
+        UNION ALL SELECT 'Job', id, name, NULL, type, enabled, NULL FROM {job}
+        UNION ALL SELECT 'ScheduleInstanceContext', id, name, NULL, NULL, enabled, NULL FROM {sic}
+        UNION ALL SELECT 'Resource', id, name, NULL, type, enabled, NULL FROM {resource}
+        UNION ALL SELECT 'SLA', sla_id, sla_name, NULL, sla_type, enabled, NULL FROM {sla}
+        UNION ALL SELECT 'Tag', id, name, description, NULL, NULL, NULL FROM {tag}
+        UNION ALL SELECT 'JobGroupExecution', id, NULL, NULL, NULL, NULL, NULL FROM {jge}
+        UNION ALL SELECT 'JobContextExecution', id, NULL, NULL, NULL, NULL, status FROM {jce}""",
+    "edge_view": """
+        SELECT 'FOR_GROUP' AS type, 'ScheduleInstanceContext' AS src_label, id AS src_id, 'JobGroup' AS dst_label, job_group_id AS dst_id FROM {sic}
+        UNION ALL SELECT 'FOR_JOB', 'ScheduleInstanceContext', id, 'Job', job_id FROM {sic}
+        UNION ALL SELECT 'HAS_JOB', 'JobGroup', job_group_id, 'Job', job_id FROM {has_job}
+        UNION ALL SELECT 'PRECEDES', 'ScheduleInstanceContext', src_id, 'ScheduleInstanceContext', dst_id FROM {sic_precedes}
+        UNION ALL SELECT 'PRECEDES', 'JobGroup', src_id, 'JobGroup', dst_id FROM {group_precedes}
+        UNION ALL SELECT 'ENTRY', 'JobGroup', job_group_id, 'ScheduleInstanceContext', sic_id FROM {entry}
+        UNION ALL SELECT 'HAS_SLA', CASE owner_type WHEN 'SIC' THEN 'ScheduleInstanceContext' ELSE 'JobGroup' END, owner_id, 'SLA', sla_id FROM {sla}
+        UNION ALL SELECT 'REQUIRE_RESOURCE', CASE owner_type WHEN 'SIC' THEN 'ScheduleInstanceContext' WHEN 'JOB' THEN 'Job' ELSE 'JobGroup' END, owner_id, 'Resource', resource_id FROM {require_resource}
+        UNION ALL SELECT 'HAS_TAG', CASE owner_type WHEN 'RESOURCE' THEN 'Resource' WHEN 'JOB' THEN 'Job' ELSE 'JobGroup' END, owner_id, 'Tag', tag_id FROM {has_tag}
+        UNION ALL SELECT 'EXECUTES_JOB_GROUP', 'JobGroupExecution', id, 'JobGroup', job_group_id FROM {jge}
+        UNION ALL SELECT 'EXECUTES_JOB_CONTEXT', 'JobGroupExecution', jge_id, 'JobContextExecution', id FROM {jce}
+        UNION ALL SELECT 'EXECUTES_CONTEXT', 'JobContextExecution', id, 'ScheduleInstanceContext', sic_id FROM {jce}""",
 }
 
 

@@ -73,7 +73,7 @@ def path_edges(edges: DataFrame, reach: DataFrame, max_hops: int, keys: Sequence
     """Edges on a path of at most ``max_hops`` from each traversal's roots."""
     near = reach.where(F.col("distance") < max_hops).select(*keys, "node")
     end = "src_id" if direction == "down" else "dst_id"
-    return near.withColumnRenamed("node", end).join(edges, end).select(*keys, "src_id", "dst_id").distinct()
+    return near.withColumnRenamed("node", end).join(edges.select("src_id", "dst_id"), end).select(*keys, "src_id", "dst_id").distinct()
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = (), edge_keys: Sequence[str] = ()) -> DataFrame:

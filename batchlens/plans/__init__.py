@@ -21,4 +21,4 @@ def all_queries():
 
 def all_oracles():
     _load()
-    return dict(registry.ORACLES)
+    return {name: registry.with_ctes(*parts) for name, parts in registry.ORACLES.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchlens.sources.testdata import FIXTURES, Tables, duckdb_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, dict[str, str]]] = {}
 
 
 def query(name: str, oracle: str | None = None, ctes: dict[str, str] | None = None):
@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None, ctes: dict[str, str] | None = No
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = with_ctes(oracle, ctes or {})
+            ORACLES[name] = (oracle, ctes or {})
         return fn
 
     return wrap

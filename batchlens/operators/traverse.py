@@ -24,22 +24,27 @@ def flip(edges: DataFrame) -> DataFrame:
 
 def reachable(
     edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ("root",), min_hops: int = 0, max_hops: int | None = 50,
-    direction: str = "down", scope: DataFrame | None = None, edge_keys: Sequence[str] = (),
+    direction: str = "down", scope: DataFrame | None = None, edge_keys: Sequence[str] = (), scope_keys: Sequence[str] = (),
 ) -> DataFrame:
     """(keys, node, distance): fewest hops from each traversal's roots.
 
     ``roots`` has the keys and ``node``.  With ``min_hops=1`` a root itself
     appears only when a cycle leads back to it.  ``scope`` (column ``node``)
-    must hold every node of a path.  ``max_hops=None`` runs to exhaustion.
+    must hold every node of a path; with ``scope_keys`` it differs per
+    traversal.  ``max_hops=None`` runs to exhaustion.
     """
     state = LoopState(roots.sparkSession, "reach")
     keys, edge_keys = list(keys), list(edge_keys)
     links = flip(edges) if direction == "up" else edges
     links = links.select(*edge_keys, "src_id", "dst_id")
     start = roots.select(*keys, "node")
+    inside = None
     if scope is not None:
-        inside = scope.select("node")
-        start = start.join(inside, "node", "left_semi")
+        inside = scope.select(*scope_keys, "node").distinct()
+        start = start.join(inside, [*scope_keys, "node"], "left_semi")
+    if scope_keys:
+        inside, _ = state.save(inside)
+    elif scope is not None:
         links = links.join(inside.withColumnRenamed("node", "src_id"), "src_id", "left_semi")
         links = links.join(inside.withColumnRenamed("node", "dst_id"), "dst_id", "left_semi")
     links, _ = state.save(links.distinct())
@@ -53,6 +58,8 @@ def reachable(
             .join(links, [*edge_keys, "src_id"])
             .select(*keys, F.col("dst_id").alias("node")).distinct()
         )
+        if scope_keys:
+            step = step.join(inside, [*scope_keys, "node"], "left_semi")
         if seen:
             step = step.join(state.union_of(seen).drop("distance"), [*keys, "node"], "left_anti")
         frontier, grown = state.save(step.select(*keys, "node", F.lit(depth).alias("distance")))

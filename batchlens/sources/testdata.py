@@ -201,6 +201,13 @@ FIXTURES: dict[str, str] = {
         UNION ALL SELECT id, 'BLK_' || job_key, 'STEP_' || job_key || '_2', NULL FROM {job} WHERE type = 'dynamic_job'
         UNION ALL SELECT id, 'STEP_' || job_key || '_1', 'STEP_' || job_key || '_2', NULL FROM {job}""",
     "job_entry": "SELECT id AS job_id, 'STEP_' || job_key || '_0' AS node_id FROM {job}",
+    # ---- what-if scenarios: every context, job, group and resource ------------
+    "scenario": """
+        SELECT 'SC_' || id AS scenario_id, 'sic' AS source_type, id AS source_id,
+               CASE sic_key % 3 WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE 90 END AS delay_minutes, DATE '2024-01-31' AS business_date FROM {sic}
+        UNION ALL SELECT 'SC_' || id, 'JOB', name, 45, DATE '2024-01-31' FROM {job}
+        UNION ALL SELECT 'SC_' || id, 'Job-Group', name, 120, DATE '2024-01-31' FROM {job_group}
+        UNION ALL SELECT 'SC_' || id, ' resource', name, 30, DATE '2024-01-31' FROM {resource}""",
     # ---- one node list and one edge list over all labels ---------------------
     "node_view": """
         SELECT 'JobGroup' AS label, id, name, description, cast(NULL AS varchar(40)) AS type, enabled, cast(NULL AS varchar(20)) AS status FROM {job_group}

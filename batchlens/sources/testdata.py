@@ -79,7 +79,7 @@ FIXTURES: dict[str, str] = {
         FROM {job_group} WHERE group_key % 4 < 2""",
     "resource": """
         SELECT 'RES_' || p_partkey AS id, upper(replace(p_name, ' ', '_')) || '_' || p_partkey AS name,
-               CASE p_partkey % 4 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'FILE' WHEN 2 THEN 'SHELL_SCRIPT' ELSE 'PROCEDURE' END AS type,
+               CASE p_partkey % 5 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'FILE' WHEN 2 THEN 'SHELL_SCRIPT' WHEN 3 THEN 'PROCEDURE' ELSE 'SQL_SCRIPT' END AS type,
                'S' || (p_partkey % 3) AS schema_name, p_brand AS brand, true AS enabled, p_partkey AS resource_key
         FROM {part}""",
     "require_resource": f"""
@@ -189,6 +189,19 @@ FIXTURES: dict[str, str] = {
         JOIN (SELECT 'TASKLET' AS kind, 'tasklet' AS role, 0 AS off UNION ALL SELECT 'CHUNK', 'reader', 0
               UNION ALL SELECT 'CHUNK', 'processor', 1 UNION ALL SELECT 'CHUNK', 'writer', 2) b ON b.kind = s.step_kind
         JOIN {{java_class}} c ON c.class_key = (s.class_key + b.off) % {_C}""",
+    "implements_ref": f"""
+        SELECT c.fqn AS class_fqn, r.ref FROM {{java_class}} c JOIN (
+            SELECT x.class_key, y.fqn AS ref FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = 7 * (x.class_key % ({_C} @idiv@ 7)) + 3 WHERE x.class_key % 3 = 1
+            UNION ALL SELECT class_key, 'Missing' || (class_key % 10) FROM {{java_class}} WHERE class_key % 3 = 2
+            UNION ALL SELECT x.class_key, y.name FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key + 20 WHERE x.class_key % 3 = 1
+        ) r ON r.class_key = c.class_key WHERE NOT c.is_interface""",
+    "step_op": """
+        SELECT DISTINCT s.step_id, d.operation_type || ':' || d.table_name || ':' || d.confidence AS op
+        FROM {step_class} s JOIN {java_method} m ON m.class_fqn = s.class_fqn JOIN {db_operation} d ON d.method_fqn = m.fqn""",
+    "step_resource": f"""
+        SELECT id AS step_id, 'RES_' || ((job_key * 3 + step_order) % {_R}) AS resource_id FROM {{step}}""",
+    "script_sql": "SELECT 'RES_' || resource_key AS script_id, 'RES_' || (resource_key + 2) AS sql_id FROM {resource} WHERE type = 'SHELL_SCRIPT'",
+    "listener": "SELECT 'LSN_' || job_key AS id, id AS job_id, 'jobListener' || (job_key % 3) AS bean, 'JOB' AS scope FROM {job}",
     # ---- job-internal flow: steps, one decision and one block per job ---------
     "flow_node": """
         SELECT id, 'Step' AS label, name, job_id, step_kind, cast(NULL AS varchar(10)) AS block_type FROM {step}

@@ -188,10 +188,10 @@ FIXTURES: dict[str, str] = {
         FROM {{step}} s
         JOIN (SELECT 'TASKLET' AS kind, 'tasklet' AS role, 0 AS off UNION ALL SELECT 'CHUNK', 'reader', 0
               UNION ALL SELECT 'CHUNK', 'processor', 1 UNION ALL SELECT 'CHUNK', 'writer', 2) b ON b.kind = s.step_kind
-        JOIN {{java_class}} c ON c.class_key = (s.class_key + b.off) % {_C}""",
+        JOIN {{java_class}} c ON c.class_key = s.class_key + b.off""",
     "implements_ref": f"""
         SELECT c.fqn AS class_fqn, r.ref FROM {{java_class}} c JOIN (
-            SELECT x.class_key, y.fqn AS ref FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = 7 * (x.class_key % ({_C} @idiv@ 7)) + 3 WHERE x.class_key % 3 = 1
+            SELECT x.class_key, y.fqn AS ref FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key - x.class_key % 7 + 3 WHERE x.class_key % 3 = 1
             UNION ALL SELECT class_key, 'Missing' || (class_key % 10) FROM {{java_class}} WHERE class_key % 3 = 2
             UNION ALL SELECT x.class_key, y.name FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key + 20 WHERE x.class_key % 3 = 1
         ) r ON r.class_key = c.class_key WHERE NOT c.is_interface""",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from batchlens.sources import sheets  # noqa: F401  (adds derived tables)
 from batchlens.sources.testdata import FIXTURES, Tables, duckdb_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -191,9 +191,9 @@ FIXTURES: dict[str, str] = {
         JOIN {{java_class}} c ON c.class_key = s.class_key + b.off""",
     "implements_ref": f"""
         SELECT c.fqn AS class_fqn, r.ref FROM {{java_class}} c JOIN (
-            SELECT x.class_key, y.fqn AS ref FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key - x.class_key % 7 + 3 WHERE x.class_key % 3 = 1
+            SELECT x.class_key, y.fqn AS ref FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key - x.class_key % 14 + 3 WHERE x.class_key % 3 = 1
             UNION ALL SELECT class_key, 'Missing' || (class_key % 10) FROM {{java_class}} WHERE class_key % 3 = 2
-            UNION ALL SELECT x.class_key, y.name FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key + 20 WHERE x.class_key % 3 = 1
+            UNION ALL SELECT x.class_key, CASE WHEN x.class_key % 2 = 0 THEN y.fqn ELSE y.name END FROM {{java_class}} x JOIN {{java_class}} y ON y.class_key = x.class_key + 20 WHERE x.class_key % 3 = 1
         ) r ON r.class_key = c.class_key WHERE NOT c.is_interface""",
     "step_op": """
         SELECT DISTINCT s.step_id, d.operation_type || ':' || d.table_name || ':' || d.confidence AS op
@@ -280,6 +280,8 @@ class Tables:
                 if field.dataType.typeName() == "timestamp_ntz":
                     df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
             return df
+        if name not in FIXTURES:
+            raise AttributeError(name)
         return self.sql(FIXTURES[name])
 
     def sql(self, text: str) -> DataFrame:

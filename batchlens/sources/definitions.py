@@ -23,7 +23,7 @@ def blank_to_null(c: str | Column) -> Column:
 def split_list(c: str | Column) -> Column:
     """Comma list to trimmed, non-empty items."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.transform(F.split(col, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truthy(c: str) -> Column:
@@ -104,7 +104,7 @@ class Successors(NamedTuple):
 def context_successors(df: DataFrame, groups: DataFrame) -> Successors:
     """Edges of SIMPLE (one) and PARALLEL (list) rows; entries of start rows that lead somewhere."""
     ids = df.select(F.col("id").alias("dst_id")).distinct()
-    targets = F.when(F.col("block") == "PARALLEL", F.transform(F.split("successor", ","), F.trim)).when(F.col("block") == "SIMPLE", F.array("successor"))
+    targets = F.when(F.col("block") == "PARALLEL", F.transform(F.split("successor", ","), lambda x: F.trim(x))).when(F.col("block") == "SIMPLE", F.array("successor"))
     edges = (
         df.where(F.col("successor").isNotNull()).select(F.col("id").alias("src_id"), "start", "jobGroupId", F.explode(targets).alias("dst_id"))
         .join(ids, "dst_id", "left_semi")

@@ -89,3 +89,59 @@ FIXTURES.update({
                l_orderkey * 100000 + l_partkey AS seq FROM {lineitem}""",
     "bean": "SELECT 'bean_' || class_key AS bean_id, fqn AS bean_class FROM {java_class} WHERE NOT is_interface",
 })
+
+FIXTURES.update({
+    # text of every method: eight kinds of body by key, with comments and blank lines
+    "method_source": """
+        SELECT m.fqn, m.class_fqn, m.name, m.method_key, m.method_key % 8 AS kind,
+               CASE m.method_key % 6 WHEN 0 THEN 'List<Integer>' WHEN 1 THEN 'com.acme.OrderItemEntity' WHEN 2 THEN 'void' WHEN 3 THEN 'TradeLeg' WHEN 4 THEN 'java.util.Map<String, X>' ELSE 'CustRow' END AS return_type,
+               '// note' || chr(10) || chr(10) || '/* long' || chr(10) || ' text */' || chr(10) || 'begin();' || chr(10) ||
+               CASE m.method_key % 8
+                   WHEN 0 THEN 'return jdbcTemplate.query("SELECT a, b FROM s' || (m.method_key % 3) || '.tab' || (m.method_key % 40) || ' t1, other' || (m.method_key % 5) || ' o JOIN x.y.deep' || (m.method_key % 4) || ' d ON d.k = o.k WHERE t1.x = 1", rm);'
+                   WHEN 1 THEN 'jdbcTemplate.update("INSERT INTO s.t' || (m.method_key % 20) || ' values (1)" + "x");'
+                   WHEN 2 THEN 'SimpleJdbcCall c = new SimpleJdbcCall(ds).withSchemaName("S1").withProcedureName("P' || (m.method_key % 30) || '"); stmt.setString(1, "x"); oracle.Driver d;'
+                   WHEN 3 THEN 'CallableStatement cs = connection.prepareCall("{call sch.pkg.proc' || (m.method_key % 30) || '(?)}"); cs.setInt(1, v); cs.setInt(2, w);'
+                   WHEN 4 THEN 'Runtime.getRuntime().exec("/opt/run' || (m.method_key % 20) || '.sh");'
+                   WHEN 5 THEN 'new ProcessBuilder(dir + name); new SimpleJdbcCall(ds).withProcedureName(procName);'
+                   WHEN 6 THEN 'executor.execute(scriptPath); new ProcessBuilder("deploy.py");'
+                   ELSE 'jdbcTemplate.query(SqlConst.Q_' || (m.method_key % 10) || ', rm);' END || chr(10) || 'end();' AS source
+        FROM {java_method} m""",
+    "class_import": """
+        SELECT fqn AS class_fqn, CASE class_key % 4 WHEN 0 THEN 'java.sql.Connection' WHEN 1 THEN 'java.util.List' WHEN 2 THEN 'org.hibernate.Session' ELSE 'java.io.File' END AS import_name FROM {java_class}
+        UNION ALL SELECT fqn, 'org.apache.commons.exec.CommandLine' FROM {java_class} WHERE class_key % 5 = 0""",
+    "sql_constant": """
+        SELECT 'SqlConst' AS class_name, 'Q_' || s_suppkey AS constant_name, 'SELECT x FROM const_tab' || s_suppkey || ' WHERE y = 1' AS sql FROM {supplier}""",
+    "method_op": """
+        SELECT method_fqn, 'DB' AS kind, operation_type || ':' || table_name || ':' || confidence AS op FROM {db_operation}
+        UNION ALL SELECT fqn, 'PROC', 'S1:NONE:P' || (method_key % 30) || ':ORACLE:PROCEDURE:HIGH' FROM {method_source} WHERE kind = 2
+        UNION ALL SELECT fqn, 'PROC', 'UNKNOWN:NONE:DYNAMIC_PROCEDURE:UNKNOWN:PROCEDURE:LOW' FROM {method_source} WHERE kind = 5
+        UNION ALL SELECT fqn, 'SHELL', 'RUNTIME_EXEC:/opt/run' || (method_key % 20) || '.sh:HIGH' FROM {method_source} WHERE kind = 4
+        UNION ALL SELECT fqn, 'SHELL', 'PROCESS_BUILDER:DYNAMIC_PATH:LOW' FROM {method_source} WHERE kind = 5
+        UNION ALL SELECT fqn, 'SHELL', 'RESOLVED:job' || (method_key % 9) || '.sh:HIGH' FROM {method_source} WHERE kind = 6
+        UNION ALL SELECT fqn, 'SQL', 'RESOLVED:load' || (method_key % 9) || '.sql:HIGH' FROM {method_source} WHERE kind = 7""",
+    "stored_step_op": """
+        SELECT DISTINCT s.step_id, o.kind, o.op FROM {step_class} s JOIN {java_method} m ON m.class_fqn = s.class_fqn JOIN {method_op} o ON o.method_fqn = m.fqn""",
+    "step_bean": """
+        SELECT DISTINCT s.step_id, 'bean_' || c.class_key AS bean_id FROM {step_class} s JOIN {java_class} c ON c.fqn = s.class_fqn""",
+    "manual_mapping": """
+        SELECT fqn AS method_fqn, CASE kind WHEN 5 THEN 'SHELL' WHEN 1 THEN 'DB' WHEN 2 THEN 'PROC' ELSE 'SQL' END AS kind,
+               CASE kind WHEN 5 THEN 'RESOLVED:fix' || (method_key % 7) || '.sh:HIGH' WHEN 1 THEN 'INSERT:FIX_' || (method_key % 7) || ':HIGH' WHEN 2 THEN 'S:NONE:FIX_' || (method_key % 7) || ':ORACLE:PROCEDURE:HIGH' ELSE 'RESOLVED:fix.sql:HIGH' END AS op,
+               'FIX_' || (method_key % 7) AS resource_name, CASE WHEN s.method_key % 16 < 8 THEN 'bean_' || c.class_key END AS bean_id
+        FROM {method_source} s JOIN {java_class} c ON c.fqn = s.class_fqn WHERE kind IN (1, 2, 5, 7)""",
+    "role_bean": """
+        SELECT s.id AS step_id, CASE WHEN step_kind = 'TASKLET' THEN 'bean_' || s.class_key END AS tasklet_bean, CASE WHEN step_kind = 'TASKLET' THEN a.fqn END AS tasklet_class,
+               CASE WHEN step_kind = 'CHUNK' THEN 'bean_' || s.class_key END AS reader_bean, CASE WHEN step_kind = 'CHUNK' THEN a.fqn END AS reader_class,
+               CASE WHEN step_kind = 'CHUNK' THEN 'other_' || s.class_key END AS processor_bean, CASE WHEN step_kind = 'CHUNK' THEN a.fqn END AS processor_class,
+               cast(NULL AS varchar(20)) AS writer_bean, CASE WHEN step_kind = 'CHUNK' THEN 'com.nowhere.W' END AS writer_class
+        FROM {step} s JOIN {java_class} a ON a.class_key = s.class_key""",
+    # unresolved calls: declared class of the field, the injected bean class wins
+    "raw_call": """
+        SELECT DISTINCT m.fqn AS src_fqn, m.class_fqn, 'field' || (l.l_partkey % 3) AS field, t.fqn AS target_class,
+               CASE l.l_linenumber % 3 WHEN 0 THEN 'execute' WHEN 1 THEN 'read' ELSE 'find' END AS name,
+               CASE WHEN l.l_linenumber = 7 THEN m.class_fqn END AS via_class, CASE WHEN l.l_linenumber = 7 THEN m.name END AS via_name
+        FROM {lineitem} l JOIN {java_method} m ON m.method_key = l.l_orderkey JOIN {java_class} t ON t.class_key = l.l_suppkey""",
+    "injected": """
+        SELECT a.fqn AS class_fqn, 'field1' AS field, b.fqn AS bean_class FROM {java_class} a JOIN {java_class} b ON b.class_key = a.parent_key WHERE a.class_key % 2 = 0""",
+    "method_return": """
+        SELECT m.fqn, m.class_fqn, m.name, m.further_analysis, c.fqn AS return_class FROM {java_method} m JOIN {java_class} k ON k.fqn = m.class_fqn LEFT JOIN {java_class} c ON c.class_key = k.class_key - 1""",
+})

@@ -124,7 +124,7 @@ FIXTURES.update({
     "step_bean": """
         SELECT DISTINCT s.step_id, 'bean_' || c.class_key AS bean_id FROM {step_class} s JOIN {java_class} c ON c.fqn = s.class_fqn""",
     "manual_mapping": """
-        SELECT fqn AS method_fqn, CASE kind WHEN 5 THEN 'SHELL' WHEN 1 THEN 'DB' WHEN 2 THEN 'PROC' ELSE 'SQL' END AS kind,
+        SELECT s.fqn AS method_fqn, CASE kind WHEN 5 THEN 'SHELL' WHEN 1 THEN 'DB' WHEN 2 THEN 'PROC' ELSE 'SQL' END AS kind,
                CASE kind WHEN 5 THEN 'RESOLVED:fix' || (method_key % 7) || '.sh:HIGH' WHEN 1 THEN 'INSERT:FIX_' || (method_key % 7) || ':HIGH' WHEN 2 THEN 'S:NONE:FIX_' || (method_key % 7) || ':ORACLE:PROCEDURE:HIGH' ELSE 'RESOLVED:fix.sql:HIGH' END AS op,
                'FIX_' || (method_key % 7) AS resource_name, CASE WHEN s.method_key % 16 < 8 THEN 'bean_' || c.class_key END AS bean_id
         FROM {method_source} s JOIN {java_class} c ON c.fqn = s.class_fqn WHERE kind IN (1, 2, 5, 7)""",
@@ -145,3 +145,8 @@ FIXTURES.update({
     "method_return": """
         SELECT m.fqn, m.class_fqn, m.name, m.further_analysis, c.fqn AS return_class FROM {java_method} m JOIN {java_class} k ON k.fqn = m.class_fqn LEFT JOIN {java_class} c ON c.class_key = k.class_key - 1""",
 })
+
+FIXTURES.update({
+    "session_message": """
+        SELECT conv_id AS session_id, turn, role, text, @from_millis@((1704067200 + conv_id * 3600 + turn * 60) * 1000) AS ts FROM {conversations}""",
+})

@@ -19,8 +19,8 @@ RAW = (
 ).split()
 
 _DIALECT = {
-    "spark": {"json_text": "get_json_object", "micros": "unix_micros", "idiv": " div ", "str_split": "split"},
-    "duckdb": {"json_text": "json_extract_string", "micros": "epoch_us", "idiv": " // ", "str_split": "string_split"},
+    "spark": {"json_text": "get_json_object", "micros": "unix_micros", "idiv": " div ", "from_millis": "timestamp_millis", "str_split": "split"},
+    "duckdb": {"json_text": "json_extract_string", "micros": "epoch_us", "idiv": " // ", "from_millis": "epoch_ms", "str_split": "string_split"},
 }
 
 AS_OF = "2024-01-31"

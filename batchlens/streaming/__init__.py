@@ -1,0 +1 @@
+"""Structured Streaming forms of run loading, the timeline and resource impact."""

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from batchlens.operators.traverse import reachable
 
-NONE = F.lit(None).cast
-
-
 def _only(df: DataFrame, column: str, value: str | None) -> DataFrame:
     return df if value is None else df.where(F.col(column) == value)
 

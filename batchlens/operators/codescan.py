@@ -6,6 +6,7 @@ arrays.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ JAVA_TYPES = (
 
 
 def _any_match(text: Column, patterns, flags: str = "(?i)") -> Column:
-    return reduce(lambda a, b: a | b, (text.rlike(flags + p) for p in patterns))
+    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -234,8 +235,7 @@ GREY_SHELL = GREY_CORE + ("DYNAMIC_PATH", "DYNAMIC_SCRIPT", "UNKNOWN_SCRIPT", "R
 
 def mentions(text: Column, words) -> Column:
     """Text contains one of the words, in any case."""
-    up = F.upper(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a | b, (up.contains(w.upper()) for w in words))
+    return F.upper(F.coalesce(text, F.lit(""))).rlike("|".join(re.escape(w.upper()) for w in words))
 
 
 def classify_shell_executor(classes: DataFrame, imports: DataFrame, sources: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ from batchlens.operators.history import count_status, since, with_job_name
 ANOMALY_DAYS, ANOMALY_K, ANOMALY_MIN_SAMPLES = 30, 2.0, 5
 TREND_MIN_POINTS, TREND_SLOPE_MS = 7, 500.0
 
-TIMED = F.col("duration_ms").isNotNull
+
+def timed() -> Column:
+    return F.col("duration_ms").isNotNull()
 
 
 def job_performance(runs: DataFrame, job: DataFrame, as_of: str, days: int = 30, job_name: str | None = None) -> DataFrame:
     """Average/min/max seconds and status counts per job (one job or all)."""
     jobs = job if job_name is None else job.where(F.col("name") == job_name)
-    stats = since(runs, as_of, days).where(TIMED()).groupBy("job_id").agg(
+    stats = since(runs, as_of, days).where(timed()).groupBy("job_id").agg(
         F.avg("duration_ms").alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
         F.count("*").alias("execution_count"),
         count_status("COMPLETED").alias("success_count"), count_status("FAILED").alias("failure_count"),
@@ -36,7 +38,7 @@ def job_performance(runs: DataFrame, job: DataFrame, as_of: str, days: int = 30,
 
 def duration_timeseries(runs: DataFrame, job: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Average duration and run count per job and business date."""
-    daily = since(runs, as_of, days).where(TIMED()).groupBy("job_id", "business_date").agg(
+    daily = since(runs, as_of, days).where(timed()).groupBy("job_id", "business_date").agg(
         F.avg("duration_ms").alias("avg_duration_ms"), F.count("*").alias("execution_count")
     )
     return with_job_name(daily, job).select(
@@ -70,7 +72,7 @@ def slow_jobs(
     """Longest runs above a threshold."""
     longest = (
         since(runs, as_of, days)
-        .where(TIMED() & (F.col("duration_ms") > threshold_minutes * 60_000))
+        .where(timed() & (F.col("duration_ms") > threshold_minutes * 60_000))
         .join(job.select(F.col("id").alias("job_id"), F.col("name").alias("job_name")), "job_id")
         .orderBy(F.desc("duration_ms"), "id")
         .limit(limit)
@@ -87,7 +89,7 @@ def slow_jobs(
 def compare_jobs(runs: DataFrame, job: DataFrame, as_of: str, names: list[str] | None = None, days: int = 30) -> DataFrame:
     """Failure rates and averages side by side, worst first."""
     jobs = job if names is None else job.where(F.col("name").isin(names))
-    stats = since(runs, as_of, days).where(TIMED()).groupBy("job_id").agg(
+    stats = since(runs, as_of, days).where(timed()).groupBy("job_id").agg(
         F.count("*").alias("executions"), count_status("FAILED").alias("failures"),
         (F.avg("duration_ms") / 1000).alias("avg_s"),
     )
@@ -101,7 +103,7 @@ def compare_jobs(runs: DataFrame, job: DataFrame, as_of: str, names: list[str] |
 
 def avg_duration(runs: DataFrame, sics: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Average duration and sample size per context; contexts without runs stay."""
-    stats = since(runs, as_of, days).where(TIMED()).groupBy("sic_id").agg(
+    stats = since(runs, as_of, days).where(timed()).groupBy("sic_id").agg(
         F.avg("duration_ms").alias("avg_duration_ms"), F.count("*").alias("sample_size")
     )
     return sics.select(F.col("id").alias("sic_id")).join(stats, "sic_id", "left").withColumn(
@@ -117,7 +119,8 @@ def circular_mean_finish(runs: DataFrame, sics: DataFrame, as_of: str, days: int
     )
     mean = F.atan2("s", "c")
     mean = F.when(mean < 0, mean + F.lit(2.0) * F.pi()).otherwise(mean)
-    seconds = F.floor(F.floor(mean / (F.lit(2.0) * F.pi()) * DAY_MS) / 1000)
+    # rounding may land on a full turn, which is midnight
+    seconds = F.pmod(F.floor(F.floor(mean / (F.lit(2.0) * F.pi()) * DAY_MS) / 1000), F.lit(86_400))
     joined = sics.select(F.col("id").alias("sic_id")).join(stats, "sic_id", "left")
     return joined.select(
         "sic_id", F.coalesce("sample_count", F.lit(0)).alias("sample_count"),
@@ -142,7 +145,7 @@ def anomaly_baseline(runs: DataFrame, sics: DataFrame, business_date: str, days:
     """Mean, sample deviation and count over the ``days`` before a date, per context."""
     day = dt.date.fromisoformat(business_date)
     past = runs.where(
-        (F.col("business_date") >= F.lit(day - dt.timedelta(days=days))) & (F.col("business_date") < F.lit(day)) & TIMED()
+        (F.col("business_date") >= F.lit(day - dt.timedelta(days=days))) & (F.col("business_date") < F.lit(day)) & timed()
     )
     m = past.groupBy("sic_id").agg(*_moments(F.col("duration_ms")))
     mean, std = _mean_std(F.col("n"), F.col("s"), F.col("q"))
@@ -157,7 +160,7 @@ def rolling_baseline(runs: DataFrame, days: int = ANOMALY_DAYS) -> DataFrame:
     Runs are reduced to one row per context and day before the range window,
     so a context with very many runs costs the window no more than its days.
     """
-    daily = runs.where(TIMED()).groupBy("sic_id", "business_date").agg(*_moments(F.col("duration_ms")))
+    daily = runs.where(timed()).groupBy("sic_id", "business_date").agg(*_moments(F.col("duration_ms")))
     w = Window.partitionBy("sic_id").orderBy(F.unix_date("business_date")).rangeBetween(-days, -1)
     over = daily.select(
         "sic_id", "business_date", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n"), F.sum("s").over(w).alias("s"), F.sum("q").over(w).alias("q")
@@ -184,7 +187,7 @@ def anomaly_columns(
 
 def duration_anomaly(runs: DataFrame, days: int = ANOMALY_DAYS, k: float = ANOMALY_K, min_samples: int = ANOMALY_MIN_SAMPLES) -> DataFrame:
     """Every timed run judged against the baseline of its context and date."""
-    joined = runs.where(TIMED()).select("id", "sic_id", "business_date", "duration_ms").join(
+    joined = runs.where(timed()).select("id", "sic_id", "business_date", "duration_ms").join(
         rolling_baseline(runs, days), ["sic_id", "business_date"]
     )
     cols = anomaly_columns(F.col("duration_ms"), F.col("hist_avg_ms"), F.col("hist_std_ms"), F.col("hist_sample_count"), k, min_samples)

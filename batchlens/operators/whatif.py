@@ -127,17 +127,27 @@ def scenario_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def with_levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with their topological level inside their scenario (kept if already there)."""
+    if "level" in nodes.columns:
+        return nodes
+    levels = topological_levels(nodes, links, KEY, KEY).drop("in_cycle")
+    return nodes.join(levels, ["scenario_id", "node"])
+
+
 def downstream_tail(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Longest run time after each node; null for a node whose duration is unknown.
 
-    ``nodes``: scenario_id, node, dur.
+    ``nodes``: scenario_id, node, dur and, when known, level.
     """
     back = flip(links)
-    levels = topological_levels(nodes, back, KEY, KEY)
-    placed = nodes.select("scenario_id", "node", "dur").join(levels.drop("in_cycle"), ["scenario_id", "node"])
+    placed = with_levels(nodes, links).select("scenario_id", "node", "dur", "level")
+    # successors have higher levels, so the walk starts at the highest
+    top = placed.agg(F.max("level")).first()[0] or 0
+    placed = placed.withColumn("level", F.lit(top) - F.col("level"))
     tail = F.when(F.col("dur").isNotNull(), F.col("dur") + F.coalesce("best", F.lit(0)))
     out = waves(placed, back, KEY, {"best": F.max("tail")}, {"tail": tail}, KEY)
-    return out.select("scenario_id", "node", F.greatest(F.col("tail") - F.col("dur"), F.lit(0)).alias("downstream_after_ms"))
+    return out.select("scenario_id", "node", F.when(F.col("tail").isNotNull(), F.greatest(F.col("tail") - F.col("dur"), F.lit(0))).alias("downstream_after_ms"))
 
 
 def _prepared(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,8 +159,7 @@ def _prepared(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
     state = LoopState(nodes.sparkSession, "projection")
     home = nodes.where("is_root").select("scenario_id", "job_group_id").distinct().withColumn("home", F.lit(True))
     flagged = nodes.join(home, ["scenario_id", "job_group_id"], "left").withColumn("home", F.coalesce("home", F.lit(False)))
-    levels = topological_levels(nodes, links, KEY, KEY).drop("in_cycle")
-    flagged, _ = state.save(flagged.join(levels, ["scenario_id", "node"]))
+    flagged, _ = state.save(with_levels(flagged, links))
     side = flagged.select("scenario_id", F.col("node").alias("src_id"), F.col("home").alias("src_home"))
     other = flagged.select("scenario_id", F.col("node").alias("dst_id"), F.col("home").alias("dst_home"))
     kept = links.join(side, ["scenario_id", "src_id"]).join(other, ["scenario_id", "dst_id"]).where("src_home OR NOT dst_home")
@@ -215,10 +224,14 @@ def sla_based_projection(nodes: DataFrame, links: DataFrame) -> DataFrame:
         )
         if not here.columns == first.columns:
             here = here.select(*first.columns)
-        here, found = state.save(here)
-        if not found:
+        unplaced = F.col("projected").isNull() & F.col("dur").isNotNull()
+        here, counts = state.save_counting(here, loose=unplaced)
+        if not counts["n"]:
+            continue
+        if not counts["loose"]:
+            solved.append(here)
             continue
-        loose = here.where(F.col("projected").isNull() & F.col("dur").isNotNull())
+        loose = here.where(unplaced)
         starts = _unplaced_starts(before.unionByName(here), loose)
         fixed = loose.join(starts, ["scenario_id", "job_group_id"]).withColumn(
             "projected", F.coalesce(F.col("start_ms") + F.col("dur"), alone).cast("bigint")
@@ -263,8 +276,7 @@ def finish_projection(nodes: DataFrame, links: DataFrame, anchor_ms: int = 0) ->
 
     ``nodes``: scenario_id, node, is_root, delay_ms, dur, executed_ms.
     """
-    levels = topological_levels(nodes, links, KEY, KEY).drop("in_cycle")
-    placed = nodes.join(levels, ["scenario_id", "node"])
+    placed = with_levels(nodes, links)
     ran, known = F.col("executed_ms").isNotNull(), F.col("dur").isNotNull()
     delay = F.when(known & ran & ~F.col("is_root"), F.lit(0)).otherwise(_delay()).cast("bigint")
     anchor = F.lit(anchor_ms)
@@ -374,6 +386,7 @@ def impact_frame(
     )
     nodes, _ = state.save(effective_duration(nodes, averages, actual))
     links, _ = state.save(scenario_edges(nodes, edges))
+    nodes, _ = state.save(with_levels(nodes, links))
     slas, _ = state.save(ends.slas)
     return Impact(roots, nodes, links, slas)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,13 +61,19 @@ class LoopState:
 
     def save(self, df: DataFrame) -> tuple[DataFrame, int]:
         """Write ``df``; return the stored table and its row count."""
+        stored, counts = self.save_counting(df)
+        return stored, counts["n"]
+
+    def save_counting(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+        """Write ``df`` and count its rows, and those meeting each condition, in the same pass."""
         self._n += 1
         path = f"{self.root}/{self._n:05d}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        wanted = [F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(name) for name, c in conditions.items())]
+        df.observe(seen, *wanted).write.parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(stored)] = (stored, path)
-        return stored, int(seen.get["n"])
+        return stored, {name: int(v) for name, v in seen.get.items()}
 
     def union_of(self, tables: list[DataFrame]) -> DataFrame:
         """One scan over several tables saved here with the same schema."""

@@ -49,7 +49,7 @@ def scan_code_files(spark: SparkSession, root: str, **options) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = "^file:|" + re.escape(root.rstrip("/")) + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), prefix, "")
-    listed = raw.select(rel.alias("path"), F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    listed = raw.select(rel.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
     return keep_code_files(listed, **options).withColumn("name", file_name(F.col("path"))).withColumn("extension", extension(F.col("path")))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchlens.functions.ranking import group_index
 from batchlens.sources.code import script_type
 
 # fixed values: parameters a step row can carry
@@ -32,11 +33,12 @@ class Chain(NamedTuple):
 
 def dynamic_step_chain(steps: DataFrame) -> Chain:
     """Steps of each job in order: the first is the entry, neighbours precede each other."""
-    w = Window.partitionBy("job_name").orderBy("step_order", "step_name")  # the steps of one job
-    lined = steps.withColumn("next", F.lead("step_name").over(w)).withColumn("rn", F.row_number().over(w))
+    placed = group_index(steps.select("job_name", "step_name", "step_order"), ["job_name"], ["step_order", "step_name"], "pos")
+    here = placed.select("job_name", "pos", F.col("step_name").alias("src_step"))
+    following = placed.select("job_name", (F.col("pos") - 1).alias("pos"), F.col("step_name").alias("dst_step"))
     return Chain(
-        steps.select("job_name", "step_name").distinct(), lined.where("rn = 1").select("job_name", "step_name"),
-        lined.where("next IS NOT NULL").select("job_name", F.col("step_name").alias("src_step"), F.col("next").alias("dst_step")),
+        steps.select("job_name", "step_name").distinct(), placed.where("pos = 0").select("job_name", "step_name"),
+        here.join(following, ["job_name", "pos"]).select("job_name", "src_step", "dst_step"),
     )
 
 

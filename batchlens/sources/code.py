@@ -192,11 +192,29 @@ def common_key(path: Column) -> Column:
     return F.when(at.isNotNull(), F.concat_ws("/", F.element_at(parts, at + 1), F.element_at(parts, at + 2)))
 
 
+def _segment_links(known: DataFrame) -> DataFrame:
+    """Per path (id, name, path) and pair of neighbouring segments: every ending of the first, and the second.
+
+    A path contains ``A/B`` exactly when some segment ends with A and the next
+    begins with B, so containment becomes an equality on the ending; the rows
+    per path are bounded by its length.
+    """
+    parts = path_parts(F.col("path"))
+    pairs = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("first"), F.get(parts, i + 1).alias("second")))
+    each = known.select("id", "name", F.explode(pairs).alias("p")).select("id", "name", "p.*")
+    endings = F.transform(F.sequence(F.lit(1), F.length("first")), lambda i: F.substring(F.col("first"), i, F.length(F.col("first"))))
+    return each.select("id", "name", F.explode(endings).alias("ending"), "second")
+
+
 def match_by_common_key(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Known script with the same file name whose path holds the wanted path's key (lowest id wins)."""
     asked = wanted.select("want_id", file_name(F.col("path")).alias("name"), common_key(F.col("path")).alias("key")).where("key IS NOT NULL")
-    have = known.select("id", F.replace(F.col("path"), F.lit("\\"), F.lit("/")).alias("known_path"), file_name(F.col("path")).alias("name"))
-    return asked.join(have, "name").where(F.col("known_path").contains(F.col("key"))).groupBy("want_id").agg(F.min("id").alias("resource_id"))
+    halves = F.split("key", "/")
+    keys = asked.select("name", "key").distinct().withColumn("ending", halves[0]).withColumn("begin", halves[1])
+    have = known.select("id", "path", file_name(F.col("path")).alias("name"))
+    links = _segment_links(have).groupBy("name", "ending", "second").agg(F.min("id").alias("id"))
+    found = keys.join(links, ["name", "ending"]).where(F.col("second").startswith(F.col("begin"))).groupBy("name", "key").agg(F.min("id").alias("resource_id"))
+    return asked.join(found, ["name", "key"]).select("want_id", "resource_id")
 
 
 def match_sql_resource(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -205,22 +223,30 @@ def match_sql_resource(wanted: DataFrame, known: DataFrame) -> DataFrame:
     after = F.array_max(F.filter(F.transform(parts, lambda x, i: F.when(F.lower(F.trim(x)).endswith("common"), i + 2)), lambda x: x.isNotNull()))
     follow = F.trim(F.when(after.isNotNull(), F.try_element_at(parts, after)))
     folder = F.when(follow.isNotNull() & (F.lower(follow) != F.lower("script_name")), follow)
-    asked = wanted.select("want_id", F.col("script_name").alias("name"), F.concat_ws("/", F.coalesce(folder, F.lit("sql")), "script_name").alias("first_key"))
-    have = known.select("id", "name", F.replace(F.col("path"), F.lit("\\"), F.lit("/")).alias("path"))
-    j = asked.join(have, "name")
-    rank = F.when(F.col("path").contains(F.col("first_key")), 1).when(F.col("path").contains(F.concat(F.lit("sql/"), "name")), 2).otherwise(3)
-    best = j.withColumn("rank", rank).groupBy("want_id").agg(F.min(F.struct("rank", "id")).alias("b"), F.count("*").alias("candidates"))
-    return best.select("want_id", F.col("b.id").alias("resource_id"), F.when(F.col("candidates") == 1, 0).otherwise(F.col("b.rank")).alias("match_rank"))
+    asked = wanted.select("want_id", F.col("script_name").alias("name"), F.coalesce(folder, F.lit("sql")).alias("folder"))
+    by_name = known.groupBy("name").agg(F.min("id").alias("any_id"), F.count("*").alias("candidates"))
+    links = _segment_links(known.select("id", "name", "path")).where(F.col("second").startswith(F.col("name")))
+    by_folder = links.groupBy("name", F.col("ending").alias("folder")).agg(F.min("id").alias("folder_id"))
+    in_sql = by_folder.where("folder = 'sql'").select("name", F.col("folder_id").alias("sql_id"))
+    j = asked.join(by_name, "name").join(by_folder, ["name", "folder"], "left").join(in_sql, "name", "left")
+    rank = F.when(F.col("candidates") == 1, 0).when(F.col("folder_id").isNotNull(), 1).when(F.col("sql_id").isNotNull(), 2).otherwise(3)
+    return j.select("want_id", F.coalesce("folder_id", "sql_id", "any_id").alias("resource_id"), rank.alias("match_rank"))
+
+
+def _tails(path: Column) -> Column:
+    """Every ending of a path that starts at a segment."""
+    parts = path_parts(path)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
 
 
 def link_script_sql(scripts: DataFrame, sqls: DataFrame) -> DataFrame:
-    """Edges from scripts (id, text) to the SQL files (id, path) they call."""
+    """Edges from scripts (id, text) to the SQL files (id, path) they call: one path ends with the other."""
     refs = scripts.select(F.col("id").alias("script_id"), F.explode(sql_files_in_script(F.col("text"))).alias("ref"))
-    refs = refs.withColumn("name", file_name(F.col("ref")))
-    have = sqls.select(F.col("id").alias("sql_id"), "path", file_name(F.col("path")).alias("name"))
-    return refs.join(have, "name").where(F.col("ref").endswith(F.col("path")) | F.col("path").endswith(F.col("ref"))).select(
-        "script_id", "sql_id", F.lit("SQL_SCRIPT").alias("execution_type")
-    ).distinct()
+    whole = F.array_join(path_parts(F.col("ref")), "/")
+    files = sqls.select(F.col("id").alias("sql_id"), F.array_join(path_parts(F.col("path")), "/").alias("full"), F.explode(_tails(F.col("path"))).alias("tail"))
+    longer = refs.select("script_id", whole.alias("tail")).join(files, "tail").select("script_id", "sql_id")
+    shorter = refs.select("script_id", F.explode(_tails(F.col("ref"))).alias("full")).join(files.select("sql_id", "full").distinct(), "full").select("script_id", "sql_id")
+    return longer.unionByName(shorter).distinct().withColumn("execution_type", F.lit("SQL_SCRIPT"))
 
 
 class CodeTables(NamedTuple):

@@ -34,31 +34,38 @@ def _with_properties(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "label", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("properties"))
 
 
-def _around(edges: DataFrame, center: DataFrame) -> DataFrame:
-    """Edges at the center, either direction: two equi joins instead of one OR."""
-    ids = center.select(F.col("label").alias("c_label"), F.col("id").alias("c_id"))
-    out = edges.join(F.broadcast(ids), (F.col("src_id") == F.col("c_id")) & (F.col("src_label") == F.col("c_label")), "left_semi")
-    back = edges.join(F.broadcast(ids), (F.col("dst_id") == F.col("c_id")) & (F.col("dst_label") == F.col("c_label")), "left_semi")
+def _center(nodes: DataFrame, matches) -> tuple[str, str]:
+    """Label and id of the entity asked for: one row, so it can become a literal filter."""
+    row = nodes.where(matches).select("label", "id").orderBy("label", "id").first()
+    return (row.label, row.id) if row else ("", "")
+
+
+def _around(edges: DataFrame, label: str, node_id: str) -> DataFrame:
+    """Edges at a node, either direction: two literal filters, which also prune edge types that cannot touch its label."""
+    out = edges.where((F.col("src_label") == label) & (F.col("src_id") == node_id))
+    back = edges.where((F.col("dst_label") == label) & (F.col("dst_id") == node_id))
     return out.unionByName(back).distinct()
 
 
 def entity_graph(nodes: DataFrame, edges: DataFrame, entity: str) -> Graph:
     """An entity (by id or name) with its direct neighbours and edges."""
-    # one id or name: a handful of rows, so the center side is always small
-    center = nodes.where((F.col("id") == entity) | (F.col("name") == entity)).select("label", "id").distinct().limit(1)
-    links = _around(edges, center)
-    ids = center.unionByName(links.select(F.col("src_label").alias("label"), F.col("src_id").alias("id"))).unionByName(
-        links.select(F.col("dst_label").alias("label"), F.col("dst_id").alias("id"))
-    ).distinct()
-    return Graph(_with_properties(nodes.join(ids, ["label", "id"], "left_semi")), links)
+    label, node_id = _center(nodes, (F.col("id") == entity) | (F.col("name") == entity))
+    links = _around(edges, label, node_id)
+    ends = F.explode(F.array(
+        F.struct(F.col("src_label").alias("label"), F.col("src_id").alias("id")), F.struct(F.col("dst_label").alias("label"), F.col("dst_id").alias("id")),
+    ))
+    neighbours = links.select(ends.alias("n")).select("n.*").where((F.col("label") != label) | (F.col("id") != node_id)).distinct()
+    own = nodes.where((F.col("label") == label) & (F.col("id") == node_id))
+    return Graph(_with_properties(nodes.join(neighbours, ["label", "id"], "left_semi").unionByName(own)), links)
 
 
 def expand_node(nodes: DataFrame, edges: DataFrame, node_id: str, existing: DataFrame) -> Graph:
     """Neighbours of a node (by id) that are not in ``existing`` (column id), and the edges to them."""
-    center = nodes.where(F.col("id") == node_id).select("label", "id").distinct().limit(1)
-    links = _around(edges, center)
-    other = links.withColumn("n_label", F.when(F.col("src_id") == node_id, F.col("dst_label")).otherwise(F.col("src_label")))
-    other = other.withColumn("n_id", F.when(F.col("src_id") == node_id, F.col("dst_id")).otherwise(F.col("src_id")))
+    label, found = _center(nodes, F.col("id") == node_id)
+    links = _around(edges, label, found)
+    at_source = (F.col("src_id") == found) & (F.col("src_label") == label)
+    other = links.withColumn("n_label", F.when(at_source, F.col("dst_label")).otherwise(F.col("src_label")))
+    other = other.withColumn("n_id", F.when(at_source, F.col("dst_id")).otherwise(F.col("src_id")))
     fresh = other.join(existing.select(F.col("id").alias("n_id")).distinct(), "n_id", "left_anti")
     ids = fresh.select(F.col("n_label").alias("label"), F.col("n_id").alias("id")).distinct()
     return Graph(_with_properties(nodes.join(ids, ["label", "id"], "left_semi")), fresh.select(edges.columns))

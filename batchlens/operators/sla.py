@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from batchlens.functions.clock import DAY_MS
 from batchlens.operators.performance import anomaly_columns, rolling_baseline
-from batchlens.operators.traverse import induced_edges
 
 RUN_COLS = ("execution_id", "execution_status", "execution_date", "start_time_ms", "end_time_ms", "duration_ms")
 

@@ -1,7 +1,5 @@
 """Critical path queries; every one covers all group runs."""
 
-from pyspark.sql import functions as F
-
 from batchlens.operators import cpm as c
 from batchlens.plans.registry import SHARED, query
 

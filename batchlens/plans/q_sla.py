@@ -1,7 +1,5 @@
 """Service-level queries."""
 
-from pyspark.sql import functions as F
-
 from batchlens.operators import sla as s
 from batchlens.plans.q_calendar import FIRST, LAST, plan
 from batchlens.plans.registry import SHARED, query

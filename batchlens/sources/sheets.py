@@ -24,7 +24,7 @@ FIXTURES.update({
                CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'dynamic_job' END AS type, CASE WHEN s_suppkey % 2 = 0 THEN false END AS enabled FROM {supplier}""",
     "sheet_assoc": """
         SELECT CASE WHEN j.job_key % 2 = 0 THEN j.id ELSE j.name END AS jobId, h.job_group_id AS jobGroupId FROM {has_job} h JOIN {job} j ON j.id = h.job_id
-        UNION ALL SELECT 'nobody', id FROM {job_group} UNION ALL SELECT id, 'JG_none' FROM {job}""",
+        UNION ALL SELECT 'nobody_' || id, id FROM {job_group} UNION ALL SELECT id, 'JG_none_' || id FROM {job}""",
     "sheet_context": f"""
         SELECT 'SIC_' || s_suppkey AS id, 'LOAD_' || (s_suppkey % (SELECT count(*) + 3 FROM {{job}})) AS contextForEntityId,
                CASE WHEN s_suppkey % 6 <> 5 THEN 'JG_' || (s_suppkey % 25) END AS jobGroupId, CASE WHEN s_suppkey % 8 = 0 THEN 'Y' END AS start_flag,

@@ -66,15 +66,29 @@ class LoopState:
 
     def save_counting(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
         """Write ``df`` and count its rows, and those meeting each condition, in the same pass."""
+        return self._save(df, {name: F.count_if(c) for name, c in conditions.items()})
+
+    def _save(self, df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
         self._n += 1
         path = f"{self.root}/{self._n:05d}"
         seen = Observation()
-        wanted = [F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(name) for name, c in conditions.items())]
+        wanted = [F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in facts.items())]
         df.observe(seen, *wanted).write.parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(stored)] = (stored, path)
         return stored, {name: int(v) for name, v in seen.get.items()}
 
+    def save_summing(self, df: DataFrame, **terms: Column) -> tuple[DataFrame, dict[str, int]]:
+        """Write ``df``; count its rows and sum each (non-negative) term in the same pass."""
+        return self._save(df, {name: F.coalesce(F.sum(c), F.lit(0)) for name, c in terms.items()})
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table saved here that nothing will read again."""
+        _, path = self._paths.pop(id(table))
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def union_of(self, tables: list[DataFrame]) -> DataFrame:
         """One scan over several tables saved here with the same schema."""
         return self.spark.read.schema(tables[0].schema).parquet(*(self._paths[id(t)][1] for t in tables))

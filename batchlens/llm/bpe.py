@@ -12,7 +12,7 @@ merge makes a pair of lower rank than itself, which only such a pre-token's own
 order resolves, that pre-token is done again by ``merge_one``.
 
 Texts are cut at single spaces after non-space characters (always a pre-token
-border of the pattern) and pieces are cached per worker in bounded generations.
+border of the pattern) and a worker keeps the ids of a bounded number of pieces.
 
 Defined results: null and empty texts have no ids and decode to no bytes;
 repeated rows give repeated results; null ids are kept; an empty table gives an
@@ -32,11 +32,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from batchlens.llm.common import id_type, slices, texts_of
-from batchlens.llm.words import CACHED, SAFE_CUT
+from batchlens.llm.common import bytes_of, id_type, slices
+from batchlens.llm.words import PieceTable
 
 #: Texts are encoded in slices of this many bytes, so that one queue serves many new pieces.
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Pre-tokens above this many bytes get a queue of their own.
 LONG = 1 << 16
 NONE = np.int32(2**31 - 1)
@@ -218,40 +218,22 @@ class Ranks:
 
 
 class TextCoder:
-    """Ids of texts by a rank file and a pre-token pattern."""
+    """Ids of texts by a rank file and a pre-token pattern; all new pieces of some texts share one queue."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.split = Ranks(path), regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}  # with their leading space
+        self.table = PieceTable(self._learn)
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces, all their pre-tokens in one queue."""
-        cut = {p: [t.encode() for t in self.split(p)] for p in pieces}
-        new = list({t for parts in cut.values() for t in parts})
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        cut = [[t.encode() for t in self.split(p.decode("utf-8", "replace"))] for p in pieces]
+        new = list({t for parts in cut for t in parts})
         ids = dict(zip(new, self.ranks.encode(new), strict=True))
-        return {p: b"".join(map(ids.__getitem__, parts)) for p, parts in cut.items()}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian 32-bit bytes."""
-        missing: set[str] = set()
-        for text in texts:
-            missing.update(self._cut(text))
-        known = self.pieces.keys() & missing
-        if len(self.pieces) + len(missing) - len(known) > 2 * CACHED:  # keep what is still in use
-            self.pieces = {p: self.pieces[p] for p in known}
-        self.pieces.update(self._learn(missing - known))
-        for text in texts:
-            yield b"".join(map(self.pieces.__getitem__, self._cut(text)))
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        """Pieces, each but the first with its leading space."""
-        if not text:
-            return []
-        first, *rest = text.split(" ")
-        if "" in rest or not first or any(map(str.isspace, {p[-1] for p in (first, *rest[:-1])})):
-            first, *rest = SAFE_CUT.split(text)
-        return [first, *map(" ".__add__, rest)]
+        return [b"".join(map(ids.__getitem__, parts)) for parts in cut]
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        ids, ends = self.table.encode(texts)
+        return (ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
 
 _CODERS: dict[tuple[str, str], TextCoder] = {}
@@ -269,7 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
-            found = list(coder(path, pattern).encode(texts_of(part)))
+            found = [ids.tobytes() for ids in coder(path, pattern).encode(bytes_of(part))]
             yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, ids binary")
@@ -281,10 +263,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
             made, sizes, ids_sha, decoded_sha = coder(path, pattern), [], [], []
-            for ids in made.encode(texts_of(part)):
-                sizes.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                decoded_sha.append(hashlib.sha256(made.ranks.decode(np.frombuffer(ids, dtype="<u4"))).hexdigest())
+            for ids in made.encode(bytes_of(part)):
+                sizes.append(len(ids))
+                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                decoded_sha.append(hashlib.sha256(made.ranks.decode(ids)).hexdigest())
             columns = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.functions.ranking import group_index
-from batchlens.llm.common import id_type, slices, texts_of
+from batchlens.llm.common import bytes_of, id_type, slices
 from batchlens.llm.words import coder
 from batchlens.session import LoopState
 
@@ -44,11 +44,12 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH) ->
     """(doc_id, start, length, ids_crc32, doc_tokens): one row per piece of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = coder(path).ids, np.array([end_id], dtype="<u4").tobytes()
+        last = np.array([end_id], dtype="<u4").tobytes()
         for part in slices(batches):
             owner, start, size, crc, total = [], [], [], [], []
-            for row, text in enumerate(texts_of(part)):
-                ids = encode(text) + last
+            all_ids, ends = coder(path).encode(bytes_of(part))
+            for row, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                ids = all_ids[a:b].tobytes() + last
                 for at in range(0, len(ids), 4 * length):
                     piece = ids[at:at + 4 * length]
                     owner.append(row)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.llm import rans
-from batchlens.llm.common import slices, texts_of
+from batchlens.llm.common import bytes_of, slices
 from batchlens.llm.words import coder
 from batchlens.session import LoopState
 
@@ -49,7 +49,8 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         text_coder, last = coder(path), np.array([end_id], dtype="<u4").tobytes()
         kind = width(text_coder.library.get_vocab_size())
         for part in slices(batches):
-            ids = [text_coder.ids(t) + last for t in texts_of(part)]
+            all_ids, ends = text_coder.encode(bytes_of(part))
+            ids = [all_ids[a:b].tobytes() + last for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             packed = [np.frombuffer(i, dtype="<u4").astype(kind).tobytes() for i in ids]
             columns = [part.column("doc_id").cast(pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(packed, pa.binary())]
             yield pa.record_batch(columns, names=["doc_id", "crc", "ids"])

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from batchlens.llm.common import bytes_of, id_type, slices
 
@@ -40,6 +41,8 @@ EPOCHS = 8
 BATCH = 64
 RATE = 3e-3
 UNKNOWN = "und"
+#: A filter keeps texts whose best language has this score; below it no language stands out.
+LEAST_SCORE = 0.3
 #: Windows pooled at once, so that their tables stay in the processor's cache.
 POOLED = 64
 
@@ -191,27 +194,55 @@ class Predictor:
         return [self.net.labels[b] for b in best], total[np.arange(len(texts)), best]
 
 
+def ready(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The given columns with text and letters: whether the text has any."""
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.select(*columns, "text", letters.alias("letters"))
+
+
+def classified(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with the language and score of their rows."""
+    predictor = Predictor(net)
+    for part in slices(batches):
+        texts = bytes_of(part)
+        rows = np.flatnonzero(part.column("letters").to_numpy(zero_copy_only=False))
+        lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+        if len(rows):
+            lang[rows], score[rows] = predictor.classify([texts[i] for i in rows])
+        yield part, lang, score
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): a language for every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(net)
-        for part in slices(batches):
-            texts = bytes_of(part)
-            rows = np.flatnonzero(part.column("letters").to_numpy(zero_copy_only=False))
-            lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-            if len(rows):
-                lang[rows], score[rows] = predictor.classify([texts[i] for i in rows])
+        for part, lang, score in classified(batches, net):
             columns = [part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score)]
             yield pa.record_batch(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    ready = docs.select("doc_id", "text", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), letters.alias("letters"))
+    rows = ready(docs, F.col("doc_id"), F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"))
     if net is None:
-        return ready.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return ready.mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, lang_pred string, score double")
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the training fold, predict everything."""
     return predict(docs, train(sample(docs)))
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Rows, all columns, whose text has a language with at least the given score; without labels to learn from, rows with a letter."""
+    net = train(sample(docs))
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("rest")
+    rows = ready(docs, rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lang, score in classified(batches, net):
+            yield part.select(["rest", "text"]).filter(pa.array((lang != UNKNOWN) & (score >= least)))
+
+    if net is None:
+        kept = rows.where("letters")
+    else:
+        kept = rows.mapInArrow(run, StructType([rows.schema["rest"], StructField("text", StringType())]))
+    return kept.select(*("text" if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -78,7 +78,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    found = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("rest.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query

@@ -70,14 +70,15 @@ def fingerprint(data: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row, the fingerprint as a signed long."""
+    """(doc_id, row_hash, fp): one row per input row, the fingerprint as a signed long; row_hash is of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in bytes_of(part)], dtype=np.uint64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([part.column("doc_id"), part.column("row_hash"), pa.array(found.view(np.int64))], names=["doc_id", "row_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_hash"))
+    return rows.mapInArrow(run, f"doc_id {id_type(docs)}, row_hash long, fp long")
 
 
 def references() -> list[list[int]]:
@@ -123,11 +124,19 @@ def links(fps: DataFrame, state: LoopState) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): the group of every row, named by its smallest id."""
+    """(doc_id, row_hash, fp, component, component_id): the group of every row, and its smallest id."""
     state = LoopState(docs.sparkSession, "simhash")
     rows, _ = state.save(fingerprints(docs, shingle))
     groups = components(links(rows.select("fp").distinct(), state), "simhash-groups")
     named = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("component", "fp").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(first, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(first, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "row_hash", "fp", "component", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of each group, all columns: that with the smallest id (null ids last), one of equal rows."""
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    first = near_duplicates(docs, shingle).groupBy("component").agg(F.min_by("row_hash", rank).alias("row_hash")).select("row_hash").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_hash"))
+    return rows.join(first, "row_hash", "left_semi").dropDuplicates(["row_hash"]).select("row.*")

@@ -48,10 +48,12 @@ def span_batch(u1: np.ndarray, u2: np.ndarray, first: np.ndarray, last: np.ndarr
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Key columns, doc_id, text and ``spans``: a list of (first, last) per row, null where a row has none."""
+    """(rest, text, spans) per row: its other columns, and a list of (first, last), null where it has none."""
     # equal rows send equal spans; one of each is kept before a row's spans meet
     lists = spans.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return keyed(docs).join(lists, KEY, "left")
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
+    rows = docs.select(rest.alias("rest"), "text", F.xxhash64("doc_id", "text").alias("u1"), F.hash("text", "doc_id").alias("u2"))
+    return rows.join(lists, KEY, "left").select("rest", "text", "spans")
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:

@@ -28,9 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from batchlens.llm import rolling, spans
-from batchlens.llm.common import bytes_of, id_type, slices
+from batchlens.llm.common import bytes_of, slices
 
 WINDOW = 35
 GRAM = 12
@@ -157,7 +159,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept): every row without its repeated words."""
+    """(rest, text, n_words, n_removed, kept_sha256, kept): every row with ``rest`` of its columns and its text without repeated words."""
+    found = spans.with_spans(docs, repeats(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -170,8 +173,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 removed.append(int(gone.sum()))
                 kept.append(left)
                 sha.append(hashlib.sha256(left).hexdigest())
-            columns = [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            columns = [part.column("rest"), part.column("text"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.record_batch(columns, names=["rest", "text", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = spans.with_spans(docs, repeats(docs)).select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {id_type(docs)}, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = StructType([found.schema["rest"], StructField("text", StringType())]).add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
+    return found.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """All columns; texts that lose words are their kept words joined by spaces, others stay as they are."""
+    made = remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return made.select(*(text.alias("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))

@@ -263,5 +263,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in (total, removed, stretches)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
             yield pa.record_batch(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = spans.with_spans(docs, repeats(docs)).select("doc_id", "text", "spans")
+    joined = spans.with_spans(docs.select("doc_id", "text"), repeats(docs)).select("rest.doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -57,8 +57,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = stop - start
     place = inside - np.repeat(start, size)
     values = (raw[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63]
-    if size.max() > 64:  # powers repeat in very long words; the round number keeps them apart
-        values = rolling.mix(values + (place >> 6).astype(np.uint64))
+    if size.max() > 64:  # powers repeat in very long words; the round number keeps their later bytes apart
+        late = np.flatnonzero(place >= 64)
+        values[late] = rolling.mix(values[late] + (place[late] >> 6).astype(np.uint64))
     first = np.cumsum(size) - size
     return rolling.mix(np.add.reduceat(values, first) + size.astype(np.uint64)), start
 

@@ -50,8 +50,9 @@ def cut(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def piece_hashes(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     place = np.arange(len(raw)) - np.repeat(starts, sizes)
     values = _DRAWN[0][raw] * _DRAWN[1][place & 255]
-    if sizes.max() > 256:  # multipliers repeat in long pieces; the round number keeps them apart
-        values = rolling.mix(values + (place >> 8).astype(np.uint64))
+    if sizes.max() > 256:  # multipliers repeat in long pieces; the round number keeps their later bytes apart
+        late = np.flatnonzero(place >= 256)
+        values[late] = rolling.mix(values[late] + (place[late] >> 8).astype(np.uint64))
     return rolling.mix(np.add.reduceat(values, starts) + sizes.astype(np.uint64))
 
 

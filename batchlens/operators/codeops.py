@@ -67,7 +67,7 @@ def method_shell(execs: DataFrame) -> DataFrame:
     return rows.join(flags, "method_fqn")
 
 
-def ancestors(extends: DataFrame, classes: DataFrame, max_depth: int = 10) -> DataFrame:
+def ancestors(extends: DataFrame, classes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(class_fqn, ancestor_fqn, depth) including the class itself at depth 0."""
     edges = extends.select(F.col("child_fqn").alias("src_id"), F.col("parent_fqn").alias("dst_id"))
     roots = classes.select(F.col("class_fqn").alias("root"), F.col("class_fqn").alias("node")).distinct()
@@ -75,13 +75,15 @@ def ancestors(extends: DataFrame, classes: DataFrame, max_depth: int = 10) -> Da
     return r.select(F.col("root").alias("class_fqn"), F.col("node").alias("ancestor_fqn"), F.col("distance").alias("depth"))
 
 
-def entry_methods(step_class: DataFrame, methods: DataFrame, extends: DataFrame, limit: int = 3) -> DataFrame:
-    """Nearest entry methods of each step: its classes' own, then inherited ones."""
+def entry_methods(step_class: DataFrame, methods: DataFrame, extends: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entry methods of each step, its classes' own and inherited ones; with ``limit`` the nearest few."""
     wanted = F.when(F.col("step_kind") == "TASKLET", F.array(F.lit("execute"))).otherwise(F.array(F.lit("read"), F.lit("process"), F.lit("write")))
     asked = step_class.select("step_id", "class_fqn", F.explode(wanted).alias("name")).distinct()
     up = ancestors(extends, step_class.select("class_fqn"))
     have = methods.select(F.col("class_fqn").alias("ancestor_fqn"), "name", F.col("fqn").alias("method_fqn"))
     hits = asked.join(up, "class_fqn").join(have, ["ancestor_fqn", "name"]).groupBy("step_id", "method_fqn").agg(F.min("depth").alias("depth"))
+    if limit is None:
+        return hits
     w = Window.partitionBy("step_id").orderBy("depth", "method_fqn")  # top few per step: limited before the shuffle too
     return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
 
@@ -255,8 +257,8 @@ def step_gap_counts(steps: DataFrame, step_op: DataFrame) -> DataFrame:
     return steps.join(gaps, "id", "left").select("job_id", F.col("id").alias("step_id"), "step_kind", F.coalesce("gap_count", F.lit(0)).alias("gap_count"))
 
 
-def step_gaps(step_class: DataFrame, methods: DataFrame, calls: DataFrame, method_op: DataFrame, max_calls: int = 10) -> DataFrame:
-    """Unresolved entries of methods at most ten calls below a step's entry methods."""
+def step_gaps(step_class: DataFrame, methods: DataFrame, calls: DataFrame, method_op: DataFrame, max_calls: int | None = None) -> DataFrame:
+    """Unresolved entries of methods below a step's entry methods (at most ``max_calls`` calls, if given)."""
     names = list(ROLE_METHOD.values())
     own = step_class.select("step_id", "class_fqn").distinct().join(
         methods.where(F.col("name").isin(names)).select("class_fqn", F.col("fqn").alias("method_fqn")), "class_fqn").select("step_id", "method_fqn")
@@ -322,7 +324,7 @@ def interface_registry(classes: DataFrame, extends: DataFrame, references: DataF
     return Registry(known.select("child_fqn", "parent_fqn"), impl, summary)
 
 
-def inherited_method(asked: DataFrame, methods: DataFrame, extends: DataFrame, max_depth: int = 10) -> DataFrame:
+def inherited_method(asked: DataFrame, methods: DataFrame, extends: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nearest class declaring a method, for (class_fqn, name): the class itself or an ancestor."""
     up = ancestors(extends, asked, max_depth)
     have = methods.groupBy(F.col("class_fqn").alias("ancestor_fqn"), "name").agg(F.min("fqn").alias("method_fqn"))

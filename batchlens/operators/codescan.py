@@ -42,7 +42,7 @@ INLINE_SQL = r"(?s)(?:namedParameterJdbcTemplate|jdbcTemplate)\.(?:query|queryFo
 CONSTANT_SQL = r"(?s)(?:namedParameterJdbcTemplate|jdbcTemplate)\.(?:query|queryForObject|queryForList|update)\s*\(\s*([A-Z][\w.]*)\.([A-Za-z_][A-Za-z_0-9]*)\s*[,)]"
 PREPARED_CONSTANT = r"(?s)(?:prepareStatement|prepareCall)\s*\(\s*([A-Z][\w.]*)\.([A-Za-z_][A-Za-z_0-9]*)\s*[,)]"
 DYNAMIC_SQL = (r"[\"'][^\"'][\"']\s*\+|\+\s*[\"']", r"String\.format", "StringBuilder", "StringBuffer")
-DYNAMIC_WINDOW = 500  # characters after the call that decide whether its SQL is put together
+REST_OF_STATEMENT = r"""(?:[^;"']++|"[^"]*+"|'[^']*+')*+"""
 JAVA_TYPES = (
     "List", "Set", "Map", "Collection", "ArrayList", "HashSet", "HashMap", "String", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte",
     "Short", "Object", "void", "int", "long", "double", "float", "boolean", "char", "byte", "short",
@@ -85,7 +85,8 @@ def extract_query(methods: DataFrame, constants: DataFrame) -> DataFrame:
     """SQL text of a method: literal, or through a (class, constant) look-up; put-together SQL is DYNAMIC_SQL."""
     src = F.col("source")
     inline = _first(src, INLINE_SQL)
-    from_call = F.substring(F.regexp_extract(src, f"(?s)({INLINE_SQL[4:]}.*)", 1), 1, DYNAMIC_WINDOW)
+    # the rest of the statement, however long: up to the first semicolon outside quotes
+    from_call = F.regexp_extract(src, f"(?s)({INLINE_SQL[4:]}{REST_OF_STATEMENT})", 1)
     inline = F.when(inline.isNotNull(), F.when(_any_match(from_call, DYNAMIC_SQL, ""), "DYNAMIC_SQL").otherwise(F.trim(inline)))
     found = methods.select(
         F.col("fqn").alias("method_fqn"), F.coalesce(F.trim(_first(src, JPQL_TEXT)), inline).alias("literal"),
@@ -96,25 +97,34 @@ def extract_query(methods: DataFrame, constants: DataFrame) -> DataFrame:
     return looked.select("method_fqn", F.coalesce("literal", "sql").alias("query")).where("query IS NOT NULL")
 
 
-FROM_TEXT = r"(?is)FROM\s+(.*?)(?:\s+WHERE|\s+GROUP\s+BY|\s+ORDER\s+BY|\s+HAVING|\s+LIMIT|\s+UNION|\s+EXCEPT|\s+INTERSECT|;|$)"
-JOIN_WORDS = r"(?i)\s+(?:INNER\s+|LEFT\s+(?:OUTER\s+)?|RIGHT\s+(?:OUTER\s+)?|FULL\s+(?:OUTER\s+)?|CROSS\s+)?JOIN\s+"
-TABLE_PATTERNS = (r"(?i)FROM\s+([\w.]+)", r"(?i)JOIN\s+([\w.]+)", r"(?i)INTO\s+([\w.]+)", r"(?i)UPDATE\s+([\w.]+)", r",\s+([\w.]+)")
+# words that end a list of tables, and words after which a table (or a list of them) is named
+CLAUSE_WORDS = ("WHERE", "GROUP BY", "ORDER BY", "HAVING", "LIMIT", "UNION", "EXCEPT", "INTERSECT")
+TABLE_WORDS = ("FROM", "JOIN", "INTO", "UPDATE")
+
+
+def _words(words) -> str:
+    return r"\b(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b"
 
 
 def tables_in_sql(queries: DataFrame) -> DataFrame:
-    """Tables a statement names (method_fqn, query): its FROM text split on joins and commas, plus INTO/UPDATE targets."""
+    """Tables a statement names (method_fqn, query).
+
+    A statement with FROM is read from there to its first clause word, another
+    one whole.  It is cut at table words and, in a FROM list, at commas; each
+    part starts with a table name or an opening bracket.
+    """
     q = F.col("query")
-    clause = F.when(q.rlike(FROM_TEXT), F.regexp_extract(q, FROM_TEXT, 1))
-    items = F.flatten(F.transform(F.split(clause, JOIN_WORDS), lambda p: F.split(p, ",")))
-    named = F.transform(items, lambda i: F.regexp_extract(F.trim(F.regexp_replace(i, r"(?is)\s+ON\s+.*$", "")), r"^\s*([\w.]+)", 1))
-    text = F.coalesce(F.concat(F.lit("FROM "), clause), q)
-    scanned = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in TABLE_PATTERNS)))
-    refs = F.array_union(F.coalesce(named, F.array().cast("array<string>")), scanned)
+    has_from = q.rlike("(?i)" + _words(["FROM"]))
+    behind = F.element_at(F.split(q, "(?i)" + _words(["FROM"]), 2), -1)
+    listed = F.split(F.split(behind, "(?i)" + _words(CLAUSE_WORDS) + "|;", 2)[0], "(?i),|" + _words(TABLE_WORDS))
+    targets = F.split(q, "(?i)" + _words(TABLE_WORDS))
+    parts = F.when(has_from, listed).otherwise(F.slice(targets, 2, F.greatest(F.size(targets) - 1, F.lit(0))))
+    refs = F.array_distinct(F.transform(parts, lambda i: F.regexp_extract(i, r"^\s*([\w.]+)", 1)))
     each = queries.where(q != "DYNAMIC_SQL").select("method_fqn", F.explode(refs).alias("ref"))
-    parts = F.split("ref", r"\.")
+    pieces = F.split("ref", r"\.")
     real = each.where((F.col("ref") != "") & ((F.length("ref") > 2) | F.col("ref").contains(".")))
     found = real.select(
-        "method_fqn", F.element_at(parts, -1).alias("table_name"), F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2))).alias("schema_name")
+        "method_fqn", F.element_at(pieces, -1).alias("table_name"), F.when(F.size(pieces) > 1, F.try_element_at(pieces, F.lit(-2))).alias("schema_name")
     )
     dynamic = queries.where(q == "DYNAMIC_SQL").select("method_fqn", F.lit("DYNAMIC_TABLE").alias("table_name"), F.lit(None).cast("string").alias("schema_name"))
     return found.unionByName(dynamic).distinct()
@@ -149,8 +159,7 @@ PARAMETER_CALLS = (
     r"\.setString\s*\(", r"\.setInt\s*\(", r"\.setLong\s*\(", r"\.setDouble\s*\(", r"\.setBoolean\s*\(", r"\.setDate\s*\(", r"\.setTimestamp\s*\(",
     r"\.setBigDecimal\s*\(", r"\.setObject\s*\(", r"\.setParameter\s*\(", r"\.registerOutParameter\s*\(",
 )
-MAX_PARAMETERS = 10
-DATABASE_WORDS = (("ORACLE", ("oracle",)), ("POSTGRESQL", ("postgres", "pgconnection")), ("MYSQL", ("mysql", "mariadb")), ("SQL_SERVER", ("sqlserver", "mssql")))
+DATABASE_WORDS = (("ORACLE", ("oracle",)), ("POSTGRESQL", ("postgres", "pgconnection")), ("MYSQL", ("mysql", "mariadb")), ("SQL_SERVER", ("sqlserver", "mssql")), ("DB2", ("db2",)))
 
 
 def _quoted(call: str) -> str:
@@ -196,15 +205,17 @@ def detect_procedure_calls(methods: DataFrame) -> DataFrame:
                                        F.when(src.rlike(r"createStoredProcedureQuery\s*\(\s*\w+\s*\)"), "DYNAMIC_PROCEDURE")), F.lit(False))
     bodies = {"SimpleJdbcCall": simple, "CallableStatement": callable_, "StoredProcedureQuery": sp}
     found = F.coalesce(*(
-        F.when(_any_match(src, ind, "") & bodies[kind].isNotNull(), F.struct(F.lit(kind).alias("call_type"), bodies[kind].alias("c"))) for kind, ind in PROCEDURE_INDICATORS
+        F.when(_any_match(src, ind) & bodies[kind].isNotNull(), F.struct(F.lit(kind).alias("call_type"), bodies[kind].alias("c"))) for kind, ind in PROCEDURE_INDICATORS
     ))
     db = F.lit("UNKNOWN")
     for kind, words in reversed(DATABASE_WORDS):
         db = F.when(reduce(lambda a, b: a | b, (F.lower(src).contains(w) for w in words)), kind).otherwise(db)
     params = F.flatten(F.array(*(F.regexp_extract_all(src, F.lit(p), F.lit(0)) for p in PARAMETER_CALLS)))
-    params = F.slice(F.array_distinct(F.transform(params, lambda x: F.trim(F.regexp_replace(x, r"[,\s]+", " ")))), 1, MAX_PARAMETERS)
+    params = F.array_distinct(F.transform(params, lambda x: F.trim(F.regexp_replace(x, r"[,\s]+", " "))))
     out = methods.select(F.col("fqn").alias("method_fqn"), found.alias("f"), db.alias("database_type"), params.alias("parameters")).where("f IS NOT NULL")
-    return out.select("method_fqn", "f.call_type", "f.c.*", "database_type", "parameters")
+    # parameters are listed for calls built in code only
+    listed = F.when(F.col("f.call_type") == "SimpleJdbcCall", F.col("parameters")).otherwise(F.array().cast("array<string>"))
+    return out.select("method_fqn", "f.call_type", "f.c.*", "database_type", listed.alias("parameters"))
 
 
 # fixed values: shell rules
@@ -223,6 +234,18 @@ SHELL_CALLS = (
     ("Runtime.exec", r"(?s)Runtime\.getRuntime\(\)\.exec\s*\(\s*([^)]+)\)"), ("ProcessBuilder", r"(?s)new\s+ProcessBuilder\s*\(\s*([^)]+)\)"),
     ("CommonsExec", r"(?s)executor\.execute\s*\(\s*([^)]+)\)"),
 )
+# fixed values: what a command argument that isn't a plain text looks like, in order: pattern, script type, script name, reason
+SHELL_VERDICTS = (
+    (r"\w+\s*\+|\+\s*\w+|String\.format|String\.join", "SHELL", "DYNAMIC_PATH", "DYNAMIC_PATH:String concatenation or formatting detected"),
+    (r"(?i)\b(scriptPath|hostname|user|command|cmd)\b", "SHELL", "PARAMETERIZED", "PARAMETERIZED:Script path passed as parameter"),
+    ("(?i)ssh|scp|sftp|rsync", "REMOTE_SHELL", "REMOTE_EXECUTION", "REMOTE_EXECUTION:SSH or remote execution detected"),
+    ("", "UNKNOWN", "UNKNOWN_SCRIPT", "UNKNOWN_SCRIPT:Cannot determine script from source"),
+)
+# fixed values: signs of a script name that is a variable, or settled by its ending or place
+VARIABLE_NAME, VARIABLE_WORDS = "^[a-z][a-zA-Z0-9_]*$", ("script", "file", "path", "command", "cmd", "dir")
+PUT_TOGETHER = r"String\.(format|join)|StringBuilder|StringBuffer"
+SCRIPT_ENDING, ABSOLUTE_PATH = r"\.(sh|py|ps1|bat|cmd|pl|rb|js)$", r"^([a-zA-Z]:[/\\]|/)"
+SHORTEST_NAME = 3
 GREY_CORE = ("UNKNOWN", "DYNAMIC", "PARAMETERIZED")
 GREY_DB = GREY_CORE + ("DYNAMIC_TABLE", "DYNAMIC_CATALOG", "DYNAMIC_SCHEMA")
 GREY_PROC = GREY_CORE + ("DYNAMIC_PROCEDURE", "DYNAMIC_PACKAGE")
@@ -261,36 +284,31 @@ def detect_shell(methods: DataFrame) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     arg = F.trim("raw")
     literal = arg.startswith('"') & arg.endswith('"')
-    joined = arg.rlike(r"\w+\s*\+|\+\s*\w+|String\.format|String\.join")
-    passed = arg.rlike(r"(?i)\b(scriptPath|hostname|user|command|cmd)\b")
-    remote = arg.rlike("(?i)ssh|scp|sftp|rsync")
     path = F.regexp_replace(arg, '^"+|"+$', "")
 
-    def pick(lit_value, *values):
-        a, b, c, d = (F.lit(v) for v in values)
-        return F.when(literal, lit_value).when(joined, a).when(passed, b).when(remote, c).otherwise(d)
+    def verdict(plain: Column, field: int) -> Column:
+        out = F.lit(None).cast("string")
+        for rule in reversed(SHELL_VERDICTS):
+            out = F.when(arg.rlike(rule[0]), rule[field]).otherwise(out)
+        return F.when(literal, plain).otherwise(out)
 
-    none = F.lit(None).cast("string")
     return found.select(
-        "method_fqn", "execution_method", "pos",
-        pick(script_type_hint(path), "SHELL", "SHELL", "REMOTE_SHELL", "UNKNOWN").alias("script_type"),
-        pick(path, "DYNAMIC_PATH", "PARAMETERIZED", "REMOTE_EXECUTION", "UNKNOWN_SCRIPT").alias("script_name"),
+        "method_fqn", "execution_method", "pos", verdict(script_type_hint(path), 1).alias("script_type"), verdict(path, 2).alias("script_name"),
         F.when(literal, "HIGH").otherwise("LOW").alias("confidence"), (~literal).alias("further_analysis"),
-        pick(none, "DYNAMIC_PATH:String concatenation or formatting detected", "PARAMETERIZED:Script path passed as parameter",
-             "REMOTE_EXECUTION:SSH or remote execution detected", "UNKNOWN_SCRIPT:Cannot determine script from source").alias("grey_area_reason"),
+        verdict(F.lit(None).cast("string"), 3).alias("grey_area_reason"),
     )
 
 
 def is_grey_script(name: Column, source: Column) -> Column:
     """Script name that needs a person to look at it."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    variable = name.rlike("^[a-z][a-zA-Z0-9_]*$") & reduce(lambda a, b: a | b, (low.contains(w) for w in ("script", "file", "path", "command", "cmd", "dir")))
-    glued = source.contains("+") & (source.contains('"') | source.contains("'"))
-    return (
-        F.when(low == "", True).when(reduce(lambda a, b: a | b, (low.contains(k) for k in SCRIPT_QUALITY)), True).when(variable, True).when(glued, True)
-        .when(source.rlike(r"String\.(format|join)|StringBuilder|StringBuffer"), True).when(F.length(name) < 3, True)
-        .when(low.rlike(r"\.(sh|py|ps1|bat|cmd|pl|rb|js)$"), False).when(name.rlike(r"^([a-zA-Z]:[/\\]|/)"), False).otherwise(True)
+    has = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    unclear = (
+        (low == "") | has(SCRIPT_QUALITY) | (name.rlike(VARIABLE_NAME) & has(VARIABLE_WORDS))
+        | (source.contains("+") & source.rlike("[\"']")) | source.rlike(PUT_TOGETHER) | (F.length(name) < SHORTEST_NAME)
     )
+    settled = low.rlike(SCRIPT_ENDING) | name.rlike(ABSOLUTE_PATH)
+    return F.coalesce(unclear, F.lit(False)) | ~F.coalesce(settled, F.lit(False))
 
 
 def code_line_count(source: Column) -> Column:
@@ -301,7 +319,8 @@ def code_line_count(source: Column) -> Column:
 
 def erased_key(signature: Column) -> Column:
     """Method key without generic arguments and blanks."""
-    inner = F.regexp_replace(signature, r"<[^<>]*>", "")
-    for _ in range(3):  # nested generics
-        inner = F.regexp_replace(inner, r"<[^<>]*>", "")
+    # each round removes the innermost brackets: as many rounds as there are brackets
+    depth = F.length(F.regexp_replace(F.coalesce(signature, F.lit("")), "[^<]", ""))
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    inner = F.aggregate(rounds, signature, lambda text, _: F.regexp_replace(text, r"<[^<>]*>", ""))
     return F.regexp_replace(inner, r"\s+", "")

@@ -27,7 +27,7 @@ def context_job_names(sics: DataFrame, job: DataFrame) -> DataFrame:
     )
 
 
-def job_dependency_chain(sics: DataFrame, job: DataFrame, edges: DataFrame, job_name: str | None = None, max_hops: int = 30) -> Flow:
+def job_dependency_chain(sics: DataFrame, job: DataFrame, edges: DataFrame, job_name: str | None = None, max_hops: int | None = None) -> Flow:
     """Everything up- and downstream of each context of a job (or of every job).
 
     Nodes carry TARGET, UPSTREAM or DOWNSTREAM, in that precedence.
@@ -58,7 +58,7 @@ def job_dependency_chain(sics: DataFrame, job: DataFrame, edges: DataFrame, job_
 
 
 def jobgroup_execution_flow(
-    sics: DataFrame, job: DataFrame, entry: DataFrame, edges: DataFrame, group_id: str | None = None, max_hops: int = 30
+    sics: DataFrame, job: DataFrame, entry: DataFrame, edges: DataFrame, group_id: str | None = None, max_hops: int | None = None
 ) -> Flow:
     """Contexts reachable from a group's entries, by distance, with an order index."""
     starts = entry if group_id is None else entry.where(F.col("job_group_id") == group_id)
@@ -73,7 +73,7 @@ def jobgroup_execution_flow(
     return Flow(nodes, links, summary)
 
 
-def job_step_flow(nodes: DataFrame, edges: DataFrame, job_entry: DataFrame, job_id: str | None = None, max_hops: int = 20) -> Flow:
+def job_step_flow(nodes: DataFrame, edges: DataFrame, job_entry: DataFrame, job_id: str | None = None, max_hops: int | None = None) -> Flow:
     """Steps, blocks and decisions reachable from a job's entry, with counts per label."""
     starts = job_entry if job_id is None else job_entry.where(F.col("job_id") == job_id)
     roots = starts.select("job_id", F.col("node_id").alias("node"))

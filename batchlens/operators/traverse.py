@@ -23,7 +23,7 @@ def flip(edges: DataFrame) -> DataFrame:
 
 
 def reachable(
-    edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ("root",), min_hops: int = 0, max_hops: int | None = 50,
+    edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ("root",), min_hops: int = 0, max_hops: int | None = None,
     direction: str = "down", scope: DataFrame | None = None, edge_keys: Sequence[str] = (), scope_keys: Sequence[str] = (),
 ) -> DataFrame:
     """(keys, node, distance): fewest hops from each traversal's roots.
@@ -31,7 +31,7 @@ def reachable(
     ``roots`` has the keys and ``node``.  With ``min_hops=1`` a root itself
     appears only when a cycle leads back to it.  ``scope`` (column ``node``)
     must hold every node of a path; with ``scope_keys`` it differs per
-    traversal.  ``max_hops=None`` runs to exhaustion.
+    traversal.  Without ``max_hops`` the walk ends when nothing new is found.
     """
     state = LoopState(roots.sparkSession, "reach")
     keys, edge_keys = list(keys), list(edge_keys)
@@ -65,6 +65,8 @@ def reachable(
         frontier, grown = state.save(step.select(*keys, "node", F.lit(depth).alias("distance")))
         if grown:
             seen.append(frontier)
+    for table in (links, inside) if scope_keys else (links,):
+        state.drop(table)  # the result reads the rounds only
     return state.union_of(seen) if seen else frontier
 
 
@@ -76,9 +78,9 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def path_edges(edges: DataFrame, reach: DataFrame, max_hops: int, keys: Sequence[str] = ("root",), direction: str = "down") -> DataFrame:
-    """Edges on a path of at most ``max_hops`` from each traversal's roots."""
-    near = reach.where(F.col("distance") < max_hops).select(*keys, "node")
+def path_edges(edges: DataFrame, reach: DataFrame, max_hops: int | None = None, keys: Sequence[str] = ("root",), direction: str = "down") -> DataFrame:
+    """Edges on a path (of at most ``max_hops``, if given) from each traversal's roots."""
+    near = (reach if max_hops is None else reach.where(F.col("distance") < max_hops)).select(*keys, "node")
     end = "src_id" if direction == "down" else "dst_id"
     return near.withColumnRenamed("node", end).join(edges.select("src_id", "dst_id"), end).select(*keys, "src_id", "dst_id").distinct()
 
@@ -116,6 +118,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] =
         freed, grown = state.save(ready.select(*keys, F.col("dst_id").alias("node"), F.lit(depth).alias("level")))
         if grown:
             done.append(freed)
+    state.drop(links)
     ordered = state.union_of(done)
     rest = todo.join(ordered, [*keys, "node"], "left_anti").withColumn("level", F.lit(depth))
     return ordered.withColumn("in_cycle", F.lit(False)).unionByName(rest.withColumn("in_cycle", F.lit(True)))
@@ -131,27 +134,38 @@ def waves(
     ``gathered`` aggregates the solved columns of a node's predecessors
     (src_id of ``edges``), then ``solved`` computes the node's own columns from
     its inputs and those aggregates.  Each node is visited once.
+
+    Inputs and links are stored by level, so a level reads its own slice of
+    both, and of earlier results only the levels that lead into it.
     """
     state = state or LoopState(nodes.sparkSession, "waves")
     keys, edge_keys = list(keys), list(edge_keys)
-    inputs, _ = state.save(nodes)
-    links, _ = state.save(edges.select(*edge_keys, "src_id", "dst_id").distinct())
+    inputs, _ = state.save(nodes, ["level"])
+    placed = inputs.select(*keys, "node", "level")
+    links = edges.select(*edge_keys, "src_id", "dst_id").distinct()
+    links = links.join(placed.withColumnsRenamed({"node": "dst_id", "level": "_to"}), [*edge_keys, "dst_id"])
+    links = links.join(placed.withColumnsRenamed({"node": "src_id", "level": "_from"}), [*keys, "src_id"])
+    links, _ = state.save(links.where("_from < _to").select(*keys, "src_id", "dst_id", "_from", "_to"), ["_to"])
     top = inputs.agg(F.max("level")).first()[0]
+    leads: dict[int, list[int]] = {}
+    for row in links.select("_from", "_to").distinct().collect():  # pairs of levels, few however many links there are
+        leads.setdefault(row["_to"], []).append(row["_from"])
     results: list[DataFrame] = []
     for level in range(0, -1 if top is None else top + 1):
-        here = inputs.where(F.col("level") == level)
-        if results:
-            before = state.union_of(results).select(*keys, F.col("node").alias("src_id"), *solved)
-            into = here.select(*keys, F.col("node").alias("dst_id")).join(links, [*edge_keys, "dst_id"])
+        here = inputs.where(F.col("level") == level).select(*nodes.columns)
+        if level in leads:
+            before = state.union_of([results[n] for n in sorted(leads[level])]).select(*keys, F.col("node").alias("src_id"), *solved)
+            into = links.where(F.col("_to") == level).select(*keys, "src_id", "dst_id")
             facts = into.join(before, [*keys, "src_id"]).groupBy(*keys, F.col("dst_id").alias("node")).agg(
                 *(c.alias(n) for n, c in gathered.items())
             )
             here = here.join(facts, [*keys, "node"], "left")
         else:
             here = here.select("*", *(F.lit(None).cast("bigint").alias(n) for n in gathered))
-        out = here.select(*nodes.columns, *(c.alias(n) for n, c in solved.items()))
-        saved, _ = state.save(out)
+        saved, _ = state.save(here.select(*nodes.columns, *(c.alias(n) for n, c in solved.items())))
         results.append(saved)
     if not results:
-        return inputs.select("*", *(F.lit(None).cast("bigint").alias(n) for n in solved))
+        return inputs.select(*nodes.columns, *(F.lit(None).cast("bigint").alias(n) for n in solved))
+    state.drop(links)
+    state.drop(inputs)
     return state.union_of(results)

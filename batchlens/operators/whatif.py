@@ -19,7 +19,6 @@ from batchlens.operators.traverse import flip, reachable, topological_levels, wa
 from batchlens.session import LoopState
 
 KEY = ["scenario_id"]
-MAX_HOPS = 50
 
 
 def source_kind(text: Column) -> Column:
@@ -61,15 +60,15 @@ def resolve_roots(scenarios: DataFrame, sics: DataFrame, job: DataFrame, job_gro
 
 
 def impacted(roots: DataFrame, edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Roots and everything within 50 hops below them; ``scope`` is (scenario_id, node)."""
-    return reachable(edges, roots, KEY, max_hops=MAX_HOPS, scope=scope, scope_keys=KEY if scope is not None else ())
+    """Roots and everything below them; ``scope`` is (scenario_id, node)."""
+    return reachable(edges, roots, KEY, scope=scope, scope_keys=KEY if scope is not None else ())
 
 
 def group_cascade(roots: DataFrame, already: DataFrame, sics: DataFrame, group_edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Contexts of groups downstream of the roots' groups that are not impacted yet."""
     member = sics.select(F.col("id").alias("node"), "job_group_id")
     start = roots.join(member, "node").select("scenario_id", F.col("job_group_id").alias("node")).distinct()
-    groups = reachable(group_edges, start, KEY, min_hops=1, max_hops=MAX_HOPS)
+    groups = reachable(group_edges, start, KEY, min_hops=1)
     added = groups.select("scenario_id", F.col("node").alias("job_group_id")).join(member, "job_group_id").select("scenario_id", "node")
     if scope is not None:
         added = added.join(scope, ["scenario_id", "node"], "left_semi")

@@ -214,7 +214,7 @@ def e19_summary(t):
     FROM r JOIN {sic} s ON s.id = r.node LEFT JOIN {job} j ON j.id = s.job_id GROUP BY ALL""")
 def e20(t):
     roots = c.calendar_anomalies(plan(t), executed(t)).select("business_date", F.col("sic_id").alias("node"))
-    hit = tr.reachable(t.sic_precedes, roots, ["business_date"], min_hops=1, max_hops=50)
+    hit = tr.reachable(t.sic_precedes, roots, ["business_date"], min_hops=1)
     names = t.sic.join(t.job.select(F.col("id").alias("job_id"), F.col("name").alias("job_name")), "job_id", "left")
     return hit.join(names.select(F.col("id").alias("node"), "job_name"), "node").select(
         "business_date", F.col("node").alias("sic_id"), "job_name", F.col("distance").alias("min_distance")

@@ -23,14 +23,14 @@ SHARED.update({
     "o_proc": """
         SELECT fqn AS method_fqn, CASE kind WHEN 3 THEN 'CallableStatement' ELSE 'SimpleJdbcCall' END AS call_type, CASE kind WHEN 2 THEN 'S1' WHEN 3 THEN 'sch' END AS schema_name, NULL AS catalog_name,
                CASE kind WHEN 3 THEN 'pkg' END AS package_name, CASE kind WHEN 2 THEN 'P' || (method_key % 30) WHEN 3 THEN 'proc' || (method_key % 30) ELSE 'DYNAMIC_PROCEDURE' END AS procedure_name, false AS is_function,
-               CASE kind WHEN 2 THEN 'ORACLE' ELSE 'UNKNOWN' END AS database_type, CASE kind WHEN 2 THEN '.setString(' WHEN 3 THEN '.setInt(' ELSE '' END AS parameters FROM {method_source} WHERE kind IN (2, 3, 5)""",
+               CASE kind WHEN 2 THEN 'ORACLE' ELSE 'UNKNOWN' END AS database_type, CASE kind WHEN 2 THEN '.setString(' ELSE '' END AS parameters FROM {method_source} WHERE kind IN (2, 3, 5)""",
     "o_anc": """ /*rec*/ SELECT class_fqn, ancestor_fqn, min(depth) AS depth FROM (
         WITH RECURSIVE a AS (SELECT fqn AS class_fqn, fqn AS ancestor_fqn, 0 AS depth FROM {java_class}
             UNION SELECT a.class_fqn, e.parent_fqn, a.depth + 1 FROM a JOIN {extends} e ON e.child_fqn = a.ancestor_fqn WHERE a.depth < 10) SELECT * FROM a) GROUP BY 1, 2""",
     "o_entry": """
         SELECT step_id, method_fqn, depth FROM (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY depth, method_fqn) AS rn FROM (
             SELECT s.step_id, m.fqn AS method_fqn, min(a.depth) AS depth FROM {step_class} s JOIN {o_anc} a ON a.class_fqn = s.class_fqn
-            JOIN {java_method} m ON m.class_fqn = a.ancestor_fqn AND ((s.step_kind = 'TASKLET' AND m.name = 'execute') OR (s.step_kind = 'CHUNK' AND m.name IN ('read', 'process', 'write'))) GROUP BY 1, 2)) WHERE rn <= 3""",
+            JOIN {java_method} m ON m.class_fqn = a.ancestor_fqn AND ((s.step_kind = 'TASKLET' AND m.name = 'execute') OR (s.step_kind = 'CHUNK' AND m.name IN ('read', 'process', 'write'))) GROUP BY 1, 2))""",
     "o_walk": """ /*rec*/ SELECT step_id, node, min(d) AS distance FROM (
         WITH RECURSIVE b AS (SELECT step_id, method_fqn AS node, 0 AS d FROM {o_entry} UNION SELECT b.step_id, k.dst_fqn, b.d + 1 FROM b JOIN {calls} k ON k.src_fqn = b.node WHERE b.d < 20) SELECT * FROM b) GROUP BY 1, 2""",
     "o_own": """ /*rec*/ SELECT DISTINCT step_id, node FROM (
@@ -38,7 +38,7 @@ SHARED.update({
             UNION SELECT b.step_id, k.dst_fqn, b.d + 1 FROM b JOIN {calls} k ON k.src_fqn = b.node WHERE b.d < 20) SELECT * FROM b)""",
     "o_gapwalk": """ /*rec*/ SELECT DISTINCT step_id, node FROM (
         WITH RECURSIVE b AS (SELECT s.step_id, m.fqn AS node, 0 AS d FROM {step_class} s JOIN {java_method} m ON m.class_fqn = s.class_fqn AND m.name IN ('execute', 'read', 'process', 'write')
-            UNION SELECT b.step_id, k.dst_fqn, b.d + 1 FROM b JOIN {calls} k ON k.src_fqn = b.node WHERE b.d < 10) SELECT * FROM b)""",
+            UNION SELECT b.step_id, k.dst_fqn, b.d + 1 FROM b JOIN {calls} k ON k.src_fqn = b.node WHERE b.d < 20) SELECT * FROM b)""",
     "o_reg": """
         SELECT i.fqn AS interface_fqn, count(DISTINCT c.fqn) AS impl_count, min(c.fqn) AS first_impl, CASE count(DISTINCT c.fqn) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multiple' END AS bucket
         FROM {java_class} i LEFT JOIN {implements_ref} r ON r.ref = i.fqn LEFT JOIN {java_class} c ON c.fqn = r.class_fqn AND NOT c.is_interface WHERE i.is_interface GROUP BY 1""",

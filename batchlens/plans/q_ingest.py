@@ -51,7 +51,7 @@ def context_sheet(t):
     FULL JOIN (SELECT id, description, tagType AS tag_type FROM {sheet_tag}) n ON n.id = t.id""")
 def i1(t):
     target = t.part.select(F.concat(F.lit("TAG_"), "p_partkey").alias("id"), F.col("p_name").alias("description"), (F.col("p_size") > 10).alias("enabled"))
-    return up.upsert(target, t.sheet_tag.select("id", "description", F.col("tagType").alias("tag_type")), ["id"])
+    return up.upsert(target, t.sheet_tag.select("id", "description", F.col("tagType").alias("tag_type")), ["id"], None)
 
 
 @query("i1_upsert_coalesce", """
@@ -60,7 +60,7 @@ def i1(t):
 def i1_coalesce(t):
     target = t.part.select(F.concat(F.lit("TAG_"), "p_partkey").alias("id"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("mark"))
     new = t.orders.select(F.concat(F.lit("TAG_"), "o_custkey").alias("id"), F.col("o_orderpriority").alias("mark"), F.col("o_orderkey").alias("n"))
-    return up.upsert(target, new, ["id"], "coalesce", ["n"]).select("id", "mark")
+    return up.upsert(target, new, ["id"], ["n"], "coalesce").select("id", "mark")
 
 
 @query("i2_load_tags", "SELECT id, name, coalesce(description, '') AS description, coalesce(tagType, '') AS tag_type, coalesce(enabled, true) AS enabled FROM {sheet_tag}")

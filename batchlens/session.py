@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ def local_session(app: str = "batchlens", cpus: str = "8", shuffle: int = 8) ->
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="batchlens-"))
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -29,8 +31,8 @@ def local_session(app: str = "batchlens", cpus: str = "8", shuffle: int = 8) ->
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for loop state.
 
-    Taken from ``spark.checkpoint.dir``.  Only a local session without that
-    setting gets a temporary folder: executors of a cluster could not read it.
+    Taken from ``spark.checkpoint.dir``.  Only a session that runs in one
+    process and has no such setting gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -59,21 +61,21 @@ class LoopState:
         self._n = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def save(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """Write ``df``; return the stored table and its row count."""
-        stored, counts = self.save_counting(df)
+    def save(self, df: DataFrame, parts: Sequence[str] = ()) -> tuple[DataFrame, int]:
+        """Write ``df`` (in folders by the values of ``parts``); return the stored table and its row count."""
+        stored, counts = self._save(df, {}, parts)
         return stored, counts["n"]
 
     def save_counting(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
         """Write ``df`` and count its rows, and those meeting each condition, in the same pass."""
         return self._save(df, {name: F.count_if(c) for name, c in conditions.items()})
 
-    def _save(self, df: DataFrame, facts: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    def _save(self, df: DataFrame, facts: dict[str, Column], parts: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
         self._n += 1
         path = f"{self.root}/{self._n:05d}"
         seen = Observation()
         wanted = [F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in facts.items())]
-        df.observe(seen, *wanted).write.parquet(path)
+        df.observe(seen, *wanted).write.partitionBy(*parts).parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(stored)] = (stored, path)
         return stored, {name: int(v) for name, v in seen.get.items()}

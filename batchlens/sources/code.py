@@ -15,7 +15,6 @@ SKIP_FILES = (
     ".gitignore", ".gitattributes", ".editorconfig", ".DS_Store", "Thumbs.db", ".env", ".env.local", ".env.development", ".env.test",
     ".env.production", "*.log", "*.tmp", "*.bak", "*.swp", "*~", ".npmrc", ".yarnrc", "package-lock.json", "yarn.lock", ".classpath", ".project",
 )
-MAX_DEPTH = 20
 
 # fixed values: file type rules (extensions, patterns, locations, names)
 TEST_JAVA = (r"Test\.java$", r"IT\.java$", r"TestCase\.java$")
@@ -34,14 +33,15 @@ def file_name(path: Column) -> Column:
     return F.element_at(path_parts(path), -1)
 
 
-def keep_code_files(files: DataFrame, skip_dirs=SKIP_DIRS, skip_files=SKIP_FILES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Inventory rows (column ``path``) that are not in skipped folders, skipped by name, in ``src/test`` or too deep."""
+def keep_code_files(files: DataFrame, skip_dirs=SKIP_DIRS, skip_files=SKIP_FILES, max_depth: int | None = None) -> DataFrame:
+    """Inventory rows (column ``path``) that are not in skipped folders, skipped by name, in ``src/test`` or, with ``max_depth``, deeper."""
     parts = path_parts(F.col("path"))
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
     bad_dir = F.arrays_overlap(folders, F.array(*(F.lit(d) for d in skip_dirs)))
     in_test = F.lower(F.concat(F.lit("/"), F.array_join(folders, "/"), F.lit("/"))).contains("/src/test/")
     name = file_name(F.col("path"))
-    return files.where(~bad_dir & ~in_test & ~name.rlike(glob_regex(tuple(skip_files))) & (F.size(folders) <= max_depth + 1))
+    kept = files.where(~bad_dir & ~in_test & ~name.rlike(glob_regex(tuple(skip_files))))
+    return kept if max_depth is None else kept.where(F.size(folders) <= max_depth + 1)
 
 
 def scan_code_files(spark: SparkSession, root: str, **options) -> DataFrame:

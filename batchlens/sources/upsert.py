@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +17,28 @@ def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.groupBy(*keys).agg(pick.alias("v")).select(*keys, "v.*").select(*df.columns)
 
 
-def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], on_match: str = "set", order: Sequence[str] | None = None) -> DataFrame:
+def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows; two rows of one key fail the job."""
+    rest = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(F.struct(*rest)).alias("v"))
+    checked = F.when(F.col("_n") == 1, F.col("v")).otherwise(F.raise_error(F.lit("several rows of one key and no load order")))
+    return grouped.select(*keys, checked.alias("v")).select(*keys, "v.*").select(*df.columns)
+
+
+def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] | None, on_match: str = "set") -> DataFrame:
     """Target after the keyed write.
 
+    ``order`` names the columns that tell which of several incoming rows of a
+    key was loaded last; None says that keys are unique, and a repeated key
+    then fails the job.
+
     ``set`` takes incoming values for columns the incoming frame has;
     ``coalesce`` keeps an existing value and only fills gaps.  Keys compare
-    null-safe.  Several incoming rows per key are reduced to the last one.
+    null-safe.
     """
     if on_match not in ("set", "coalesce"):
         raise ValueError("on_match must be 'set' or 'coalesce'")
-    new = newest_per_key(incoming, keys, order or [c for c in incoming.columns if c not in keys][:1])
+    new = unique_by(incoming, keys) if order is None else newest_per_key(incoming, keys, order)
     t, n = target.alias("t").withColumn("_old", F.lit(True)), new.withColumn("_new", F.lit(True))
     n = n.withColumnsRenamed({c: f"_n_{c}" for c in new.columns})
     cond = None
@@ -50,37 +64,57 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], on_match
 class VersionedTable:
     """A Parquet table whose writes become visible at once.
 
-    Each write makes a new version folder; readers take the newest one that was
-    committed completely, so a failed write leaves the old state readable.
+    Rows lie in ``parts`` folders by a hash of the key.  A version is a small
+    manifest that names the folder of each part; an upsert writes only the
+    parts that incoming keys fall into and points to the old ones for the
+    rest.  Creating the manifest fails if another writer has made that version
+    meanwhile, and a failed write leaves the old version readable.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path.rstrip("/")
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        if not self._fs.exists(self._fs_path):
-            return []
-        found = []
-        for status in self._fs.listStatus(self._fs_path):
-            p = status.getPath()
-            done = self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-            if p.getName().startswith("v=") and done:
-                found.append(int(p.getName()[2:]))
-        return sorted(found)
+    def __init__(self, spark: SparkSession, path: str, parts: int = 32):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+        self._jvm = spark._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _manifest(self, version: int):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{version:08d}.json")
+
+    def version(self) -> int:
+        """Number of the newest version, 0 before the first."""
+        folder = self._manifest(0).getParent()
+        if not self._fs.exists(folder):
+            return 0
+        return max((int(s.getPath().getName()[:8]) for s in self._fs.listStatus(folder)), default=0)
+
+    def _folders(self, version: int) -> dict[str, str]:
+        if not version:
+            return {}
+        lines = self.spark.read.text(self._manifest(version).toString()).collect()  # one short line
+        return json.loads(lines[0][0])
+
+    def _commit(self, version: int, folders: dict[str, str]) -> None:
+        try:
+            out = self._fs.create(self._manifest(version), False)
+        except Exception as error:
+            raise VersionConflict(f"version {version} of {self.path} was written by someone else") from error
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
 
     def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v={versions[-1]}") if versions else None
-
-    def write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        df.write.mode("overwrite").parquet(f"{self.path}/v={(versions[-1] if versions else 0) + 1}")
-
-    def upsert(self, incoming: DataFrame, keys: Sequence[str], on_match: str = "set", order: Sequence[str] | None = None) -> None:
-        current = self.read()
-        if current is None:
-            current = self.spark.createDataFrame([], incoming.schema)
-        self.write(upsert(current, incoming, keys, on_match, order))
+        folders = self._folders(self.version())
+        return self.spark.read.option("mergeSchema", "true").parquet(*sorted(folders.values())) if folders else None
+
+    def upsert(self, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] | None, on_match: str = "set") -> None:
+        version = self.version()
+        folders = self._folders(version)
+        part = F.pmod(F.xxhash64(*keys), F.lit(self.parts)).cast("int")
+        touched = {str(r[0]) for r in incoming.select(part.alias("p")).distinct().collect()}  # at most ``parts``
+        old = sorted(folders[p] for p in touched if p in folders)
+        current = self.spark.read.parquet(*old) if old else self.spark.createDataFrame([], incoming.schema)
+        root = f"{self.path}/{version + 1:08d}-{uuid.uuid4().hex}"
+        upsert(current, incoming, keys, order, on_match).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(root)
+        self._commit(version + 1, {**folders, **{p: f"{root}/_part={p}" for p in touched}})
+
+
+class VersionConflict(RuntimeError):
+    """Another writer took the version."""

@@ -1,3 +1,5 @@
+import pytest
+
 """Upserts, loaders, clocks and statistics on small hand-made rows."""
 
 import datetime as dt
@@ -12,18 +14,18 @@ from batchlens.sources import code, runs, upsert
 def test_upsert_modes_and_null_keys(spark):
     old = spark.createDataFrame([("a", None, "x", 1), ("b", "k", None, 2)], "id string, part string, v string, keep int")
     new = spark.createDataFrame([("a", None, "y", 1), ("a", None, "z", 2), ("c", "k", "w", 1), ("b", "k", "q", 1)], "id string, part string, v string, n int")
-    got = upsert.upsert(old, new, ["id", "part"], "set", ["n"]).select("id", "v", "keep").collect()
+    got = upsert.upsert(old, new, ["id", "part"], ["n"]).select("id", "v", "keep").collect()
     assert {tuple(r) for r in got} == {("a", "z", 1), ("b", "q", 2), ("c", "w", None)}
-    got = upsert.upsert(old, new, ["id", "part"], "coalesce", ["n"]).select("id", "v").collect()
+    got = upsert.upsert(old, new, ["id", "part"], ["n"], "coalesce").select("id", "v").collect()
     assert {tuple(r) for r in got} == {("a", "x"), ("b", "q"), ("c", "w")}
 
 
 def test_versioned_table_keeps_old_state_until_committed(spark, tmp_path):
     t = upsert.VersionedTable(spark, str(tmp_path / "t"))
     one = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
-    t.upsert(one, ["id"])
+    t.upsert(one, ["id"], None)
     (tmp_path / "t" / "v=9").mkdir()  # a write that never finished
-    t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), ["id"])
+    t.upsert(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), ["id"], None)
     assert {tuple(r) for r in t.read().collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
@@ -84,3 +86,23 @@ def test_merge_keeps_first_and_numbers_edges(spark):
     g = graphview.merge_graphs([graphview.Graph(n1, e1), graphview.Graph(n2, e2)])
     assert {tuple(r) for r in g.nodes.collect()} == {("a", "X"), ("b", "Y")}
     assert {(r.id, r.s) for r in g.edges.collect()} == {("e", "a"), ("rel-0", "a")}
+
+
+def test_a_second_writer_of_a_version_fails(spark, tmp_path):
+    one, other = (upsert.VersionedTable(spark, str(tmp_path / "t")) for _ in range(2))
+    rows = spark.createDataFrame([(i, "a") for i in range(50)], "id int, v string")
+    one.upsert(rows, ["id"], None)
+    folders = one._folders(1)
+    other.upsert(spark.createDataFrame([(3, "b")], "id int, v string"), ["id"], None)
+    assert sum(folders[p] != f for p, f in other._folders(2).items()) == 1  # one part was written anew
+    assert {r["id"]: r["v"] for r in one.read().collect()} == {i: "b" if i == 3 else "a" for i in range(50)}
+    with pytest.raises(upsert.VersionConflict):
+        one._commit(2, folders)
+
+
+def test_order_decides_and_is_needed_for_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "old")], "id int, v string")
+    new = spark.createDataFrame([(1, "z-first", 1), (1, "a-last", 2)], "id int, v string, n int")
+    assert [r["v"] for r in upsert.upsert(old, new, ["id"], ["n"]).collect()] == ["a-last"]
+    with pytest.raises(Exception, match="no load order"):
+        upsert.upsert(old, new, ["id"], None).collect()

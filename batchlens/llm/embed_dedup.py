@@ -36,7 +36,7 @@ from batchlens.session import LoopState
 
 THRESHOLD = 0.9
 #: Neighbours kept at first, and at most for a saturated class; beyond, the exact comparison within groups takes over.
-LIST, LONGEST = 8, 64
+LIST, LONGEST = 8, 16
 ORDERS = 4
 BITS = 62
 #: Classes compared with one another along an order; steps overlap by half.
@@ -142,7 +142,10 @@ def descend(graph: DataFrame, table: DataFrame, width: int) -> DataFrame:
     sizes = both.groupBy("hub").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any AND n > 1")
     parts = F.ceil(F.col("n") / MEMBERS)
     both = both.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), parts).alias("part"), "node", "fresh")
-    worst = graph.select(F.col("a").alias("node"), F.when(F.size("near") < F.col("k"), -2.0).otherwise(F.element_at("near", -1)["score"]).cast("float").alias("worst"))
+    last, full = F.element_at("near", -1)["score"], F.size("near") >= F.col("k")
+    # a list above the threshold takes links only, and none once it is as long as may be: its group is compared exactly later
+    bar = F.when(last >= THRESHOLD, F.when(full & (F.col("k") >= LONGEST), 2.0).when(full, last).otherwise(THRESHOLD - SLACK)).when(full, last).otherwise(-2.0)
+    worst = graph.select(F.col("a").alias("node"), bar.cast("float").alias("worst"))
     members = both.join(table.select("node", "unit").join(worst, "node", "left"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def neighbour_graph(table: DataFrame, n: int, width: int, state: LoopState, seed
         full = F.size("near") >= F.col("k")
         saturated = full & (F.element_at("near", -1)["score"] >= THRESHOLD) & (F.col("k") < LONGEST)
         longer = graph.select("a", F.when(saturated, F.least(F.col("k") * 2, F.lit(LONGEST))).otherwise(F.col("k")).alias("k"))
-        refined, facts = state.save_summing(best_lists(old.unionByName(found), longer), fresh=F.size(F.filter("near", lambda e: e["fresh"])))
+        refined, facts = state.save_summing(best_lists(old.unionByName(found), longer), fresh=F.size(F.filter("near", lambda e: e["fresh"] & (e["score"] < THRESHOLD))))
         state.drop(graph)
         graph = refined
         if facts["fresh"] <= CHANGED * n * length:

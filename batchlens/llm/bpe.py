@@ -32,11 +32,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from batchlens.llm.common import bytes_of, id_type, slices
+from batchlens.llm.common import bytes_of, held, id_type, slices
 from batchlens.llm.words import PieceTable
 
 #: Texts are encoded in slices of this many bytes, so that one queue serves many new pieces.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Pre-tokens above this many bytes get a queue of their own.
 LONG = 1 << 16
 NONE = np.int32(2**31 - 1)
@@ -236,14 +236,9 @@ class TextCoder:
         return (ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
 
-_CODERS: dict[tuple[str, str], TextCoder] = {}
-
-
 def coder(path: str, pattern: str) -> TextCoder:
     """One coder per file and worker process."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = TextCoder(path, pattern)
-    return _CODERS[path, pattern]
+    return held(("bpe", path, pattern), lambda: TextCoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.llm.common import bytes_of, id_type, slices
+from batchlens.llm.common import bytes_of, id_type, let_go, slices
 from batchlens.llm.components import components
 from batchlens.session import LoopState
 
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, row_hash, fp): one row per input row, the fingerprint as a signed long; row_hash is of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in bytes_of(part)], dtype=np.uint64)
             yield pa.record_batch([part.column("doc_id"), part.column("row_hash"), pa.array(found.view(np.int64))], names=["doc_id", "row_hash", "fp"])

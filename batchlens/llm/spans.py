@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.llm.common import let_go
+
 #: A row of a document is known by two hashes of its id and text; rows equal in both columns share spans.
 KEY = ["u1", "u2"]
 SPAN = "u1 long, u2 int, first long, last long"
@@ -69,6 +71,7 @@ def over_buckets(rows: DataFrame, buckets: int, fn: Callable[[pa.Table], Iterato
     """Run ``fn`` on the rows of each bucket; a task streams over its buckets one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from batchlens.llm import rolling, spans
-from batchlens.llm.common import bytes_of, slices
+from batchlens.llm.common import bytes_of, let_go, slices
 
 WINDOW = 35
 GRAM = 12
 SLICE = 6 << 20
+PORTION = 1 << 20
 #: Words of a text that are hashed at once; longer texts go in overlapping parts.
 PART = 500_000
 _SPACE = np.zeros(256, dtype=bool)
@@ -82,10 +83,18 @@ def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, bytes
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, window hash, group hash) of every window of some texts."""
-    hashes, at = word_hashes(b" ".join(texts))
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    first_word = np.searchsorted(at, begin)
-    end_word = np.append(first_word[1:], len(at))
+    hashes, sizes, at = [], [], 0
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    while at < len(texts):  # bytes are looked at in small portions
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, side="right")))
+        some, start = word_hashes(b" ".join(texts[at:stop]))
+        begin = ends[at:stop] - [len(t) + 1 for t in texts[at:stop]] - (ends[at - 1] if at else 0)
+        hashes.append(some)
+        sizes.append(np.diff(np.searchsorted(start, begin), append=len(start)))
+        at = stop
+    hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+    end_word = np.cumsum(sizes)
+    first_word = end_word - sizes
     eight = rolling.double(hashes, 3)
     four_more = rolling.cover(eight, 8, GRAM)
     whole = rolling.cover(rolling.double(eight, 2, 8), 32, WINDOW)
@@ -100,6 +109,7 @@ def group_suffixes(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed runs of windows by group, and the spans that tasks resolved on their own (bucket -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, limit=SLICE):
             u1, u2 = part.column("u1").to_numpy(), part.column("u2").to_numpy()
             rows: list[dict] = []

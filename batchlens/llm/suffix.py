@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.llm import rolling, spans
-from batchlens.llm.common import bytes_of, id_type, slices
+from batchlens.llm.common import bytes_of, id_type, let_go, slices
 from batchlens.session import LoopState
 
 LENGTH = 400
@@ -111,6 +111,7 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed phrases by the bucket of their trigger gram; bucket below zero: phrases known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, limit=SLICE):
             u1, u2 = part.column("u1").to_numpy(), part.column("u2").to_numpy()
             rows: list[dict] = []

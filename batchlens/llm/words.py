@@ -18,9 +18,10 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from batchlens.llm import rolling
+from batchlens.llm.common import held
 
 #: Pieces a worker keeps; the table starts anew beyond.
-KEPT = 2_000_000
+KEPT = 1_500_000
 _SLOTS = 1 << 22
 #: Letters that case folding and composition leave one letter each; ASCII signs other than the apostrophe.
 _L, _P = "A-Za-zÀ-ÖØ-öø-įĲ-ſ", r"!-&(-/:-@\[-`{-~"
@@ -146,7 +147,7 @@ class TextCoder:
     """
 
     #: Runs kept while new pieces are learnt.
-    RUNS_KEPT = 300_000
+    RUNS_KEPT = 200_000
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -189,11 +190,6 @@ class TextCoder:
         return self.table.encode(texts)
 
 
-_CODERS: dict[str, TextCoder] = {}
-
-
 def coder(path: str) -> TextCoder:
     """One coder per file and worker process."""
-    if path not in _CODERS:
-        _CODERS[path] = TextCoder(path)
-    return _CODERS[path]
+    return held(("words", path), lambda: TextCoder(path))

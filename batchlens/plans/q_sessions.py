@@ -64,19 +64,11 @@ def r2_bursts(t):
 
 
 @query("r3_stream_resource_impact", """
-    SELECT a.id AS rae_id, e.id AS execution_id, e.start_ts < a.business_date::timestamp + a.availability_time_ms * INTERVAL 1 MILLISECOND AS impacted
-    FROM {rae} a JOIN {require_resource} q ON q.resource_id = a.resource_id AND q.owner_type = 'JOB_GROUP' JOIN {jce} e ON e.job_group_id = q.owner_id AND e.business_date = a.business_date""")
+    SELECT a.id AS rae_id, g.id AS jge_id, g.start_time_ms < a.availability_time_ms AS impacted
+    FROM {rae} a JOIN {require_resource} q ON q.resource_id = a.resource_id AND q.owner_type = 'JOB_GROUP' JOIN {jge} g ON g.job_group_id = q.owner_id AND g.business_date = a.business_date""")
 def r3(t):
-    n_parts, n_ctx = t.part.count(), t.supplier.count()
-    o = st.parquet_stream(t.spark, t.dir, "orders")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 30).cast("int"))
-    at = F.timestamp_seconds(F.unix_date(day).cast("bigint") * 86400 + (F.col("o_orderkey") * 37) % 86400)
-    events = o.select(
-        F.concat(F.lit("RAE_"), "o_orderkey").alias("rae_id"), F.concat(F.lit("RES_"), (F.col("o_custkey") % n_parts).cast("string")).alias("resource_id"),
-        day.alias("business_date"), at.alias("available_ts"),
-    )
+    at = F.timestamp_seconds(F.unix_date("business_date").cast("bigint") * 86400 + F.col("availability_time_ms") / 1000)
+    events = st.table_stream(t.rae.select(F.col("id").alias("rae_id"), "resource_id", "business_date", at.alias("available_ts")))
     needs = t.require_resource.where(F.col("owner_type") == "JOB_GROUP").select("resource_id", F.col("owner_id").alias("job_group_id"))
-    runs = run_stream(t).select(
-        F.col("id").alias("execution_id"), F.concat(F.lit("JG_"), ((F.col("user_id") % n_ctx) % 25).cast("string")).alias("job_group_id"), "start_ts",
-    ).withColumn("business_date", st.business_date(F.col("start_ts")))
+    runs = st.table_stream(t.jge.select(F.col("id").alias("jge_id"), "job_group_id", "business_date", F.col("start_ts").cast("timestamp").alias("start_ts")))
     return st.run_to_table(st.stream_resource_impact(events, needs, runs), "append")

@@ -44,13 +44,29 @@ def keep_code_files(files: DataFrame, skip_dirs=SKIP_DIRS, skip_files=SKIP_FILES
     return kept if max_depth is None else kept.where(F.size(folders) <= max_depth + 1)
 
 
-def scan_code_files(spark: SparkSession, root: str, **options) -> DataFrame:
-    """Files below a folder as (path, name, extension, size, text), in parallel by Spark's file source."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+class Scan(NamedTuple):
+    files: DataFrame  # path, size, text, name, extension
+    rejects: DataFrame  # path, size of files whose content is no UTF-8 text
+
+
+def scan_code_files(spark: SparkSession, root: str, **options) -> Scan:
+    """Files below a folder, in parallel by Spark's file source.
+
+    Paths are listed and filtered first; only the content of kept files is read.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     prefix = "^file:|" + re.escape(root.rstrip("/")) + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), prefix, "")
-    listed = raw.select(rel.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
-    return keep_code_files(listed, **options).withColumn("name", file_name(F.col("path"))).withColumn("extension", extension(F.col("path")))
+    # the driver lists the folder for any file source; the content column is not read here
+    listed = source.load(root).select(F.col("path").alias("full"), rel.alias("path"))
+    kept = [r["full"] for r in keep_code_files(listed, **options).select("full").collect()]
+    if not kept:
+        none = spark.createDataFrame([], "path string, size long, text string, name string, extension string")
+        return Scan(none, none.select("path", "size"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    read = source.load(kept).select(rel.alias("path"), F.col("length").alias("size"), text.alias("text"))
+    files = read.where(F.col("text").isNotNull()).withColumn("name", file_name(F.col("path"))).withColumn("extension", extension(F.col("path")))
+    return Scan(files, read.where(F.col("text").isNull()).select("path", "size"))
 
 
 def extension(path: Column) -> Column:

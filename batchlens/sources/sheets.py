@@ -11,8 +11,8 @@ FIXTURES.update({
         SELECT 'TAG_' || c_custkey AS id, c_name AS name, c_mktsegment AS description, CASE WHEN c_custkey % 2 = 0 THEN 'SEG' END AS tagType,
                CASE WHEN c_custkey % 3 = 0 THEN false WHEN c_custkey % 3 = 1 THEN true END AS enabled FROM {customer}""",
     "first_resource": """
-        SELECT 'G_' || p_partkey AS id, 'res ' || p_partkey AS name, 'TABLE' AS type, true AS enabled, cast(NULL AS int) AS checkInterval,
-               'S' || (p_partkey % 3) AS schemaName, cast(NULL AS varchar(10)) AS tagId FROM {part} WHERE p_size > 25""",
+        SELECT 'G_' || p_partkey AS id, CASE WHEN p_size > 25 THEN 'res ' ELSE 'table ' END || p_partkey AS name, 'TABLE' AS type, true AS enabled, cast(NULL AS int) AS checkInterval,
+               'S' || (p_partkey % 3) AS schemaName, cast(NULL AS varchar(10)) AS tagId FROM {part}""",
     "sheet_resource": """
         SELECT 'R_' || p_partkey AS id, 'res ' || p_partkey AS name, 'FILE' AS type, CASE WHEN p_size % 2 = 0 THEN true END AS enabled, p_size AS checkInterval,
                cast(NULL AS varchar(10)) AS schemaName, CASE WHEN p_size % 5 <> 0 THEN '[TAG_' || p_size || ', TAG_' || (p_size + 1) || ']' END AS tagId FROM {part}""",

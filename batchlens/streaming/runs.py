@@ -47,23 +47,30 @@ def stream_failure_bursts(runs: DataFrame, length: str = "1 hour", slide: str =
     )
 
 
+def table_stream(df: DataFrame) -> DataFrame:
+    """A stream over a derived table, through a written copy."""
+    root = f"{work_dir(df.sparkSession)}/source-{uuid.uuid4().hex}"
+    df.write.parquet(root)
+    return df.sparkSession.readStream.schema(df.schema).parquet(root)
+
+
 def stream_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Resource events joined to runs of a group that needs the resource, on the same business date.
+    """Resource events joined to the run of each group that needs the resource, on the same business date.
 
     Both sides stream.  ``events``: rae_id, resource_id, business_date,
-    available_ts; ``needs``: resource_id, job_group_id (static); ``runs``:
-    execution_id, job_group_id, business_date, start_ts.  The time bound lets
+    available_ts; ``needs``: resource_id, job_group_id (static); ``runs``, one
+    per group and date: jge_id, job_group_id, business_date, start_ts.  Times
+    of day decide whether an event came after the start.  The time bound lets
     Spark drop state: a run starts at most a day before and two days after.
     """
     e = events.withWatermark("available_ts", LATE).join(needs, "resource_id")
-    r = runs.withWatermark("start_ts", LATE).select(
-        "execution_id", F.col("job_group_id").alias("g"), F.col("business_date").alias("d"), "start_ts"
-    )
+    r = runs.withWatermark("start_ts", LATE).select("jge_id", F.col("job_group_id").alias("g"), F.col("business_date").alias("d"), "start_ts")
     cond = (
         (F.col("job_group_id") == F.col("g")) & (F.col("business_date") == F.col("d"))
         & (F.col("start_ts") >= F.col("available_ts") - F.expr("INTERVAL 2 DAYS")) & (F.col("start_ts") <= F.col("available_ts") + F.expr("INTERVAL 1 DAY"))
     )
-    return e.join(r, cond).select("rae_id", "execution_id", (F.col("start_ts") < F.col("available_ts")).alias("impacted"))
+    clock = [F.pmod(F.unix_micros(c), F.lit(86_400_000_000)) for c in ("start_ts", "available_ts")]
+    return e.join(r, cond).select("rae_id", "jge_id", (clock[0] < clock[1]).alias("impacted"))
 
 
 def stream_expired_sessions(messages: DataFrame, ttl: str = "24 hours") -> DataFrame:

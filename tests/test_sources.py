@@ -44,7 +44,9 @@ def test_scan_code_files_from_disk(spark, tmp_path):
         f = tmp_path / p
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text('<beans xmlns="http://www.springframework.org/schema/beans"/>' if p.endswith("xml") else "text")
-    files = code.scan_code_files(spark, str(tmp_path))
+    (tmp_path / "conf" / "raw.txt").write_bytes(b"\xff\xfe\x00")
+    files, rejects = code.scan_code_files(spark, str(tmp_path))
+    assert [tuple(r) for r in rejects.collect()] == [("conf/raw.txt", 3)]
     assert {r.path for r in files.collect()} == {"src/main/java/A.java", "conf/app.xml", "db/t.sql"}
     kinds = {(r.path, r.file_type) for r in code.tag_file_types(files).collect()}
     assert kinds == {("src/main/java/A.java", "JavaClass"), ("conf/app.xml", "XmlConfig"), ("conf/app.xml", "SpringConfig"), ("db/t.sql", "SqlScript")}

@@ -37,7 +37,7 @@ def h2_summary(t):
 
 @query("h2_stream_expired_sessions", """
     SELECT session_id, max(ts) + INTERVAL 24 HOUR AS expired_at, count(*) AS message_count FROM {session_message} GROUP BY 1
-    HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM {session_message})""")
+    HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {session_message})""")
 def h2_stream(t):
     c = st.parquet_stream(t.spark, t.dir, "conversations")
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)

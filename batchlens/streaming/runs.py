@@ -25,25 +25,32 @@ def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_runs(runs: DataFrame, cutoff: int = 18) -> DataFrame:
-    """Typed runs (id, start_ts, duration_ms, status), dated, each id once within the lateness bound."""
-    once = runs.withWatermark("start_ts", LATE).dropDuplicatesWithinWatermark(["id"])
-    return once.withColumn("business_date", business_date(F.col("start_ts"), cutoff)).withColumn("execution_date", F.to_date("start_ts"))
+    """Typed runs (id, start_ts, duration_ms, status), dated; no state, so no row is too late.
+
+    A repeated id is resolved where the rows land (``run_to_table`` with keys).
+    """
+    return runs.withColumn("business_date", business_date(F.col("start_ts"), cutoff)).withColumn("execution_date", F.to_date("start_ts"))
 
 
 def stream_timeline(runs: DataFrame, cutoff: int = 18) -> DataFrame:
-    """Running totals per business date; update mode sends changed dates only."""
-    dated = runs.withWatermark("start_ts", LATE).withColumn("business_date", business_date(F.col("start_ts"), cutoff))
+    """Running totals per business date; update mode sends changed dates only.
+
+    State is one row per date, so it is kept and rows count however late they come.
+    """
+    dated = runs.withColumn("business_date", business_date(F.col("start_ts"), cutoff))
     return dated.groupBy("business_date").agg(
         F.count("*").alias("total_executions"), F.count_if(F.col("status") == "COMPLETED").alias("completed"),
         F.count_if(F.col("status") == "FAILED").alias("failed"),
     )
 
 
-def stream_failure_bursts(runs: DataFrame, length: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
-    """Failures per sliding window; with a watermark, closed windows leave the state."""
+def stream_failure_bursts(runs: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Failures per sliding window; with ``late``, windows leave the state after that time and later rows are dropped."""
+    failed = runs.where(F.col("status") == "FAILED")
+    failed = failed.withWatermark("start_ts", late) if late else failed
     return (
-        runs.where(F.col("status") == "FAILED").withWatermark("start_ts", LATE).groupBy(F.window("start_ts", length, slide).alias("w"))
-        .agg(F.count("*").alias("failures")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failures")
+        failed.groupBy(F.window("start_ts", length, slide).alias("w")).agg(F.count("*").alias("failures"))
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failures")
     )
 
 
@@ -54,7 +61,7 @@ def table_stream(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(root)
 
 
-def stream_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame) -> DataFrame:
+def stream_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame, late: str = LATE) -> DataFrame:
     """Resource events joined to the run of each group that needs the resource, on the same business date.
 
     Both sides stream.  ``events``: rae_id, resource_id, business_date,
@@ -63,8 +70,8 @@ def stream_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame)
     of day decide whether an event came after the start.  The time bound lets
     Spark drop state: a run starts at most a day before and two days after.
     """
-    e = events.withWatermark("available_ts", LATE).join(needs, "resource_id")
-    r = runs.withWatermark("start_ts", LATE).select("jge_id", F.col("job_group_id").alias("g"), F.col("business_date").alias("d"), "start_ts")
+    e = events.withWatermark("available_ts", late).join(needs, "resource_id")
+    r = runs.withWatermark("start_ts", late).select("jge_id", F.col("job_group_id").alias("g"), F.col("business_date").alias("d"), "start_ts")
     cond = (
         (F.col("job_group_id") == F.col("g")) & (F.col("business_date") == F.col("d"))
         & (F.col("start_ts") >= F.col("available_ts") - F.expr("INTERVAL 2 DAYS")) & (F.col("start_ts") <= F.col("available_ts") + F.expr("INTERVAL 1 DAY"))
@@ -73,9 +80,9 @@ def stream_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame)
     return e.join(r, cond).select("rae_id", "jge_id", (clock[0] < clock[1]).alias("impacted"))
 
 
-def stream_expired_sessions(messages: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """Sessions whose time to live has passed, sent once when the watermark passes their end."""
-    return messages.withWatermark("ts", "0 seconds").groupBy("session_id", F.session_window("ts", ttl).alias("w")).agg(
+def stream_expired_sessions(messages: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """Sessions whose time to live has passed, sent once when the watermark (``late`` behind the newest message) passes their end."""
+    return messages.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", ttl).alias("w")).agg(
         F.count("*").alias("message_count")
     ).select("session_id", F.col("w.end").alias("expired_at"), "message_count")
 

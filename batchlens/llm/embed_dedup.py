@@ -9,8 +9,11 @@ whose whole list lies above the threshold is saturated: its list is doubled.
 A bounded sample is compared with all classes to audit the recall; while links
 are missed, further orders and longer lists are tried.
 
-Edges near or above the threshold group the classes.  Inside a group all pairs
-are compared in double precision, block by block, so that the number of links
+Edges near or above the threshold group the classes.  The graph only gives a
+first grouping: its lists are bounded, so links can be missing.  An exact step
+then compares classes of different groups block by block, in a grid of bounded
+tasks, and leaves out only block pairs whose bounds (angles to a pivot) forbid a
+link; groups it links are joined.  Inside a group all pairs are compared in double precision, block by block, so that the number of links
 is exact there and no pair of equal vectors is ever written out; each block
 pair returns link counts and the stars of its own components.
 
@@ -50,6 +53,10 @@ AUDIT = 1024
 RECALL = 0.98
 #: Vectors of a group per block.
 BLOCK = 512
+#: Pivots that place vectors in blocks, and vectors of a stripe of the grid, at most; a table has this many stripes if its blocks allow.
+PIVOTS, STRIPE, STRIPES = 512, 16384, 8
+#: Added to bounds on angles, far above their rounding errors.
+ANGLE_SLACK = 1e-3
 #: Single-precision scores this far below the threshold still group two classes.
 SLACK = 1e-4
 
@@ -238,6 +245,103 @@ def audit(table: DataFrame, groups: DataFrame, width: int) -> float:
     return row["found"] / row["n"] if row["n"] else 1.0
 
 
+def least_labels(link: np.ndarray, label_x: np.ndarray, label_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a block pair: the least label among linked ones, until nothing changes."""
+    top = np.iinfo(np.int64).max
+    while True:
+        new_y = np.minimum(label_y, np.where(link, label_x[:, None], top).min(axis=0))
+        new_x = np.minimum(label_x, np.where(link, new_y[None], top).min(axis=1))
+        if same:
+            new_x = new_y = np.minimum(new_x, new_y)
+        if (new_x == label_x).all() and (new_y == label_y).all():
+            return label_x, label_y
+        label_x, label_y = new_x, new_y
+
+
+def cross_links(table: DataFrame, groups: DataFrame, n: int, width: int, state: LoopState) -> DataFrame:
+    """(a, b): edges that join all groups with a link between them; a class without a group is one of its own.
+
+    Vectors are placed with their nearest pivot and blocks are cut from them.
+    Stripes of blocks meet in a grid, one bounded task for each pair of stripes.
+    """
+    head = table.orderBy(F.xxhash64("node"), "node").select("unit").limit(max(1, min(PIVOTS, n // BLOCK))).collect()
+    pivots = np.frombuffer(b"".join(r["unit"] for r in head), dtype="<f4").reshape(-1, width)
+    stripes = min(max(-(-n // STRIPE), STRIPES), max(1, n // BLOCK))
+    slack, far = max(SLACK, 2e-7 * width), float(np.arccos(THRESHOLD)) + ANGLE_SLACK
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = stack(batch.column("unit"), "<f4", width) @ pivots.T
+            cell = score.argmax(axis=1)
+            angle = np.arccos(np.clip(score.max(axis=1), -1, 1))
+            yield pa.record_batch([*batch.columns, pa.array(cell, pa.int32()), pa.array(angle, pa.float32())], names=["node", "component", "unit", "cell", "angle"])
+
+    member = table.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "unit")
+    placed, _ = state.save(member.mapInArrow(place, "node long, component long, unit binary, cell int, angle float"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    stripe = F.pmod(F.xxhash64("cell", "part"), F.lit(stripes)).cast("int")
+    # each stripe meets every other one and itself: the grid cell is the pair of their numbers
+    other = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("other")
+    dealt = placed.select("component", "unit", "cell", "angle", "part", stripe.alias("stripe"), other)
+    dealt = dealt.select(F.least("stripe", "other").alias("x"), F.greatest("stripe", "other").alias("y"), "stripe", "cell", "part", "component", "angle", "unit")
+
+    def met(side: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Edges among the blocks of one grid cell."""
+        all_ = pa.Table.from_batches(side).combine_chunks().to_batches()[0]
+        x, y, stripe, cell, part, component, angle = (all_.column(c).to_numpy() for c in ("x", "y", "stripe", "cell", "part", "component", "angle"))
+        unit = stack(all_.column("unit"), "<f4", width)
+        starts = np.append(0, np.flatnonzero((stripe[1:] != stripe[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1)
+        ends = np.append(starts[1:], len(cell))
+        low, high = np.minimum.reduceat(angle, starts), np.maximum.reduceat(angle, starts)
+        home, of = cell[starts], stripe[starts]
+        between = np.arccos(np.clip(pivots[home] @ pivots[home].T, -1, 1))
+        between[home[:, None] == home[None]] = 0
+        # least angle by the triangle inequality, from either end
+        least = np.maximum(between - high[:, None] - high[None], np.maximum(low[:, None] - between - high[None], low[None] - between - high[:, None]))
+        within = x[0] == y[0]
+        allowed = (least <= far) & (within | (of[:, None] != of[None]))
+        for i, j in zip(*np.nonzero(np.triu(allowed)), strict=True):
+            p, q = slice(starts[i], ends[i]), slice(starts[j], ends[j])
+            link = unit[p] @ unit[q].T >= THRESHOLD - slack
+            if link.any():
+                link &= component[p, None] != component[None, q]
+                if link.any():
+                    for label, old in zip(least_labels(link, component[p], component[q], i == j), (component[p], component[q]), strict=True):
+                        yield old[label != old], label[label != old]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            for a, b in met(held):
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and (held[0].column("x")[0].as_py(), held[0].column("y")[0].as_py()) != (x[lo], y[lo]):
+                    yield from edges()
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from edges()
+
+    grid = dealt.repartition(max(stripes * (stripes + 1) // 2, 1), "x", "y").sortWithinPartitions("x", "y", "stripe", "cell", "part")
+    return grid.mapInArrow(run, "a long, b long").distinct()
+
+
+def joined_groups(table: DataFrame, groups: DataFrame, cross: DataFrame) -> DataFrame:
+    """(node, component): groups with those that ``cross`` links made one."""
+    merged = components(cross, "embed-cross").select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    every = table.select("node").join(groups.select("node", "component", F.lit(True).alias("grouped")), "node", "left")
+    every = every.withColumn("component", F.coalesce("component", "node")).join(merged, "component", "left")
+    return every.where("grouped OR merged IS NOT NULL").select("node", F.coalesce("merged", "component").alias("component"))
+
+
 def exact_links(table: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     """(kind, a, b): kind 0, class a has b links to other classes' vectors (to be summed); kind 1, an edge of a star over linked classes."""
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -267,17 +371,7 @@ def exact_links(table: DataFrame, groups: DataFrame, width: int) -> DataFrame:
                     kinds.append(np.zeros(len(ids), dtype=np.int32))
                     a.append(ids)
                     b.append(count)
-                # components of the block pair: the least label among linked ones, until nothing changes
-                top = np.iinfo(np.int64).max
-                label_x, label_y = id_x.copy(), id_y.copy()
-                while True:
-                    new_y = np.minimum(label_y, np.where(link, label_x[:, None], top).min(axis=0))
-                    new_x = np.minimum(label_x, np.where(link, new_y[None], top).min(axis=1))
-                    if same:
-                        new_x = new_y = np.minimum(new_x, new_y)
-                    if (new_x == label_x).all() and (new_y == label_y).all():
-                        break
-                    label_x, label_y = new_x, new_y
+                label_x, label_y = least_labels(link, id_x, id_y, same)
                 for ids, label in ((id_x, label_x), (id_y, label_y)):
                     moved = ids != label
                     kinds.append(np.ones(int(moved.sum()), dtype=np.int32))
@@ -305,6 +399,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if attempt == tries - 1 or audit(table, groups, width) >= RECALL:
             break
         length *= 2
+    cross, _ = state.save(cross_links(table, groups, n, width, state))
+    groups, _ = state.save(joined_groups(table, groups, cross))
     links, _ = state.save(exact_links(table, groups, width))
     counts = links.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     joined = components(links.where("kind = 1").select("a", "b"), "embed-components")

@@ -97,6 +97,34 @@ def test_embedding_groups(vectors, monkeypatch, block):
     assert link.sum() > 1000
 
 
+def brute_links(x):
+    """Links and least linked id of each vector, over all pairs."""
+    x = np.array(x, dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(link, label[None], len(x)).min(axis=1))
+        if (new == label).all():
+            return {i: (int(link[i].sum()), int(label[i]), bool(label[i] == i)) for i in range(len(x))}
+        label = new
+
+
+@pytest.mark.parametrize("block", [64, 512])
+def test_links_between_tight_clumps(spark, monkeypatch, block):
+    """Lists hold a clump's own members only; the links to the other clump count all the same."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    width = 32
+    one, side = np.eye(width)[0], np.eye(width)[1]
+    other = 0.93 * one + (1 - 0.93**2) ** 0.5 * side
+    x = [(c + rng.normal(0, 0.002, width)).tolist() for c in (one, other) for _ in range(200)] + rng.normal(size=(100, width)).tolist()
+    got = embed_dedup.near_duplicates(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")).collect()
+    want = brute_links(x)
+    assert want[0] == (399, 0, True) and {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == want
+
+
 def test_no_embeddings(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 

@@ -6,8 +6,6 @@ with those nearby in the order, over a few independent orders.  Rounds of
 NN-descent then compare the neighbours of each class with one another (both
 directions of the graph, new edges only) and keep each class's best.  A class
 whose whole list lies above the threshold is saturated: its list is doubled.
-A bounded sample is compared with all classes to audit the recall; while links
-are missed, further orders and longer lists are tried.
 
 Edges near or above the threshold group the classes.  The graph only gives a
 first grouping: its lists are bounded, so links can be missing.  An exact step
@@ -49,8 +47,6 @@ ROUNDS = 6
 CHANGED = 0.002
 #: Members of a neighbourhood that are compared at once; larger ones are split.
 MEMBERS = 96
-AUDIT = 1024
-RECALL = 0.98
 #: Vectors of a group per block.
 BLOCK = 512
 #: Pivots that place vectors in blocks, and vectors of a stripe of the grid, at most; a table has this many stripes if its blocks allow.
@@ -141,14 +137,14 @@ def best_lists(scored: DataFrame, lengths: DataFrame | None = None) -> DataFrame
     return lists.select("a", "k", F.slice("near", 1, F.col("k")).alias("near"))
 
 
-def descend(graph: DataFrame, table: DataFrame, width: int) -> DataFrame:
-    """(a, b, score): pairs found among neighbours of neighbours that improve a list."""
+def descend(graph: DataFrame, table: DataFrame, width: int, turn: int) -> DataFrame:
+    """(a, b, score): pairs found among neighbours of neighbours that improve a list; large neighbourhoods are split anew in each ``turn``."""
     flat = graph.select("a", F.explode("near").alias("e")).select("a", "e.b", "e.fresh")
     both = flat.unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
     both = both.groupBy(F.col("a").alias("hub"), F.col("b").alias("node")).agg(F.max("fresh").alias("fresh"))
     sizes = both.groupBy("hub").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any AND n > 1")
     parts = F.ceil(F.col("n") / MEMBERS)
-    both = both.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), parts).alias("part"), "node", "fresh")
+    both = both.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node", F.lit(turn)), parts).alias("part"), "node", "fresh")
     last, full = F.element_at("near", -1)["score"], F.size("near") >= F.col("k")
     # a list above the threshold takes links only, and none once it is as long as may be: its group is compared exactly later
     bar = F.when(last >= THRESHOLD, F.when(full & (F.col("k") >= LONGEST), 2.0).when(full, last).otherwise(THRESHOLD - SLACK)).when(full, last).otherwise(-2.0)
@@ -194,27 +190,24 @@ def descend(graph: DataFrame, table: DataFrame, width: int) -> DataFrame:
     return placed.select("hub", "part", "node", "fresh", "unit", "worst").mapInArrow(run, "a long, b long, score float")
 
 
-def neighbour_graph(table: DataFrame, n: int, width: int, state: LoopState, seed: int, length: int, start: DataFrame | None = None) -> DataFrame:
+def neighbour_graph(table: DataFrame, n: int, width: int, state: LoopState) -> DataFrame:
     """(a, k, near): the refined graph."""
-    scored = [along_order(table, width, seed + i, length) for i in range(ORDERS)]
+    scored = [along_order(table, width, seed, LIST) for seed in range(ORDERS)]
     union = scored[0]
     for more in scored[1:]:
         union = union.unionByName(more)
     union = union.withColumn("fresh", F.lit(True))
-    if start is not None:
-        union = union.unionByName(start.select("a", F.explode("near").alias("e")).select("a", "e.b", "e.score", F.lit(False).alias("fresh")))
-    lengths = table.select(F.col("node").alias("a"), F.lit(length).alias("k"))
-    graph, _ = state.save(best_lists(union, lengths))
-    for _ in range(ROUNDS):
+    graph, _ = state.save(best_lists(union))
+    for turn in range(ROUNDS):
         old = graph.select("a", F.explode("near").alias("e")).select("a", "e.b", "e.score", F.lit(False).alias("fresh"))
-        found = descend(graph, table, width).withColumn("fresh", F.lit(True))
+        found = descend(graph, table, width, turn).withColumn("fresh", F.lit(True))
         full = F.size("near") >= F.col("k")
         saturated = full & (F.element_at("near", -1)["score"] >= THRESHOLD) & (F.col("k") < LONGEST)
         longer = graph.select("a", F.when(saturated, F.least(F.col("k") * 2, F.lit(LONGEST))).otherwise(F.col("k")).alias("k"))
-        refined, facts = state.save_summing(best_lists(old.unionByName(found), longer), fresh=F.size(F.filter("near", lambda e: e["fresh"] & (e["score"] < THRESHOLD))))
+        refined, facts = state.save_summing(best_lists(old.unionByName(found), longer), fresh=F.size(F.filter("near", lambda e: e["fresh"])))
         state.drop(graph)
         graph = refined
-        if facts["fresh"] <= CHANGED * n * length:
+        if facts["fresh"] <= CHANGED * n * LIST:
             break
     return graph
 
@@ -225,26 +218,6 @@ def groups_of(graph: DataFrame) -> DataFrame:
     return components(close.select("a", F.col("e.b").alias("b")), "embed-groups")
 
 
-def audit(table: DataFrame, groups: DataFrame, width: int) -> float:
-    """Share of a bounded sample's links, found by comparing it with everything, whose ends share a group."""
-    head = table.orderBy(F.xxhash64("node")).select("node", "exact").limit(AUDIT).collect()
-    ids = np.array([r["node"] for r in head], dtype=np.int64)
-    x = np.frombuffer(b"".join(r["exact"] for r in head), dtype="<f8").reshape(-1, width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            i, j = np.nonzero(x @ stack(batch.column("exact"), "<f8", width).T >= THRESHOLD)
-            other = ids[i] != node[j]
-            yield pa.record_batch([pa.array(ids[i][other]), pa.array(node[j][other])], names=["a", "b"])
-
-    true = table.select("node", "exact").mapInArrow(run, "a long, b long")
-    true = true.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    true = true.join(groups.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    row = true.agg(F.count("*").alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
-
-
 def least_labels(link: np.ndarray, label_x: np.ndarray, label_y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Components of a block pair: the least label among linked ones, until nothing changes."""
     top = np.iinfo(np.int64).max
@@ -392,13 +365,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     member, _ = state.save(rows.join(nodes, "v").select("vec_id", "node", "copies"))
     table, n = state.save(unit_table(nodes, width))
-    graph, length, tries = None, LIST, 3
-    for attempt in range(tries):
-        graph = neighbour_graph(table, n, width, state, 100 * attempt, length, graph)
-        groups, _ = state.save(groups_of(graph))
-        if attempt == tries - 1 or audit(table, groups, width) >= RECALL:
-            break
-        length *= 2
+    groups, _ = state.save(groups_of(neighbour_graph(table, n, width, state)))
     cross, _ = state.save(cross_links(table, groups, n, width, state))
     groups, _ = state.save(joined_groups(table, groups, cross))
     links, _ = state.save(exact_links(table, groups, width))

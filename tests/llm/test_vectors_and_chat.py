@@ -125,6 +125,18 @@ def test_links_between_tight_clumps(spark, monkeypatch, block):
     assert want[0] == (399, 0, True) and {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == want
 
 
+def test_links_without_a_graph(spark, monkeypatch):
+    """A hot group is grouped, the small pairs are not: no link of theirs is lost, however poor the graph."""
+    rng = np.random.default_rng(6)
+    pairs = rng.normal(size=(60, 24))
+    x = (np.eye(24)[0] + rng.normal(0, 0.01, (150, 24))).tolist() + [(p + rng.normal(0, 0.01, 24)).tolist() for p in pairs for _ in range(2)]
+    some = spark.createDataFrame([(i, 0) for i in range(150)], "node long, component long")
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "groups_of", lambda graph: some)
+    got = embed_dedup.near_duplicates(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == brute_links(x)
+
+
 def test_no_embeddings(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 

@@ -321,10 +321,11 @@ def exact_links(table: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     member = groups.join(sizes, "component").join(table.select("node", "copies", "exact"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # blocks are evenly filled by hash, so their number of vectors is bounded
-    blocks = member.groupBy("component", block.alias("block")).agg(F.collect_list(F.struct("node", "copies", "exact")).alias("m"))
-    left = blocks.withColumnsRenamed({"block": "x", "m": "mx"})
-    right = blocks.withColumnsRenamed({"block": "y", "m": "my"})
-    met = left.join(right, "component").where("x <= y").select((F.col("x") == F.col("y")).alias("same"), "mx", "my")
+    blocks = member.groupBy("component", "blocks", block.alias("block")).agg(F.collect_list(F.struct("node", "copies", "exact")).alias("m"))
+    # each block goes to the keys of all its pairs, so that those of a large group spread over tasks
+    left = blocks.select("component", F.col("block").alias("x"), F.explode(F.sequence("block", (F.col("blocks") - 1).cast("int"))).alias("y"), F.col("m").alias("mx"))
+    right = blocks.select("component", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"), F.col("m").alias("my"))
+    met = left.join(right, ["component", "x", "y"]).select((F.col("x") == F.col("y")).alias("same"), "mx", "my")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import corpus_pipeline
@@ -21,6 +22,31 @@ def test_stages_pass_documents_on(spark, docs):
     assert seen[2] == seen[1]
 
 
+def test_planted_near_copies_go(spark, empty):
+    """Copies with five-word similarity 0.8 to 0.95 go, all of them; those below stay."""
+    rng = random.Random(3)
+    sets = lambda t: {tuple(t[i:i + 5]) for i in range(len(t) - 4)}
+    rows, near, far = [], set(), set()
+    for base in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((1000 * base, " ".join(words)))
+        for copy, changes in enumerate((1, 2, 3, 4, 6, 8, 12), 1):
+            new = list(words)
+            for at in rng.sample(range(200), changes):
+                new[at] = f"x{rng.randrange(10**9)}"
+            a, b = sets(words), sets(new)
+            likeness = len(a & b) / len(a | b)
+            if 0.8 <= likeness <= 0.95:
+                near.add(1000 * base + copy)
+            elif likeness < 0.75:
+                far.add(1000 * base + copy)
+            rows.append((1000 * base + copy, " ".join(new)))
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    left = {r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(near) > 150 and not near & left and far <= left
+    assert stage(spark, empty, "").count() == 0
+
+
 def test_run_packs_what_is_left(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

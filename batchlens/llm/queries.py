@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchlens.llm import bpe, chat, embed_dedup, langid, packing, simhash, substring, suffix, token_files, topk
+from batchlens.llm import align, bpe, chat, embed_dedup, langid, packing, sentence_pieces, simhash, substring, suffix, token_files, topk, variants
 from batchlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLES["op3_embedding_dedup"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -131,3 +146,36 @@ kept AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.r = d.r
 """
+
+# crc32 is computed bit by bit: eight steps a byte, as DuckDB has no such function
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM raw GROUP BY ALL),
+bytes AS (
+  SELECT *, list_transform(range(octet_length(CAST(s AS BLOB))), lambda i: CAST('0x' || hex(CAST(s AS BLOB))[2 * i + 1:2 * i + 2] AS BIGINT)) AS b
+  FROM (SELECT *, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS s FROM runs)
+), crc AS (
+  SELECT doc_id, run, n, xor(4294967295, list_reduce(b, lambda c, x: list_reduce(range(8), lambda v, i:
+    CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, x)), 4294967295)) AS h FROM bytes
+), said AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM crc
+), v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS part FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+spots AS (SELECT word, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS part FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS near FROM spots a JOIN spots b ON a.i = b.i AND a.part = b.part AND a.word <> b.word
+  UNION SELECT word, part FROM less SEMI JOIN v ON v.word = less.part
+  UNION SELECT part, word FROM less SEMI JOIN v ON v.word = less.part
+), ranked AS (
+  SELECT near.word, near, w.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, encode(near)) AS rn
+  FROM near JOIN v w ON w.word = near.near
+), formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN ranked ON ranked.word = v.word AND rn = 1
+), chain AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL
+)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain ON chain.word = f.word JOIN formed g ON g.word = chain.at AND g.form IS NULL
+"""

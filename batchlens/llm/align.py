@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchlens.llm.common import bytes_of, held, id_type, slices
-from batchlens.llm.sentence_pieces import BYTE, CONTROL, UNKNOWN, Model
+from batchlens.llm.sentence_pieces import Model
 from batchlens.llm.words import LETTERS, TextCoder
 from batchlens.session import LoopState
 
 #: Texts are aligned in slices of this many bytes.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: A block ends with the slice that brings it to so many pairs of a document and an id pair.
 BLOCK_PAIRS = 1_500_000
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -59,6 +59,20 @@ class Aligned(NamedTuple):
     n_links: np.ndarray
 
 
+class Spelled:
+    """Byte strings by number, joined with array operations."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array(list(map(len, strings)), dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def join(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        done = np.cumsum(size)
+        return self.flat[np.repeat(self.first[numbers] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+
+
 class Pair:
     """Two tokenizers and the bytes of their ids."""
 
@@ -66,67 +80,72 @@ class Pair:
         self.a, self.b = TextCoder(path_a), Model(path_b)
         byte = {letter: i for i, letter in enumerate(LETTERS)}
         entries = json.loads(self.a.library.to_str())["model"]["vocab"]
-        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             if all(c in byte for c in entry):
-                self.bytes_a[i] = bytes(map(byte.__getitem__, entry))
+                bytes_a[i] = bytes(map(byte.__getitem__, entry))
         pieces = self.b.library
-        self.bytes_b = [pieces.id_to_piece(i).replace("▁", " ").encode() for i in range(pieces.get_piece_size())]
+        bytes_b = [pieces.id_to_piece(i).replace("▁", " ").encode() for i in range(pieces.get_piece_size())]
         for value, i in self.b.bytes.items():
-            self.bytes_b[i] = bytes([value])
-        self.size_a = np.array(list(map(len, self.bytes_a)), dtype=np.int64)
-        self.size_b = np.array(list(map(len, self.bytes_b)), dtype=np.int64)
+            bytes_b[i] = bytes([value])
+        self.n_a, self.n_b = len(bytes_a), len(bytes_b)
+        self.bytes_a, self.bytes_b = Spelled(bytes_a), Spelled(bytes_b)
         # decimal ids with the sign that follows: a comma, or what ends the tokens of a group on that side
-        self.shown = [f"{i},".encode() for i in range(len(self.bytes_a))] + [f"{i}|".encode() for i in range(len(self.bytes_a))]
-        self.shown += [f"{i},".encode() for i in range(len(self.bytes_b))] + [f"{i};".encode() for i in range(len(self.bytes_b))]
-        self.shown_size = np.array(list(map(len, self.shown)), dtype=np.int64)
+        self.shown = Spelled([f"{i}{sign}".encode() for n, signs in ((self.n_a, ",|"), (self.n_b, ",;")) for sign in signs for i in range(n)])
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both sides and their number per text; none for texts that either side doesn't give back."""
         spaced = [b" " + t if t else t for t in texts]
         ids_a, stops_a = self.a.encode(spaced)
         found = self.b.encode(texts)
-        sides = []
+        whole = np.frombuffer(b"".join(spaced), dtype=np.uint8)
+        sides, differ = [], False
         for ids, stops, spell in ((ids_a, np.maximum.accumulate(stops_a), self.bytes_a), (found.ids, found.stops, self.bytes_b)):
-            sides.append((ids.astype(np.int64), np.diff(stops, prepend=0), b"".join(map(spell.__getitem__, ids.tolist()))))
-        whole = b"".join(spaced)
-        if any(made != whole for _, _, made in sides):
+            sides.append((ids.astype(np.int64), np.diff(stops, prepend=0), spell))
+            differ = differ or not np.array_equal(spell.join(sides[-1][0]), whole)
+        if differ:
             fine = np.ones(len(texts), dtype=bool)
-            for (ids, counts, made), size in zip(sides, (self.size_a, self.size_b), strict=True):
-                at = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            for ids, counts, spell in sides:
+                made = spell.join(ids).tobytes()
+                at = np.concatenate([[0], np.cumsum(spell.size[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
                 fine &= [made[x:y] == t for x, y, t in zip(at, at[1:], spaced, strict=False)]
-            sides = [(ids[np.repeat(fine, counts)], np.where(fine, counts, 0), b"") for ids, counts, _ in sides]
+            sides = [(ids[np.repeat(fine, counts)], np.where(fine, counts, 0), spell) for ids, counts, spell in sides]
         (ids_a, counts_a, _), (ids_b, counts_b, _) = sides
         return ids_a, counts_a, ids_b, counts_b
 
     def align(self, texts: list[bytes]) -> Aligned:
         ids_a, counts_a, ids_b, counts_b = self.tokens(texts)
         n = len(texts)
-        doc_a, doc_b = np.repeat(np.arange(n), counts_a), np.repeat(np.arange(n), counts_b)
-        end_a, end_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        a = pd.DataFrame({"doc": doc_a, "at": end_a - self.size_a[ids_a], "a": np.arange(len(ids_a))})
-        b = pd.DataFrame({"doc": doc_b, "at": end_b - self.size_b[ids_b], "b": np.arange(len(ids_b))})
-        over_a = pd.merge_asof(a, b, on="at", by="doc")
-        over_b = pd.merge_asof(b, a.assign(start=a["at"]), on="at", by="doc")
-        over_b = over_b[over_b["start"] != over_b["at"]]  # links of equal starts are there already
-        link_a = np.concatenate([over_a["a"].to_numpy(), over_b["a"].to_numpy()]).astype(np.int64)
-        link_b = np.concatenate([over_a["b"].to_numpy(), over_b["b"].to_numpy()]).astype(np.int64)
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        closing = np.searchsorted(end_a, both)
-        return Aligned(ids_a, ids_b, counts_a, counts_b, link_a, link_b, group_a, group_b,
-                       np.bincount(doc_a[closing], minlength=n), np.bincount(doc_a[link_a], minlength=n))
+        doc_a, doc_b = np.repeat(np.arange(n, dtype=np.int32), counts_a), np.repeat(np.arange(n, dtype=np.int32), counts_b)
+        size_a, size_b = self.bytes_a.size[ids_a], self.bytes_b.size[ids_b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        a = pd.DataFrame({"doc": doc_a, "at": end_a - size_a, "a": np.arange(len(ids_a))}, copy=False)
+        b = pd.DataFrame({"doc": doc_b, "at": end_b - size_b, "b": np.arange(len(ids_b))}, copy=False)
+        cover_b = pd.merge_asof(a, b, on="at", by="doc")["b"].to_numpy()
+        cover_a = pd.merge_asof(b, a, on="at", by="doc")["a"].to_numpy()
+        other = np.flatnonzero(a["at"].to_numpy()[cover_a] != b["at"].to_numpy()) if len(cover_a) else cover_a.astype(np.int64)  # links of equal starts are there already
+        link_a, link_b = np.concatenate([np.arange(len(ids_a)), cover_a[other]]), np.concatenate([cover_b, other])
+        # places where tokens of both sides end; a token's group is the number of such places before its end
+        ends = np.zeros((2, int(size_a.sum()) + 1), dtype=bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        both = ends[0] & ends[1]
+        before = np.cumsum(both) - both
+        closes = np.flatnonzero(both[end_a])
+        return Aligned(ids_a, ids_b, counts_a, counts_b, link_a.astype(np.int64), link_b.astype(np.int64), before[end_a], before[end_b],
+                       np.bincount(doc_a[closes], minlength=n), np.bincount(doc_a[link_a.astype(np.int64)], minlength=n))
 
     def group_digests(self, found: Aligned) -> list[str]:
         """sha256 of each document's groups as text; '' for documents without tokens."""
-        ids_a, ids_b, ga, gb = found.ids_a, found.ids_b, found.group_a, found.group_b
+        ga, gb = found.group_a, found.group_b
+        groups = int(ga[-1]) + 1 if len(ga) else 0
+        in_a, in_b = np.bincount(ga, minlength=groups), np.bincount(gb, minlength=groups)
         last_a, last_b = np.append(ga[1:] != ga[:-1], True)[:len(ga)], np.append(gb[1:] != gb[:-1], True)[:len(gb)]
-        order = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        order = np.empty(len(ga) + len(gb), dtype=np.int64)
         # a token stands behind those of its own side and those of the other side in earlier groups (A comes first in a group)
-        order[np.arange(len(ids_a)) + np.searchsorted(gb, ga)] = ids_a + np.where(last_a, len(self.bytes_a), 0)
-        order[np.arange(len(ids_b)) + np.searchsorted(ga, gb, side="right")] = ids_b + np.where(last_b, len(self.bytes_b), 0) + 2 * len(self.bytes_a)
-        text = memoryview(b"".join(map(self.shown.__getitem__, order.tolist())))
-        at = np.concatenate([[0], np.cumsum(self.shown_size[order])])[np.concatenate([[0], np.cumsum(found.counts_a + found.counts_b)])].tolist()
+        order[np.arange(len(ga)) + (np.cumsum(in_b) - in_b)[ga]] = found.ids_a + np.where(last_a, self.n_a, 0)
+        order[np.arange(len(gb)) + np.cumsum(in_a)[gb]] = found.ids_b + np.where(last_b, self.n_b, 0) + 2 * self.n_a
+        text = memoryview(self.shown.join(order))
+        at = np.concatenate([[0], np.cumsum(self.shown.size[order])])[np.concatenate([[0], np.cumsum(found.counts_a + found.counts_b)])].tolist()
         return [hashlib.sha256(text[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(at, at[1:], strict=False)]
 
 
@@ -138,20 +157,22 @@ def pair_of(path_a: str, path_b: str) -> Pair:
 class Block:
     """Documents of a task with the id pairs linked in each."""
 
-    def __init__(self, ids: pa.DataType):
+    def __init__(self, ids: pa.DataType, n_a: int, n_b: int):
+        self.n_a, self.n_b = n_a, n_b  # ids of both sides are below these
         self.id_type, self.doc_ids, self.facts, self.hashes = ids, [], [], []
         self.pairs, self.times, self.per_doc, self.size = [], [], [], 0
 
     def add(self, doc_ids: pa.Array, found: Aligned, hashes: list[str]) -> None:
         n = len(hashes)
         doc = np.repeat(np.arange(n), found.counts_a)[found.link_a]
-        pair = found.ids_a[found.link_a] << 32 | found.ids_b[found.link_b]
-        order = np.lexsort((pair, doc))
-        doc, pair = doc[order], pair[order]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))[:len(doc)])
-        self.pairs.append(pair[first])
-        self.times.append(np.diff(first, append=len(doc)))
-        self.per_doc.append(np.bincount(doc[first], minlength=n))
+        code = (doc * self.n_a + found.ids_a[found.link_a]) * self.n_b + found.ids_b[found.link_b]
+        code.sort()
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[:len(code)])
+        rest, id_b = np.divmod(code[first], self.n_b)
+        doc, id_a = np.divmod(rest, self.n_a)
+        self.pairs.append(id_a << 32 | id_b)
+        self.times.append(np.diff(first, append=len(code)))
+        self.per_doc.append(np.bincount(doc, minlength=n))
         self.doc_ids.append(doc_ids)
         self.facts.append(np.stack([found.counts_a, found.counts_b, found.n_groups, found.n_links]))
         self.hashes += hashes
@@ -200,7 +221,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for part in slices(batches, limit=SLICE):
             made = pair_of(path_a, path_b)
             found = made.align(bytes_of(part))
-            block = block or Block(part.column("doc_id").type)
+            block = block or Block(part.column("doc_id").type, made.n_a, made.n_b)
             block.add(part.column("doc_id"), found, made.group_digests(found))
             if block.size >= BLOCK_PAIRS:
                 yield block.batch(number)

@@ -3,8 +3,9 @@
 A text is normalised by longest prefixes of the model's compiled character map
 (``charmap``), which records the source of each normalised byte.  No piece of
 such a vocabulary has a space sign after another character, so the normalised
-text is cut before every space sign that follows one; the parts are merged by
-score and their ids are kept in a worker's bounded table.  Piece borders are
+text is cut before every space sign that follows one; new parts are merged by
+the library, whose own normalisation is off, and their ids are kept in a
+worker's bounded table.  Piece borders are
 projected through the record to byte spans of the original text.
 
 Defined results: null and empty texts have the begin and end ids alone; repeated
@@ -20,7 +21,6 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -35,8 +35,6 @@ from batchlens.llm.words import PieceTable
 
 #: Texts are encoded in slices of this many bytes.
 SLICE = 4 << 20
-#: Parts above this many characters are merged with a heap.
-LONG = 48
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 
 
@@ -66,75 +64,20 @@ class Model:
         self.map = CharMap(norm.precompiled_charsmap, norm.add_dummy_prefix, norm.remove_extra_whitespaces)
         spaced = [p.piece.replace("▁", " ") for p in spec.pieces]
         normal = [i for i, p in enumerate(spec.pieces) if p.type == NORMAL]
-        self.ids = {spaced[i]: i for i in normal}
         if any(" " in spaced[i].lstrip(" ") or " " in spec.pieces[i].piece for i in normal):
             raise ValueError("a piece has a space after another character")
-        order = {s: r for r, s in enumerate(sorted({spec.pieces[i].score for i in normal}, reverse=True))}
-        #: Order in which pieces are merged; the highest score comes first.
-        self.rank = {spaced[i]: order[spec.pieces[i].score] for i in normal}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
         #: Normalised bytes of each id.
         self.width = np.array([len(s.encode()) if p.type == NORMAL else int(p.type == BYTE) for s, p in zip(spaced, spec.pieces, strict=True)], dtype=np.int64)
         self.is_byte = np.array([p.type == BYTE for p in spec.pieces])
-        self.table = PieceTable(lambda parts: [self.merge(p.decode()) for p in parts])
-
-    def merge(self, part: str) -> bytes:
-        """Little-endian 32-bit ids of one part: the best pair is joined again and again, the left one of equals."""
-        whole = self.ids.get(part)
-        symbols = list(part)
-        if whole is None or len(part) > 1:
-            symbols = self._merge_long(symbols) if len(part) > LONG else self._merge_short(symbols)
-        out = array("I")
-        for s in symbols:
-            known = self.ids.get(s)
-            if known is None:
-                out.extend(self.bytes[b] for b in s.encode())
-            else:
-                out.append(known)
-        return out.tobytes()
-
-    def _merge_short(self, symbols: list[str]) -> list[str]:
-        none, rank = len(self.rank), self.rank.get
-        ranks = [rank(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            joined = symbols[i] + symbols[i + 1]
-            symbols[i:i + 2] = [joined]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(joined + symbols[i + 1], none)
-            if i:
-                ranks[i - 1] = rank(symbols[i - 1] + joined, none)
-        return symbols
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        """The same with a heap and links, for parts of any length."""
-        n, rank = len(symbols), self.rank.get
-        after, before, queue = [*range(1, n), -1], list(range(-1, n - 1)), []
-
-        def pair(at: int) -> tuple | None:
-            joined = symbols[at] + symbols[after[at]]
-            found = rank(joined)
-            return None if found is None else (found, at, joined)
-
-        queue = [p for p in map(pair, range(n - 1)) if p]
-        heapify(queue)
-        while queue:
-            _, at, joined = heappop(queue)
-            to = after[at]
-            if not symbols[at] or to < 0 or symbols[at] + symbols[to] != joined:
-                continue  # one of the two has changed since
-            symbols[at], symbols[to], after[at] = joined, "", after[to]
-            if after[at] >= 0:
-                before[after[at]] = at
-                if p := pair(at):
-                    heappush(queue, p)
-            if before[at] >= 0 and (p := pair(before[at])):
-                heappush(queue, p)
-        return [s for s in symbols if s]
+        # parts are normalised already: the library only merges them
+        norm.precompiled_charsmap, norm.add_dummy_prefix, norm.remove_extra_whitespaces = b"", False, False
+        self.merger = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
+        self.table = PieceTable(self._learn)
+
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of parts of normalised text."""
+        return [array("I", ids).tobytes() for ids in self.merger.encode([p.decode() for p in parts], num_threads=1)]
 
     def encode(self, texts: list[bytes]) -> Encoded:
         """Ids of the texts without begin and end ids, with their byte spans in the texts."""

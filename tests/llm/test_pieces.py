@@ -88,11 +88,11 @@ def test_ids_and_spans_are_the_librarys(folded, folded_path, texts):
     check([t or "" for t in texts.values()])
 
 
-def test_long_parts_are_merged_like_short_ones(monkeypatch):
+def test_long_parts_are_encoded_whole():
     made = sentence_pieces.Model(PATH)
-    for part in (" ", " the", "notwithstanding" * 3, "aaaaaaaaaaaaaaaaaaaa", " " * 21 + "x", "日本日本日本語"):
-        assert made._merge_short(list(part)) == made._merge_long(list(part))
-    assert len(made.merge("ab" * 100_000)) > 0
+    for text in ("ab" * 100_000, " " * 5000 + "x", "日本" * 20_000):
+        (ids, _, ends), = made.framed([text.encode()])
+        assert ids.tolist() == made.library.encode(text, add_bos=True, add_eos=True) and ends[-2] == len(text.encode())
 
 
 def test_other_models_are_refused(tmp_path):

@@ -143,10 +143,14 @@ def _call_edges(calls: DataFrame) -> DataFrame:
     return calls.select(F.col("src_fqn").alias("src_id"), F.col("dst_fqn").alias("dst_id"))
 
 
-def _below(t, entries: DataFrame, min_hops: int, max_hops: int) -> DataFrame:
-    """Methods below each entry method; each entry is walked once, however many steps share it."""
+def _below(t, entries: DataFrame, min_hops: int, max_hops: int, targets: DataFrame | None = None) -> DataFrame:
+    """Methods below each entry method; each entry is walked once, however many steps share it.
+
+    With ``targets`` (column method_fqn) only chains that lead to one are followed.
+    """
     roots = entries.select(F.col("entry_fqn").alias("root"), F.col("entry_fqn").alias("node")).distinct()
-    reach = reachable(_call_edges(t.calls), roots, min_hops=min_hops, max_hops=max_hops)
+    wanted = None if targets is None else targets.select(F.col("method_fqn").alias("node")).distinct()
+    reach = reachable(_call_edges(t.calls), roots, min_hops=min_hops, max_hops=max_hops, targets=wanted)
     return reach.select(F.col("root").alias("entry_fqn"), F.col("node").alias("method_fqn"), "distance")
 
 
@@ -220,10 +224,11 @@ def call_paths(t, job_id: str | None = None, max_calls: int = 4) -> DataFrame:
 
 
 def _chains(t, job_id: str | None, max_calls: int, with_tests: bool) -> DataFrame:
-    """Entry methods that call something, with every method of their chains (themselves included)."""
+    """Entry methods that call something, with the methods of their chains (themselves included) that lead to a table operation."""
     entries = _entry_points(t, job_id, with_tests)
     entries = entries.join(t.calls.select(F.col("src_fqn").alias("entry_fqn")).distinct(), "entry_fqn", "left_semi")
-    return entries.join(_below(t, entries, 0, max_calls), "entry_fqn").select("job_id", "step_id", "class_fqn", "entry_fqn", "method_fqn")
+    below = _below(t, entries, 0, max_calls, t.db_operation)
+    return entries.join(below, "entry_fqn").select("job_id", "step_id", "class_fqn", "entry_fqn", "method_fqn")
 
 
 def methods_with_db(t, job_id: str | None = None, max_calls: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchlens.operators.codescan import GREY_CORE, GREY_DB, GREY_PROC, GREY_SHELL, mentions
+from batchlens.operators.condense import found_below
 from batchlens.operators.traverse import reachable
 from batchlens.session import LoopState
 
@@ -88,20 +89,18 @@ def entry_methods(step_class: DataFrame, methods: DataFrame, extends: DataFrame,
     return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
 
 
-def _below(calls: DataFrame, roots: DataFrame, max_hops: int | None) -> DataFrame:
-    """(entry_fqn, method_fqn, distance): each entry walked once for all steps that share it."""
-    edges = calls.select(F.col("src_fqn").alias("src_id"), F.col("dst_fqn").alias("dst_id"))
-    start = roots.select(F.col("method_fqn").alias("root"), F.col("method_fqn").alias("node")).distinct()
-    r = reachable(edges, start, max_hops=max_hops)
-    return r.select(F.col("root").alias("entry_fqn"), F.col("node").alias("method_fqn"), "distance")
+def _call_edges(calls: DataFrame) -> DataFrame:
+    return calls.select(F.col("src_fqn").alias("src_id"), F.col("dst_fqn").alias("dst_id"))
+
+
+def _roots(entries: DataFrame) -> DataFrame:
+    return entries.select("step_id", F.col("method_fqn").alias("node"))
 
 
 def consolidate_step_ops(entries: DataFrame, calls: DataFrame, method_op: DataFrame) -> DataFrame:
     """Distinct operations of all methods reachable from a step's entry methods, per kind."""
-    entries, _ = LoopState(entries.sparkSession, "entries").save(entries.select("step_id", "method_fqn"))
-    below = _below(calls, entries, None)
-    reach = entries.withColumnRenamed("method_fqn", "entry_fqn").join(below, "entry_fqn").select("step_id", "method_fqn").distinct()
-    return reach.join(method_op.select("method_fqn", "kind", "op"), "method_fqn").select("step_id", "kind", "op").distinct()
+    own = method_op.select(F.col("method_fqn").alias("node"), "kind", "op")
+    return found_below(_roots(entries), _call_edges(calls), own, ["kind", "op"])
 
 
 def step_op_counts(steps: DataFrame, ops: DataFrame) -> DataFrame:
@@ -119,11 +118,13 @@ def consolidate_all_steps(
     ``class_level``: method_fqn, bean_id.  ``step_bean``: step_id, bean_id.
     """
     keep = stored.where(~is_grey(F.col("kind"), F.col("op"))).select("step_id", "kind", "op")
-    entries, _ = LoopState(entries.sparkSession, "entries").save(entries.select("step_id", "method_fqn"))
+    # operations of methods settled for some step keep their method, so that each step can leave out its own
+    special = class_level.select(F.col("method_fqn").alias("node"), F.lit(True).alias("special")).distinct()
+    own = method_op.select(F.col("method_fqn").alias("node"), "kind", "op").join(special, "node", "left").select(
+        "node", "kind", "op", F.when(F.col("special"), F.col("node")).alias("method_fqn"))
     settled = class_level.join(step_bean, "bean_id").select("step_id", "method_fqn").distinct()
-    below = _below(calls, entries, None)
-    reach = entries.withColumnRenamed("method_fqn", "entry_fqn").join(below, "entry_fqn").select("step_id", "method_fqn").distinct()
-    fresh = reach.join(settled, ["step_id", "method_fqn"], "left_anti").join(method_op, "method_fqn").select("step_id", "kind", "op")
+    found = found_below(_roots(entries), _call_edges(calls), own, ["kind", "op", "method_fqn"])
+    fresh = found.join(settled, ["step_id", "method_fqn"], "left_anti").select("step_id", "kind", "op")
     return keep.unionByName(fresh).distinct()
 
 
@@ -231,10 +232,8 @@ def step_resource_links(step_op: DataFrame) -> DataFrame:
 def step_links_by_methods(step_class: DataFrame, methods: DataFrame, calls: DataFrame, method_op: DataFrame) -> DataFrame:
     """Operations of all methods at or below a step's classes; the lowest method is kept per (step, operation)."""
     own = step_class.select("step_id", "class_fqn").distinct().join(methods.select("class_fqn", F.col("fqn").alias("method_fqn")), "class_fqn")
-    own, _ = LoopState(own.sparkSession, "own").save(own.select("step_id", "method_fqn"))
-    below = _below(calls, own, None)
-    reach = own.withColumnRenamed("method_fqn", "entry_fqn").join(below, "entry_fqn").select("step_id", "method_fqn")
-    return reach.join(method_op, "method_fqn").groupBy("step_id", "kind", "op").agg(F.min("method_fqn").alias("method_fqn"))
+    ops = method_op.select(F.col("method_fqn").alias("node"), "kind", "op", "method_fqn")
+    return found_below(_roots(own), _call_edges(calls), ops, ["kind", "op"], {"method_fqn": F.min("method_fqn")})
 
 
 def job_list(job: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -263,9 +262,11 @@ def step_gaps(step_class: DataFrame, methods: DataFrame, calls: DataFrame, metho
     own = step_class.select("step_id", "class_fqn").distinct().join(
         methods.where(F.col("name").isin(names)).select("class_fqn", F.col("fqn").alias("method_fqn")), "class_fqn").select("step_id", "method_fqn")
     own, _ = LoopState(own.sparkSession, "own").save(own)
-    below = _below(calls, own, max_calls)
-    reach = own.withColumnRenamed("method_fqn", "entry_fqn").join(below, "entry_fqn").select("step_id", "method_fqn").distinct()
     grey = method_op.where(is_grey(F.col("kind"), F.col("op")) & (F.col("kind") != "SQL"))
+    start = own.select(F.col("method_fqn").alias("root"), F.col("method_fqn").alias("node")).distinct()
+    below = reachable(_call_edges(calls), start, max_hops=max_calls, targets=grey.select(F.col("method_fqn").alias("node")).distinct())
+    reach = own.join(below.select(F.col("root").alias("method_fqn"), F.col("node").alias("found")), "method_fqn").select(
+        "step_id", F.col("found").alias("method_fqn")).distinct()
     flags = methods.select(F.col("fqn").alias("method_fqn"), F.coalesce("further_analysis", F.lit(False)).alias("further_analysis"))
     return reach.join(grey, "method_fqn").join(flags, "method_fqn").select(
         "step_id", F.lower("kind").alias("category"), "op", "method_fqn", "further_analysis")
@@ -279,14 +280,15 @@ class Trace(NamedTuple):
 def trace_unknown(entries: DataFrame, calls: DataFrame, method_op: DataFrame) -> Trace:
     """Shortest call path from a step's entries to each method with unresolved entries.
 
-    The walk goes forward once; paths are then rebuilt backwards for the
+    One walk back from the unresolved methods finds all that lead to one; the
+    walk forward stays among them.  Paths are then rebuilt backwards for the
     unresolved methods only, one join per hop (lowest caller wins).
     """
     state = LoopState(entries.sparkSession, "trace")
-    edges = calls.select(F.col("src_fqn").alias("src_id"), F.col("dst_fqn").alias("dst_id"))
-    roots = entries.select("step_id", F.col("method_fqn").alias("node")).distinct()
-    reach = reachable(edges, roots, ["step_id"], max_hops=None)
+    edges = _call_edges(calls)
+    roots = _roots(entries).distinct()
     grey = method_op.where(is_grey(F.col("kind"), F.col("op"))).select(F.col("method_fqn").alias("node")).distinct()
+    reach = reachable(edges, roots, ["step_id"], max_hops=None, targets=grey)
     hit, n = state.save(reach.join(grey, "node", "left_semi").select("step_id", "node", "distance"))
     at = hit.select("step_id", F.col("node").alias("method_fqn"), F.col("distance").alias("position"), F.col("node").alias("on_path"))
     at, n = state.save(at)

@@ -25,13 +25,22 @@ def flip(edges: DataFrame) -> DataFrame:
 def reachable(
     edges: DataFrame, roots: DataFrame, keys: Sequence[str] = ("root",), min_hops: int = 0, max_hops: int | None = None,
     direction: str = "down", scope: DataFrame | None = None, edge_keys: Sequence[str] = (), scope_keys: Sequence[str] = (),
-) -> DataFrame:
+    targets: DataFrame | None = None, most: int | None = None,
+) -> DataFrame | None:
     """(keys, node, distance): fewest hops from each traversal's roots.
 
     ``roots`` has the keys and ``node``.  With ``min_hops=1`` a root itself
     appears only when a cycle leads back to it.  ``scope`` (column ``node``)
     must hold every node of a path; with ``scope_keys`` it differs per
     traversal.  Without ``max_hops`` the walk ends when nothing new is found.
+
+    With ``targets`` (column ``node``) only nodes from which a target can still
+    be reached are visited: one walk back from all targets together finds how
+    far each node is from the nearest, and the walks forward stay inside that
+    set and, with ``max_hops``, inside what the hops that are left allow.
+
+    With ``most`` the walk is given up, and the result is None, as soon as it
+    has written more rows than that.
     """
     state = LoopState(roots.sparkSession, "reach")
     keys, edge_keys = list(keys), list(edge_keys)
@@ -47,15 +56,24 @@ def reachable(
     elif scope is not None:
         links = links.join(inside.withColumnRenamed("node", "src_id"), "src_id", "left_semi")
         links = links.join(inside.withColumnRenamed("node", "dst_id"), "dst_id", "left_semi")
-    links, _ = state.save(links.distinct())
+    links = links.distinct()
+    if targets is not None:
+        links, _ = state.save(links)
+        ahead = reachable(links, targets.select("node"), (), max_hops=max_hops, direction="up").withColumnRenamed("distance", "to_go")
+        links = links.join(ahead.withColumnRenamed("node", "dst_id"), "dst_id")
+        start = start.join(ahead, "node", "left_semi")
+    links, _ = state.save(links)
+    pruned = targets is not None and max_hops is not None
     frontier, grown = state.save(start.distinct().withColumn("distance", F.lit(0)))
     seen = [frontier] if min_hops == 0 else []
-    depth = 0
+    depth, total = 0, grown
     while grown and (max_hops is None or depth < max_hops):
+        if most is not None and total > most:
+            return None
         depth += 1
         step = (
             frontier.drop("distance").withColumnRenamed("node", "src_id")
-            .join(links, [*edge_keys, "src_id"])
+            .join(links.where(F.col("to_go") <= max_hops - depth) if pruned else links, [*edge_keys, "src_id"])
             .select(*keys, F.col("dst_id").alias("node")).distinct()
         )
         if scope_keys:
@@ -63,6 +81,7 @@ def reachable(
         if seen:
             step = step.join(state.union_of(seen).drop("distance"), [*keys, "node"], "left_anti")
         frontier, grown = state.save(step.select(*keys, "node", F.lit(depth).alias("distance")))
+        total += grown
         if grown:
             seen.append(frontier)
     for table in (links, inside) if scope_keys else (links,):
@@ -89,8 +108,13 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] =
     """(keys, node, level, in_cycle): level is the longest path from a source.
 
     Nodes on or behind a cycle are never freed; they come last, one level
-    after all others, flagged.  A round looks only at successors of the nodes
-    freed in the round before.
+    after all others, flagged.  ``condense.strong_components`` tells the two
+    apart.
+
+    Every link carries the number of predecessors of its end.  A round takes
+    the links that leave the nodes freed last, subtracts them from what is left
+    of their ends' numbers, and frees those that reach zero.  Besides the links
+    it reads only the counters of nodes that wait for further predecessors.
     """
     state = LoopState(nodes.sparkSession, "levels")
     keys, edge_keys = list(keys), list(edge_keys)
@@ -101,25 +125,25 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] =
     links = links.join(ends, [*edge_keys, "src_id"]).join(
         todo.withColumnRenamed("node", "dst_id"), [*keys, "dst_id"], "left_semi"
     ).select(*keys, "src_id", "dst_id")
-    links, _ = state.save(links)
+    needs = links.groupBy(*keys, "dst_id").agg(F.count("*").alias("needs"))
+    links, _ = state.save(links.join(needs, [*keys, "dst_id"]))
     heads = links.select(*keys, F.col("dst_id").alias("node")).distinct()
-    freed, grown = state.save(todo.join(heads, [*keys, "node"], "left_anti").withColumn("level", F.lit(0)))
-    done, depth = [freed], 0
-    while grown:
+    first = todo.join(heads, [*keys, "node"], "left_anti").select(*keys, "node", F.lit(0).cast("bigint").alias("waits"), F.lit(0).alias("level"))
+    touched, counts = state.save_counting(first.withColumn("freed", F.lit(True)), ["freed"], freed=F.col("freed"))
+    rounds, depth = [], 0
+    while counts["freed"]:
+        rounds.append(touched)
         depth += 1
-        last = freed.select(*keys, F.col("node").alias("src_id"))
-        ready = links.join(last, [*keys, "src_id"], "left_semi").select(*keys, "dst_id").distinct()
-        settled = state.union_of(done).select(*keys, F.col("node").alias("src_id"))
-        blocked = (
-            links.join(ready, [*keys, "dst_id"], "left_semi")
-            .join(settled, [*keys, "src_id"], "left_anti").select(*keys, "dst_id").distinct()
+        last = touched.where("freed").select(*keys, F.col("node").alias("src_id"))
+        lost = links.join(last, [*keys, "src_id"], "left_semi").groupBy(*keys, F.col("dst_id").alias("node")).agg(
+            F.count("*").alias("lost"), F.max("needs").alias("needs")
         )
-        ready = ready.join(blocked, [*keys, "dst_id"], "left_anti")
-        freed, grown = state.save(ready.select(*keys, F.col("dst_id").alias("node"), F.lit(depth).alias("level")))
-        if grown:
-            done.append(freed)
+        waiting = touched.where("NOT freed").select(*keys, "node", "waits")
+        left = F.coalesce("waits", "needs") - F.coalesce("lost", F.lit(0))
+        after = waiting.join(lost, [*keys, "node"], "full").select(*keys, "node", left.alias("waits"), F.lit(depth).alias("level"))
+        touched, counts = state.save_counting(after.withColumn("freed", F.col("waits") == 0), ["freed"], freed=F.col("waits") == 0)
     state.drop(links)
-    ordered = state.union_of(done)
+    ordered = (state.union_of(rounds, "freed=true") if rounds else touched).select(*keys, "node", "level")
     rest = todo.join(ordered, [*keys, "node"], "left_anti").withColumn("level", F.lit(depth))
     return ordered.withColumn("in_cycle", F.lit(False)).unionByName(rest.withColumn("in_cycle", F.lit(True)))
 

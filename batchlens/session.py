@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "batchlens", cpus: str = "8", shuffle: int = 8) -> SparkSession:
@@ -66,9 +67,9 @@ class LoopState:
         stored, counts = self._save(df, {}, parts)
         return stored, counts["n"]
 
-    def save_counting(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+    def save_counting(self, df: DataFrame, parts: Sequence[str] = (), **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
         """Write ``df`` and count its rows, and those meeting each condition, in the same pass."""
-        return self._save(df, {name: F.count_if(c) for name, c in conditions.items()})
+        return self._save(df, {name: F.count_if(c) for name, c in conditions.items()}, parts)
 
     def _save(self, df: DataFrame, facts: dict[str, Column], parts: Sequence[str] = ()) -> tuple[DataFrame, dict[str, int]]:
         self._n += 1
@@ -84,6 +85,10 @@ class LoopState:
         """Write ``df``; count its rows and sum each (non-negative) term in the same pass."""
         return self._save(df, {name: F.coalesce(F.sum(c), F.lit(0)) for name, c in terms.items()})
 
+    def save_largest(self, df: DataFrame, **values: Column) -> tuple[DataFrame, dict[str, int]]:
+        """Write ``df``; find the largest of each (non-negative) value in the same pass, -1 where there is none."""
+        return self._save(df, {name: F.coalesce(F.max(c), F.lit(-1)) for name, c in values.items()})
+
     def drop(self, table: DataFrame) -> None:
         """Delete a table saved here that nothing will read again."""
         _, path = self._paths.pop(id(table))
@@ -91,6 +96,7 @@ class LoopState:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    def union_of(self, tables: list[DataFrame]) -> DataFrame:
-        """One scan over several tables saved here with the same schema."""
-        return self.spark.read.schema(tables[0].schema).parquet(*(self._paths[id(t)][1] for t in tables))
+    def union_of(self, tables: list[DataFrame], part: str = "") -> DataFrame:
+        """One scan over several tables saved here with the same schema, or over one of their folders (``column=value``) that all have."""
+        columns = [f for f in tables[0].schema if not part.startswith(f"{f.name}=")]
+        return self.spark.read.schema(StructType(columns)).parquet(*(f"{self._paths[id(t)][1]}/{part}".rstrip("/") for t in tables))

@@ -3,7 +3,11 @@
 import random
 from collections import deque
 
+import pytest
+from pyspark.sql import functions as F
+
 from batchlens.functions.ranking import group_index
+from batchlens.operators import condense
 from batchlens.operators import traverse as tr
 
 
@@ -98,3 +102,70 @@ def test_group_index_spreads_one_large_group(spark):
         for i, r in enumerate(sorted((o, k) for gg, o, k in rows if gg == g)):
             want[(g, r[1])] = i
     assert {(r.g, r.id): r.pos for r in got} == want
+
+
+def strong(nodes, edges):
+    """Components by mutual reachability."""
+    down = {n: {n} | set(bfs(edges, n, 1, None)) for n in nodes}
+    return {n: min(m for m in nodes if m in down[n] and n in down[m]) for n in nodes}
+
+
+def test_components_and_their_levels(spark):
+    rng = random.Random(21)
+    for n, m in ((30, 40), (8, 0)):
+        nodes = [f"n{i:02d}" for i in range(n)]
+        edges = [(nodes[a], nodes[b]) for a, b in random_edges(rng, n, m, acyclic=False)] + [(nodes[0], nodes[0])]
+        e = frame(spark, edges, "src_id string, dst_id string")
+        parts = condense.strong_components(frame(spark, [(x,) for x in nodes], "node string"), e).collect()
+        want = strong(nodes, edges)
+        assert {r.node: r.component for r in parts} == want and len(parts) == n
+        level = {r.node: r.level for r in parts}
+        assert all(level[a] > level[b] for a, b in edges if want[a] != want[b])
+        assert all(level[x] == level[want[x]] for x in nodes)
+
+
+def test_nodes_behind_a_cycle_are_not_on_it(spark):
+    e = frame(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "e")], "src_id string, dst_id string")
+    got = {r.node: r.component for r in condense.cycle_members(frame(spark, [(x,) for x in "abcdef"], "node string"), e).collect()}
+    assert got == {"b": "b", "c": "b", "e": "e", "f": "e"}
+
+
+@pytest.mark.parametrize("walked", [0, 10_000])
+def test_facts_below_shared_layers_and_cycles(spark, monkeypatch, walked):
+    monkeypatch.setattr(condense, "WALKED", walked)
+    rng = random.Random(4)
+    # many entries over one utility layer that calls itself in circles
+    edges = [(f"e{i}", f"u{rng.randrange(6)}") for i in range(20) for _ in range(2)] + [(f"u{i}", f"u{(i + 1) % 6}") for i in range(4)]
+    edges += [("u4", "v0"), ("u5", "v1"), ("v0", "v1"), ("v1", "v0"), ("v1", "w"), ("x", "y")]
+    facts = [("u0", "DB", "a"), ("v0", "DB", "b"), ("v1", "SQL", None), ("w", "DB", "b"), ("e3", "DB", "own"), ("y", "DB", "away")]
+    roots = [(f"s{i % 7}", f"e{i}") for i in range(20)] + [("s0", "e19"), ("s9", "missing"), ("s8", "y")]
+    e = frame(spark, edges, "src_id string, dst_id string")
+    own = frame(spark, facts, "node string, kind string, op string").withColumn("at", F.col("node"))
+    r = frame(spark, roots, "step_id string, node string")
+    want = {}
+    for step, root in roots:
+        for n in {root} | set(bfs(edges, root, 1, None)):
+            for at, kind, op in facts:
+                if at == n:
+                    want[step, kind, op] = min(want.get((step, kind, op), at), at)
+    got = {(x.step_id, x.kind, x.op): x.at for x in condense.found_below(r, e, own, ["kind", "op"], {"at": F.min("at")}).collect()}
+    assert got == want
+    plain = [(x.step_id, x.kind, x.op) for x in condense.found_below(r, e, own, ["kind", "op"]).collect()]
+    assert set(plain) == set(want) and len(plain) == len(want)
+
+
+def test_search_with_targets_stays_among_nodes_that_lead_to_one(spark):
+    rng = random.Random(9)
+    nodes = [str(i) for i in range(20)]
+    edges = [(str(a), str(b)) for a, b in random_edges(rng, 20, 34, acyclic=False)]
+    e = frame(spark, edges, "src_id string, dst_id string")
+    roots = frame(spark, [(n, n) for n in nodes[:8]], "root string, node string")
+    goals = {"13", "17"}
+    targets = frame(spark, [(g,) for g in goals], "node string")
+    back = [(b, a) for a, b in edges]
+    ahead = {n for g in goals for n in bfs(back, g, 0, None)}
+    for hops in (None, 2, 3):
+        full = {(n, k): v for n in nodes[:8] for k, v in bfs(edges, n, 0, hops).items()}
+        got = {(r.root, r.node): r.distance for r in tr.reachable(e, roots, max_hops=hops, targets=targets).collect()}
+        assert {k: v for k, v in got.items() if k[1] in goals} == {k: v for k, v in full.items() if k[1] in goals}
+        assert all(n in ahead for _, n in got) and all(full[k] == v for k, v in got.items())

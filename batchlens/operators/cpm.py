@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchlens.operators.traverse import flip, reachable, topological_levels, waves
+from batchlens.operators.traverse import ancestors, flip, reachable, topological_levels, waves
 from batchlens.session import LoopState
 
 RUN = ["jge_id"]
+#: Positions of a path that are joined in one group.
+STRETCH = 1000
 
 
 class CriticalPaths(NamedTuple):
@@ -128,19 +130,14 @@ def critical_paths(jge: DataFrame, runs: DataFrame, sics: DataFrame, entry: Data
     lf = F.coalesce("min_ls", "project_finish_ms").cast("bigint")
     backward = waves(back_nodes, flip(links), RUN, {"min_ls": F.min("ls")}, {"lf": lf, "ls": lf - F.col("dur")}, RUN)
 
-    # walk back from the end node along the predecessor with the largest finish
+    # the predecessor with the largest finish is a node's parent; the path is the parent chain of the end node
     into = links.join(forward.select("jge_id", F.col("node").alias("src_id"), "ef"), ["jge_id", "src_id"])
-    parent = into.groupBy("jge_id", "dst_id").agg(F.min_by("src_id", F.struct(-F.col("ef"), "src_id")).alias("best"))
-    steps = parent.select("jge_id", F.col("dst_id").alias("src_id"), F.col("best").alias("dst_id"))
-    walked = reachable(steps, totals.select("jge_id", F.col("end_node").alias("node")), RUN, max_hops=None, edge_keys=RUN)
+    parent = into.groupBy("jge_id", F.col("dst_id").alias("node")).agg(F.min_by("src_id", F.struct(-F.col("ef"), "src_id")).alias("parent"))
+    walked, _ = ancestors(parent, totals.select("jge_id", F.col("end_node").alias("node")), RUN)
     depth = walked.groupBy("jge_id").agg(F.max("distance").alias("last"))
     paths = walked.join(depth, "jge_id").select("jge_id", "node", (F.col("last") - F.col("distance")).alias("position"))
     paths, _ = state.save(paths)
-
-    # one element per level of the graph: bounded by its depth
-    text = paths.groupBy("jge_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda s: s["node"]), "->").alias("path_text")
-    )
+    text = path_texts(paths)
     per_run = totals.drop("end_node").join(text, "jge_id").withColumn("signature_hash", F.sha2("path_text", 256))
     on_path = paths.select("jge_id", "node", F.lit(True).alias("on_path"))
     metrics = backward.join(on_path, ["jge_id", "node"], "left").select(
@@ -150,6 +147,19 @@ def critical_paths(jge: DataFrame, runs: DataFrame, sics: DataFrame, entry: Data
     return CriticalPaths(metrics, paths, per_run, skipped)
 
 
+def path_texts(paths: DataFrame) -> DataFrame:
+    """(jge_id, path_text): names in order, joined by arrows.
+
+    Stretches of ``STRETCH`` positions become text each for itself, so no task
+    sorts a whole long path; a run's text is made of its few stretches.
+    """
+    def ordered(by: str, text: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, text))), lambda s: s[text]), "->")
+
+    stretch = paths.groupBy("jge_id", F.floor(F.col("position") / STRETCH).alias("stretch")).agg(ordered("position", "node").alias("names"))
+    return stretch.groupBy("jge_id").agg(ordered("stretch", "names").alias("path_text"))
+
+
 def cpm_tables(result: CriticalPaths) -> dict[str, DataFrame]:
     """The three stored tables: per run, per context run, and per group path signature."""
     per_run = result.runs.select(

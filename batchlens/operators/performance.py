@@ -135,10 +135,20 @@ def _moments(value: Column) -> list[Column]:
 
 
 def _mean_std(n: Column, s: Column, q: Column) -> tuple[Column, Column]:
-    """Mean and sample deviation from moments; one sample has deviation 0, none has null."""
-    nd, sd, qd = n.cast("double"), s.cast("double"), q.cast("double")
-    var = F.greatest((qd - sd * sd / nd) / (nd - 1), F.lit(0.0))
-    return F.when(n > 0, sd / nd), F.when(n > 1, F.sqrt(var)).when(n == 1, 0.0)
+    """Mean and sample deviation from moments; one sample has deviation 0, none has null.
+
+    With a whole number m near the mean and r = s - n m, the squared distances
+    add up to q - n m m - 2 m r - r r / n.  All but the last term, which is
+    below the others, are whole and subtracted as decimals, so equal leading
+    digits of the moments cost nothing.
+    """
+    nd = n.cast("double")
+    mean = s.cast("double") / nd
+    whole, m = n.cast("decimal(19,0)"), F.floor(mean).cast("decimal(19,0)")
+    r = (s - (whole * m).cast("decimal(38,0)")).cast("decimal(38,0)")
+    apart = (q - ((whole * m).cast("decimal(38,0)") * m).cast("decimal(38,0)") - (m * r * 2).cast("decimal(38,0)")).cast("double")
+    var = F.greatest((apart - r.cast("double") * r.cast("double") / nd) / (nd - 1), F.lit(0.0))
+    return F.when(n > 0, mean), F.when(n > 1, F.sqrt(var)).when(n == 1, 0.0)
 
 
 def anomaly_baseline(runs: DataFrame, sics: DataFrame, business_date: str, days: int = ANOMALY_DAYS) -> DataFrame:

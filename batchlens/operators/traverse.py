@@ -148,6 +148,30 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] =
     return ordered.withColumn("in_cycle", F.lit(False)).unionByName(rest.withColumn("in_cycle", F.lit(True)))
 
 
+def ancestors(parents: DataFrame, starts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int]:
+    """(keys, node, distance) of everything on the parent chain of each traversal's start; and the rounds it took.
+
+    ``parents`` (keys, node, parent) has one parent per node at most and no
+    cycle.  In every round each node found so far also takes the jump over the
+    round's links, which lead twice as far as those of the round before; so
+    every distance is met once, by its binary digits.
+    """
+    state = LoopState(parents.sparkSession, "chain")
+    keys = list(keys)
+    jump, left = state.save(parents.select(*keys, "node", "parent"))
+    found, _ = state.save(starts.select(*keys, "node", F.lit(0).cast("bigint").alias("distance")))
+    rounds = 0
+    while left:
+        far = found.join(jump, [*keys, "node"]).select(*keys, F.col("parent").alias("node"), (F.col("distance") + (1 << rounds)).alias("distance"))
+        after, _ = state.save(found.unionByName(far))
+        on = jump.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("next"))
+        longer, left = state.save(jump.join(on, [*keys, "parent"]).select(*keys, "node", F.col("next").alias("parent")))
+        state.drop(found)
+        state.drop(jump)
+        found, jump, rounds = after, longer, rounds + 1
+    return found, rounds
+
+
 def waves(
     nodes: DataFrame, edges: DataFrame, keys: Sequence[str], gathered: dict[str, Column], solved: dict[str, Column],
     edge_keys: Sequence[str] = (), state: LoopState | None = None,

@@ -41,7 +41,7 @@ def h2_summary(t):
 def h2_stream(t):
     c = st.parquet_stream(t.spark, t.dir, "conversations")
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-    return st.run_to_table(st.stream_expired_sessions(c.select(F.col("conv_id").alias("session_id"), ts.alias("ts"))), "append")
+    return st.run_expired_sessions(c.select(F.col("conv_id").alias("session_id"), ts.alias("ts"))).expired
 
 
 @query("r1_stream_runs", "SELECT id, start_ts, duration_ms, status, business_date, execution_date FROM {jce}")
@@ -71,4 +71,4 @@ def r3(t):
     events = st.table_stream(t.rae.select(F.col("id").alias("rae_id"), "resource_id", "business_date", at.alias("available_ts")))
     needs = t.require_resource.where(F.col("owner_type") == "JOB_GROUP").select("resource_id", F.col("owner_id").alias("job_group_id"))
     runs = st.table_stream(t.jge.select(F.col("id").alias("jge_id"), "job_group_id", "business_date", F.col("start_ts").cast("timestamp").alias("start_ts")))
-    return st.run_to_table(st.stream_resource_impact(events, needs, runs), "append")
+    return st.run_resource_impact(events, needs, runs).rows

@@ -1,18 +1,26 @@
-"""Streaming run records: idempotent load, timeline, failure bursts, resource impact, session expiry."""
+"""Streaming run records: idempotent load, timeline, failure bursts, resource impact, session expiry.
+
+Resource impact and session expiry keep their state as tables, one folder per
+micro-batch, instead of in a state store that drops late rows unseen.  What a
+batch needs of earlier ones is read back; a row too late to count lands in a
+side table, so input equals output plus what is open plus what was late.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from batchlens.functions.clock import business_date
 from batchlens.session import work_dir
 from batchlens.sources.upsert import newest_per_key
 
-LATE = "2 days"
-
 
 def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stream over one Parquet table of a folder; timestamps without zone are taken as UTC."""
@@ -61,30 +69,136 @@ def table_stream(df: DataFrame) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(root)
 
 
-def stream_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame, late: str = LATE) -> DataFrame:
+class Impact(NamedTuple):
+    rows: DataFrame  # rae_id, jge_id, impacted
+    late: DataFrame  # side, id, job_group_id, business_date, at
+
+
+def run_resource_impact(events: DataFrame, needs: DataFrame, runs: DataFrame, keep_days: int | None = None) -> Impact:
     """Resource events joined to the run of each group that needs the resource, on the same business date.
 
     Both sides stream.  ``events``: rae_id, resource_id, business_date,
     available_ts; ``needs``: resource_id, job_group_id (static); ``runs``, one
     per group and date: jge_id, job_group_id, business_date, start_ts.  Times
-    of day decide whether an event came after the start.  The time bound lets
-    Spark drop state: a run starts at most a day before and two days after.
+    of day decide whether an event came after the start.
+
+    A batch's rows join all earlier rows of the other side and those of their
+    own batch, so every pair appears once in whatever order its rows arrive.
+    Without ``keep_days`` no row is late.  With it, rows more than that many
+    days older than the newest date of the batches before are set aside, and
+    earlier rows that old are not read again.
+    """
+    e = events.join(needs, "resource_id").select(
+        F.lit("event").alias("side"), F.col("rae_id").alias("id"), "job_group_id", "business_date", F.col("available_ts").alias("at"))
+    both = e.unionByName(runs.select(F.lit("run").alias("side"), F.col("jge_id").alias("id"), "job_group_id", "business_date", F.col("start_ts").alias("at")))
+    state = BatchTables(both)
+
+    def step(df: DataFrame, batch: int) -> None:
+        newest = state.mark(batch - 1)
+        limit = None if keep_days is None or newest is None else newest - dt.timedelta(days=keep_days)
+        on_time = F.lit(True) if limit is None else F.coalesce(F.col("business_date") >= F.lit(limit), F.lit(True))
+        state.write("kept", batch, df.where(on_time))
+        state.write("late", batch, df.where(~on_time))
+        kept = state.read("kept", both.schema).where(on_time)
+        new, old = kept.where(F.col("batch") == batch), kept.where(F.col("batch") < batch)
+
+        def met(left: DataFrame, right: DataFrame) -> DataFrame:
+            a = left.where("side = 'event'").select(F.col("id").alias("rae_id"), "job_group_id", "business_date", F.col("at").alias("available_ts"))
+            b = right.where("side = 'run'").select(F.col("id").alias("jge_id"), "job_group_id", "business_date", F.col("at").alias("start_ts"))
+            clock = [F.pmod(F.unix_micros(c), F.lit(86_400_000_000)) for c in ("start_ts", "available_ts")]
+            return a.join(b, ["job_group_id", "business_date"]).select("rae_id", "jge_id", (clock[0] < clock[1]).alias("impacted"))
+
+        state.write("rows", batch, met(new, new.unionByName(old)).unionByName(met(old, new)))
+        state.set_mark(batch, new.agg(F.max("business_date")).first()[0])
+
+    state.run(step)
+    return Impact(state.read("rows", "rae_id string, jge_id string, impacted boolean").drop("batch"), state.read("late", both.schema).drop("batch"))
+
+
+class Sessions(NamedTuple):
+    expired: DataFrame  # session_id, expired_at, message_count
+    open: DataFrame  # session_id, start, end, message_count
+    late: DataFrame  # session_id, ts
+
+
+def run_expired_sessions(messages: DataFrame, ttl: dt.timedelta = dt.timedelta(hours=24), late: dt.timedelta = dt.timedelta(hours=1)) -> Sessions:
+    """Sessions (session_id, ts) whose time to live has passed, sent once when the watermark passes their end.
+
+    The watermark is ``late`` behind the newest message of all batches so far.
+    A message whose own time to live ends before the watermark of the batches
+    before is late.  Open sessions are windows that a batch's messages extend
+    or join; they are written anew with each batch.
     """
-    e = events.withWatermark("available_ts", late).join(needs, "resource_id")
-    r = runs.withWatermark("start_ts", late).select("jge_id", F.col("job_group_id").alias("g"), F.col("business_date").alias("d"), "start_ts")
-    cond = (
-        (F.col("job_group_id") == F.col("g")) & (F.col("business_date") == F.col("d"))
-        & (F.col("start_ts") >= F.col("available_ts") - F.expr("INTERVAL 2 DAYS")) & (F.col("start_ts") <= F.col("available_ts") + F.expr("INTERVAL 1 DAY"))
+    messages = messages.select("session_id", "ts")
+    state = BatchTables(messages)
+    windows = StructType([messages.schema["session_id"]]).add("start", "timestamp").add("end", "timestamp").add("message_count", "long").add("closed", "boolean")
+    live = F.make_dt_interval(secs=F.lit(ttl.total_seconds()))
+
+    def step(df: DataFrame, batch: int) -> None:
+        newest = state.mark(batch - 1)
+        on_time = F.lit(True) if newest is None else F.col("ts") + live > F.lit(newest - late)
+        state.write("late", batch, df.where(~on_time))
+        fresh = df.where(on_time).select("session_id", F.col("ts").alias("start"), (F.col("ts") + live).alias("end"), F.lit(1).cast("bigint").alias("message_count"))
+        top = df.agg(F.max("ts")).first()[0]
+        newest = max((x for x in (newest, top) if x is not None), default=None)
+        known = state.read("windows", windows).where((F.col("batch") == batch - 1) & ~F.col("closed")).select(*fresh.columns) if batch else fresh.limit(0)
+        length = F.concat((F.unix_micros("end") - F.unix_micros("start")).cast("string"), F.lit(" microseconds"))
+        merged = known.unionByName(fresh).groupBy("session_id", F.session_window("start", length).alias("w")).agg(F.sum("message_count").alias("message_count"))
+        closed = F.lit(False) if newest is None else F.col("w.end") <= F.lit(newest - late)
+        state.write("windows", batch, merged.select("session_id", "w.start", "w.end", "message_count", closed.alias("closed")))
+        state.set_mark(batch, newest)
+
+    state.run(step)
+    found = state.read("windows", windows)
+    last = state.batches - 1
+    return Sessions(
+        found.where("closed").select("session_id", F.col("end").alias("expired_at"), "message_count"),
+        found.where(~F.col("closed") & (F.col("batch") == last)).select("session_id", "start", "end", "message_count"),
+        state.read("late", messages.schema).drop("batch"),
     )
-    clock = [F.pmod(F.unix_micros(c), F.lit(86_400_000_000)) for c in ("start_ts", "available_ts")]
-    return e.join(r, cond).select("rae_id", "jge_id", (clock[0] < clock[1]).alias("impacted"))
 
 
-def stream_expired_sessions(messages: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """Sessions whose time to live has passed, sent once when the watermark (``late`` behind the newest message) passes their end."""
-    return messages.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", ttl).alias("w")).agg(
-        F.count("*").alias("message_count")
-    ).select("session_id", F.col("w.end").alias("expired_at"), "message_count")
+class BatchTables:
+    """Tables that one stream fills batch by batch; a batch run again after a failure replaces its folders.
+
+    A mark, the newest date or time so far, is kept with each batch as a table
+    of one row, so a stream that starts again knows it.
+    """
+
+    def __init__(self, stream: DataFrame):
+        self.stream, self.spark, self.batches = stream, stream.sparkSession, 0
+        self.root = f"{work_dir(self.spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(self, name: str, batch: int, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+
+    def read(self, name: str, schema: StructType | str) -> DataFrame:
+        typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if not self.batches:
+            return self.spark.createDataFrame([], StructType([*typed.fields]).add("batch", "integer"))
+        return self.spark.read.schema(StructType([*typed.fields]).add("batch", "integer")).parquet(f"{self.root}/{name}")
+
+    def mark(self, batch: int):
+        return self.spark.read.parquet(f"{self.root}/mark/batch={batch}").first()["mark"] if batch >= 0 else None
+
+    def set_mark(self, batch: int, value) -> None:
+        earlier = self.mark(batch - 1)
+        best = max((v for v in (earlier, value) if v is not None), default=None)
+        kind = "date" if type(best) is dt.date else "timestamp"
+        self.write("mark", batch, self.spark.createDataFrame([(best,)], f"mark {kind}").coalesce(1))
+
+    def run(self, step: Callable[[DataFrame, int], None]) -> None:
+        """Process what is available."""
+
+        def one(df: DataFrame, batch: int) -> None:
+            self.batches = batch + 1
+            step(df, batch)
+
+        query = (
+            self.stream.writeStream.outputMode("append").option("checkpointLocation", f"{self.root}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(one).start()
+        )
+        query.awaitTermination()
 
 
 def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from batchlens.operators import cpm as c
+from batchlens.operators.traverse import ancestors
 
 
 def plain(dur, edges, entries, limit):
@@ -85,3 +86,31 @@ def test_cyclic_runs_are_skipped_unless_a_missing_context_breaks_the_cycle(spark
     r = c.critical_paths(*build(spark, runs, sics, [("G", "a")], edges, sla))
     assert [(x.jge_id, x.reason) for x in r.skipped.collect()] == [("r1", "graph is not acyclic")]
     assert [(x.jge_id, x.path_text) for x in r.runs.collect()] == [("r2", "a->b")]
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 10_000
+    parents = spark.range(1, n).selectExpr("'r' AS jge_id", "cast(id AS string) AS node", "cast(id - 1 AS string) AS parent")
+    starts = spark.createDataFrame([("r", str(n - 1)), ("q", "5")], "jge_id string, node string")
+    found, rounds = ancestors(parents, starts, ["jge_id"])
+    got = {(r.jge_id, r.node): r.distance for r in found.collect()}
+    assert got == {("q", "5"): 0, **{("r", str(i)): n - 1 - i for i in range(n)}} and found.count() == n + 1
+    assert rounds <= 20
+    texts = {r.jge_id: r.path_text for r in c.path_texts(found.selectExpr("jge_id", "node", f"{n - 1} - distance AS position")).collect()}
+    assert texts == {"q": "5", "r": "->".join(map(str, range(n)))}
+
+
+def test_parents_of_many_runs(spark):
+    rng = random.Random(8)
+    parent = {(f"r{k}", str(i)): str(rng.randrange(i)) for k in range(6) for i in range(1, 40) if rng.random() < 0.9}
+    rows = [(k, n, p) for (k, n), p in parent.items()]
+    starts = [(f"r{k}", str(rng.randrange(40))) for k in range(6)]
+    want = set()
+    for k, n in starts:
+        d = 0
+        while n is not None:
+            want.add((k, n, d))
+            n, d = parent.get((k, n)), d + 1
+    found, _ = ancestors(spark.createDataFrame(rows, "jge_id string, node string, parent string"), spark.createDataFrame(starts, "jge_id string, node string"), ["jge_id"])
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchlens.session import LoopState
+
 PARAMS = (
     "date STRING, region STRING, dayOfWeek INT, daysOfWeek ARRAY<INT>, weekOccurrences ARRAY<INT>, months ARRAY<INT>, "
     "quarters ARRAY<INT>, bizDayFromStart ARRAY<INT>, bizDayFromEnd ARRAY<INT>, daysOfMonth ARRAY<INT>, "
@@ -219,6 +221,7 @@ def eligible(sics: DataFrame, assoc: DataFrame, matches: DataFrame, first: str,
         F.bool_or(F.col("rule_type") == "ALLOWS").alias("allow_hit"),
         F.min(F.when(F.col("rule_type") == "DENIES", F.col("rule_id"))).alias("deny_rule"),
     )
+    hits, _ = LoopState(matches.sparkSession, "hits").save(hits)  # read for groups and for contexts
     kinds = assoc.groupBy("context_type", "context_id").agg(F.bool_or(F.col("rule_type") == "ALLOWS").alias("has_allow"))
 
     def part(kind: str, key: str, suffix: str) -> tuple[DataFrame, DataFrame]:

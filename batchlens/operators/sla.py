@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchlens.functions.clock import DAY_MS
 from batchlens.operators.performance import anomaly_columns, rolling_baseline
+from batchlens.session import LoopState
 
 RUN_COLS = ("execution_id", "execution_status", "execution_date", "start_time_ms", "end_time_ms", "duration_ms")
 
@@ -136,7 +137,7 @@ def execution_breach(
     """Service-level and duration verdicts of every planned or executed context per date."""
     if last > as_of:
         raise ValueError("observed breaches need dates up to today; use the delay projection for later ones")
-    scope = date_scope(plan, latest_runs(jge, runs, first, last))
+    scope, _ = LoopState(plan.sparkSession, "breach").save(date_scope(plan, latest_runs(jge, runs, first, last)))
     covered = sla_coverage(scope, sla_for_contexts(sics, sla))
     base = baseline_on_dates(runs, scope.where("has_actual_execution").select("sic_id", "business_date"))
     rows = covered.join(base, ["sic_id", "business_date"], "left")
@@ -193,7 +194,8 @@ def job_graph(
     past = latest_runs(jge, runs, first, min(last, as_of))
     scope = date_scope(plan, past)
     mode = F.when(day < today, "schedule_vs_actual").when(day == today, "actual").otherwise("schedule")
-    nodes = scope.join(named, "sic_id").withColumn("graph_mode", mode)
+    # edges, counts and the analysis all read the nodes: written once
+    nodes, _ = LoopState(plan.sparkSession, "graph").save(scope.join(named, "sic_id").withColumn("graph_mode", mode))
     rel = precedes_per_date(edges, nodes)
     links = rel.groupBy("business_date").agg(F.count("*").alias("relationship_count"))
     summary = nodes.groupBy("business_date", "graph_mode").agg(

@@ -63,5 +63,5 @@ def test_run_packs_what_is_left(spark):
 
 def test_every_operator_is_registered():
     found = [q for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit()]
-    assert sorted(int(q[2:].split("_")[0]) for q in found) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in found) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and set(queries.ORACLES) <= set(queries.QUERIES)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchlens.functions.ranking import group_index
-from batchlens.operators import condense
+from batchlens.operators import condense, reachindex
 from batchlens.operators import traverse as tr
 
 
@@ -169,3 +169,17 @@ def test_search_with_targets_stays_among_nodes_that_lead_to_one(spark):
         got = {(r.root, r.node): r.distance for r in tr.reachable(e, roots, max_hops=hops, targets=targets).collect()}
         assert {k: v for k, v in got.items() if k[1] in goals} == {k: v for k, v in full.items() if k[1] in goals}
         assert all(n in ahead for _, n in got) and all(full[k] == v for k, v in got.items())
+
+
+def test_asked_pairs_equal_the_closure(spark):
+    rng = random.Random(31)
+    for n, m, acyclic in ((25, 45, True), (25, 34, False)):
+        nodes = [f"n{i:02d}" for i in range(n)]
+        edges = [(nodes[a], nodes[b]) for a, b in random_edges(rng, n, m, acyclic)]
+        index = reachindex.reach_index(frame(spark, [(x,) for x in [*nodes, "alone"]], "node string"), frame(spark, edges, "src_id string, dst_id string"))
+        pairs = [(a, b) for a in [*nodes, "alone", "unknown"] for b in [*nodes, "alone"]]
+        got = reachindex.reaches(index, frame(spark, pairs + pairs[:9], "src_id string, dst_id string"))
+        want = {(a, b): a != "unknown" and (a == b or b in bfs(edges, a, 1, None)) for a, b in pairs}
+        rows = got.pairs.collect()
+        assert {(r.src_id, r.dst_id): r.reachable for r in rows} == want and len(rows) == len(want)
+        assert got.searched < len(pairs) / 4  # labels decide most pairs

@@ -1,9 +1,13 @@
 """Session history and streaming queries; streams run to the end of the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from batchlens.operators import sessions as s
 from batchlens.plans.registry import query
+from batchlens.session import work_dir
+from batchlens.sources.upsert import VersionedTable
 from batchlens.streaming import runs as st
 
 
@@ -47,7 +51,8 @@ def h2_stream(t):
 @query("r1_stream_runs", "SELECT id, start_ts, duration_ms, status, business_date, execution_date FROM {jce}")
 def r1(t):
     runs = run_stream(t).drop("user_id")
-    return st.run_to_table(st.stream_runs(runs.unionByName(run_stream(t).drop("user_id"))), "append", ["id"])
+    table = VersionedTable(t.spark, f"{work_dir(t.spark)}/runs-{uuid.uuid4().hex}", parts=8)
+    return st.run_upsert(st.stream_runs(runs.unionByName(run_stream(t).drop("user_id"))), table, ["id"], ["start_ts"], "events")
 
 
 @query("r2_stream_timeline", """

@@ -69,51 +69,97 @@ class VersionedTable:
     parts that incoming keys fall into and points to the old ones for the
     rest.  Creating the manifest fails if another writer has made that version
     meanwhile, and a failed write leaves the old version readable.
+
+    The manifest also is the ledger of streams: it names the last batch of each
+    that is in the table.  Data and ledger change with the same manifest, so a
+    batch that comes again, after a failure anywhere, is either wholly there
+    and skipped, or not there at all and written.
     """
 
     def __init__(self, spark: SparkSession, path: str, parts: int = 32):
         self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
         self._jvm = spark._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
 
     def _manifest(self, version: int):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{version:08d}.json")
+        return self._at(f"{self.path}/_versions/{version:08d}.json")
+
+    def versions(self) -> list[int]:
+        folder = self._manifest(0).getParent()
+        return sorted(int(s.getPath().getName()[:8]) for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
 
     def version(self) -> int:
         """Number of the newest version, 0 before the first."""
-        folder = self._manifest(0).getParent()
-        if not self._fs.exists(folder):
-            return 0
-        return max((int(s.getPath().getName()[:8]) for s in self._fs.listStatus(folder)), default=0)
+        return max(self.versions(), default=0)
 
-    def _folders(self, version: int) -> dict[str, str]:
+    def _state(self, version: int) -> dict[str, dict]:
         if not version:
-            return {}
+            return {"parts": {}, "batches": {}}
         lines = self.spark.read.text(self._manifest(version).toString()).collect()  # one short line
         return json.loads(lines[0][0])
 
-    def _commit(self, version: int, folders: dict[str, str]) -> None:
+    def _commit(self, version: int, folders: dict[str, str], batches: dict[str, int]) -> None:
         try:
             out = self._fs.create(self._manifest(version), False)
         except Exception as error:
             raise VersionConflict(f"version {version} of {self.path} was written by someone else") from error
-        out.write(bytearray(json.dumps(folders).encode()))
+        out.write(bytearray(json.dumps({"parts": folders, "batches": batches}).encode()))
         out.close()
 
-    def read(self) -> DataFrame | None:
-        folders = self._folders(self.version())
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The newest version, or an older one that is still kept."""
+        folders = self._state(self.version() if version is None else version)["parts"]
         return self.spark.read.option("mergeSchema", "true").parquet(*sorted(folders.values())) if folders else None
 
-    def upsert(self, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] | None, on_match: str = "set") -> None:
+    def upsert(
+        self, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] | None, on_match: str = "set", batch: tuple[str, int] | None = None,
+    ) -> bool:
+        """Write a new version; with ``batch`` (stream name, batch number) only if that batch is not in the table yet.
+
+        Returns whether something was written.
+        """
         version = self.version()
-        folders = self._folders(version)
+        state = self._state(version)
+        folders, batches = state["parts"], state["batches"]
+        if batch is not None and batches.get(batch[0], -1) >= batch[1]:
+            return False
         part = F.pmod(F.xxhash64(*keys), F.lit(self.parts)).cast("int")
         touched = {str(r[0]) for r in incoming.select(part.alias("p")).distinct().collect()}  # at most ``parts``
         old = sorted(folders[p] for p in touched if p in folders)
         current = self.spark.read.parquet(*old) if old else self.spark.createDataFrame([], incoming.schema)
         root = f"{self.path}/{version + 1:08d}-{uuid.uuid4().hex}"
-        upsert(current, incoming, keys, order, on_match).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(root)
-        self._commit(version + 1, {**folders, **{p: f"{root}/_part={p}" for p in touched}})
+        if touched:
+            upsert(current, incoming, keys, order, on_match).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(root)
+        self._commit(version + 1, {**folders, **{p: f"{root}/_part={p}" for p in touched}}, {**batches, **({batch[0]: batch[1]} if batch else {})})
+        return True
+
+    def expire(self, keep: int = 2) -> int:
+        """Delete all versions but the last ``keep``, and part folders that none of those names; return how many folders went.
+
+        A folder is named after the version it was written for, so what a
+        running writer has put down for a later version stays.
+        """
+        known = self.versions()
+        kept = known[-max(1, keep):]
+        if not kept:
+            return 0
+        used = {folder for v in kept for folder in self._state(v)["parts"].values()}
+        for v in known[:-len(kept)]:
+            self._fs.delete(self._manifest(v), False)
+        gone = 0
+        for root in self._fs.listStatus(self._at(self.path)):
+            name = root.getPath().getName()
+            if not name[:8].isdigit() or int(name[:8]) > kept[-1]:
+                continue
+            parts = [p.getPath() for p in self._fs.listStatus(root.getPath()) if p.getPath().getName().startswith("_part=")]
+            loose = [p for p in parts if f"{self.path}/{name}/{p.getName()}" not in used]
+            for folder in loose if len(loose) < len(parts) else [root.getPath()]:
+                self._fs.delete(folder, True)
+            gone += len(loose)
+        return gone
 
 
 class VersionConflict(RuntimeError):

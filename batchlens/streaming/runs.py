@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from batchlens.functions.clock import business_date
 from batchlens.session import work_dir
-from batchlens.sources.upsert import newest_per_key
+from batchlens.sources.upsert import VersionedTable, newest_per_key
 
 
 def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def parquet_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stream_runs(runs: DataFrame, cutoff: int = 18) -> DataFrame:
     """Typed runs (id, start_ts, duration_ms, status), dated; no state, so no row is too late.
 
-    A repeated id is resolved where the rows land (``run_to_table`` with keys).
+    A repeated id is resolved where the rows land (``run_upsert``).
     """
     return runs.withColumn("business_date", business_date(F.col("start_ts"), cutoff)).withColumn("execution_date", F.to_date("start_ts"))
 
@@ -201,6 +201,25 @@ class BatchTables:
         query.awaitTermination()
 
 
+def run_upsert(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str], name: str, keep: int = 2) -> DataFrame:
+    """Upsert what is available into a table, each micro-batch exactly once; return the table.
+
+    The table's ledger skips a batch that it holds already.  Superseded part
+    folders go after the ``keep`` newest versions.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        if table.upsert(df, keys, order, batch=(name, batch)):
+            table.expire(keep)
+
+    query = (
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{table.path}/_streams/{name}").trigger(availableNow=True).foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    found = table.read()
+    return stream.sparkSession.createDataFrame([], stream.schema) if found is None else found.select(stream.columns)
+
+
 def run_to_table(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Process what is available and return the resulting table.
 

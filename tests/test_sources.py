@@ -94,12 +94,12 @@ def test_a_second_writer_of_a_version_fails(spark, tmp_path):
     one, other = (upsert.VersionedTable(spark, str(tmp_path / "t")) for _ in range(2))
     rows = spark.createDataFrame([(i, "a") for i in range(50)], "id int, v string")
     one.upsert(rows, ["id"], None)
-    folders = one._folders(1)
+    folders = one._state(1)["parts"]
     other.upsert(spark.createDataFrame([(3, "b")], "id int, v string"), ["id"], None)
-    assert sum(folders[p] != f for p, f in other._folders(2).items()) == 1  # one part was written anew
+    assert sum(folders[p] != f for p, f in other._state(2)["parts"].items()) == 1  # one part was written anew
     assert {r["id"]: r["v"] for r in one.read().collect()} == {i: "b" if i == 3 else "a" for i in range(50)}
     with pytest.raises(upsert.VersionConflict):
-        one._commit(2, folders)
+        one._commit(2, folders, {})
 
 
 def test_order_decides_and_is_needed_for_repeated_keys(spark):
@@ -108,3 +108,20 @@ def test_order_decides_and_is_needed_for_repeated_keys(spark):
     assert [r["v"] for r in upsert.upsert(old, new, ["id"], ["n"]).collect()] == ["a-last"]
     with pytest.raises(Exception, match="no load order"):
         upsert.upsert(old, new, ["id"], None).collect()
+
+
+def test_old_versions_and_orphans_go(spark, tmp_path):
+    t = upsert.VersionedTable(spark, str(tmp_path / "t"), parts=4)
+    for n in range(5):
+        t.upsert(spark.createDataFrame([(i, n) for i in range(n, 20)], "id int, v int"), ["id"], None)
+    (tmp_path / "t" / "00000003-orphan" / "_part=0").mkdir(parents=True)  # left by a writer that failed
+    (tmp_path / "t" / "00000006-running" / "_part=0").mkdir(parents=True)  # of a writer at work
+    before = sorted(map(tuple, t.read().collect()))
+    assert t.expire(2) > 0 and t.versions() == [4, 5]
+    assert sorted(map(tuple, t.read().collect())) == before == [(i, min(i, 4)) for i in range(20)]
+    assert {r["id"]: r["v"] for r in t.read(4).collect()} == {i: min(i, 3) for i in range(20)}
+    names = {p.name[:8] for p in (tmp_path / "t").iterdir() if p.name != "_versions"}
+    assert "00000006" in names and "00000003" not in {n for n in names if (tmp_path / "t" / f"{n}-orphan").exists()}
+    used = {f for v in (4, 5) for f in t._state(v)["parts"].values()}
+    left = {str(p) for p in (tmp_path / "t").glob("0000000[1-5]-*/_part=*")}
+    assert left == used and t.expire(2) == 0

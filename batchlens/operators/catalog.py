@@ -7,6 +7,8 @@ has to fit one array.  Every function takes one name or id, or None for all.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,36 @@ def job_detail(t, job_id: str | None = None) -> DataFrame:
     ), "owner_id", job_id)
 
 
+class JobDetail(NamedTuple):
+    job: DataFrame  # one row per job and group
+    steps: DataFrame  # one row per step
+    slas: DataFrame  # one row per context and service level
+
+
+#: Columns of a job that not every source has.
+GIT_COLUMNS = ("description", "git_branch", "git_updated_by", "git_updated_at", "git_last_commit")
+
+
+def job_detail_frames(t, job_id: str | None = None) -> JobDetail:
+    """Everything of a job's own, its steps' and its service levels' columns; columns a source lacks are null."""
+    extra = [F.col(c) if c in t.job.columns else F.lit(None).cast("string").alias(c) for c in GIT_COLUMNS]
+    steps_of = t.step.groupBy("job_id").agg(F.count("*").alias("step_count"))
+    groups = t.has_job.join(t.job_group.select(F.col("id").alias("job_group_id"), F.col("name").alias("job_group")), "job_group_id").select("job_id", "job_group")
+    job = t.job.select(F.col("id").alias("job_id"), "name", "type", "enabled", "restartable", "source_file", "git_repo", *extra).join(groups, "job_id", "left")
+    job = job.join(steps_of, "job_id", "left").withColumn("step_count", F.coalesce("step_count", F.lit(0)))
+
+    classes = t.step_class.groupBy(F.col("step_id").alias("id")).agg(
+        *(F.min(F.when(F.col("role") == role, F.col("class_fqn"))).alias(f"{role}_class") for role in ("tasklet", "reader", "processor", "writer")))
+    kinds = t.step_resource.join(t.resource.select(F.col("id").alias("resource_id"), "type"), "resource_id").groupBy(F.col("step_id").alias("id")).agg(
+        F.count_if(F.col("type") == "PROCEDURE").alias("procedure_call_count"), F.count_if(F.col("type") == "SHELL_SCRIPT").alias("shell_execution_count"))
+    counts = ["db_operation_count", "procedure_call_count", "shell_execution_count"]
+    steps = step_op_counts(t.step, t.step_op).join(classes, "id", "left").join(kinds, "id", "left").fillna(0, counts)
+    steps = steps.select("job_id", F.col("id").alias("step_id"), "name", "step_kind", "tasklet_class", "reader_class", "processor_class", "writer_class", *counts)
+
+    slas = _job_slas(t).select("job_id", F.col("owner_id").alias("sic_id"), "sla_id", F.col("sla_name").alias("name"), F.col("sla_type").alias("type"), "duration_ms", "time_ms")
+    return JobDetail(_only(job, "job_id", job_id), _only(steps, "job_id", job_id), _only(slas, "job_id", job_id))
+
+
 def job_steps(t, job_id: str | None = None) -> DataFrame:
     """Steps with operation counts and the classes behind each role."""
     classes = t.java_class.select(

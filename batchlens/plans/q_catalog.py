@@ -57,6 +57,29 @@ def l4(t):
     return c.job_detail(t)
 
 
+@query("l4_job_columns", """
+    SELECT j.id AS job_id, j.name, j.type, j.enabled, j.restartable, j.source_file, j.git_repo, g.name AS job_group, (SELECT count(*) FROM {step} s WHERE s.job_id = j.id) AS step_count
+    FROM {job} j LEFT JOIN {has_job} h ON h.job_id = j.id LEFT JOIN {job_group} g ON g.id = h.job_group_id""")
+def l4_job(t):
+    return c.job_detail_frames(t).job.drop(*c.GIT_COLUMNS)
+
+
+@query("l4_job_step_columns", """
+    SELECT s.job_id, s.id AS step_id, s.name, s.step_kind, (SELECT min(class_fqn) FROM {step_class} x WHERE x.step_id = s.id AND role = 'tasklet') AS tasklet_class,
+           (SELECT min(class_fqn) FROM {step_class} x WHERE x.step_id = s.id AND role = 'reader') AS reader_class, (SELECT min(class_fqn) FROM {step_class} x WHERE x.step_id = s.id AND role = 'processor') AS processor_class,
+           (SELECT min(class_fqn) FROM {step_class} x WHERE x.step_id = s.id AND role = 'writer') AS writer_class, s.db_operation_count,
+           (SELECT count(*) FROM {step_resource} q JOIN {resource} r ON r.id = q.resource_id WHERE q.step_id = s.id AND r.type = 'PROCEDURE') AS procedure_call_count,
+           (SELECT count(*) FROM {step_resource} q JOIN {resource} r ON r.id = q.resource_id WHERE q.step_id = s.id AND r.type = 'SHELL_SCRIPT') AS shell_execution_count FROM {stepn} s""")
+def l4_steps(t):
+    return c.job_detail_frames(t).steps
+
+
+@query("l4_job_sla_columns", """
+    SELECT s.job_id, s.id AS sic_id, l.sla_id, l.sla_name AS name, l.sla_type AS type, l.duration_ms, l.time_ms FROM {sla} l JOIN {sic} s ON l.owner_type = 'SIC' AND s.id = l.owner_id""")
+def l4_slas(t):
+    return c.job_detail_frames(t).slas
+
+
 @query("l5_job_steps", """
     SELECT s.job_id, s.id AS step_id, s.name AS step_name, s.step_order, s.step_kind, s.db_operation_count, k.role, k.class_fqn,
            lower(x.name) LIKE '%dao%' OR lower(x.name) LIKE '%repository%' AS is_dao_class, lower(x.name) LIKE '%shell%' AS is_shell_class

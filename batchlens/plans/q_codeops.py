@@ -142,6 +142,22 @@ def o10(t):
     return c.detect_shell(sourced(t))
 
 
+@query("o10_detect_shell_by_rules", r"""
+    WITH texts AS (SELECT fqn AS method_fqn, source || CASE WHEN kind = 4 THEN ' run(new String[]{"-x", "in ' || method_key || '.csv" , name});' ELSE '' END AS s FROM {method_source}),
+    picked AS (SELECT *, list_filter(regexp_extract_all(s, '[\x22\x27]([^\x22\x27]+)[\x22\x27]', 1), lambda x: length(x) > 2 AND x[1] NOT IN ('-', '/'))[1] AS script_name,
+               regexp_extract(s, 'new\s+String\[\]\s*\{([^}]+)\}', 1) AS given FROM texts),
+    typed AS (SELECT *, lower(coalesce(script_name, s)) AS low FROM picked)
+    SELECT method_fqn, CASE WHEN regexp_matches(s, '(Runtime\.getRuntime\(\)|RUNTIME|runtime|rt)\s*\.\s*exec\s*\(') THEN 'Runtime.exec' WHEN regexp_matches(s, 'new\s+ProcessBuilder\s*\(') THEN 'ProcessBuilder' ELSE 'CommonsExec' END AS execution_method,
+           script_name, CASE WHEN regexp_matches(low, '\.sh|bash') THEN 'BASH' WHEN regexp_matches(low, '\.py|python') THEN 'PYTHON' WHEN regexp_matches(low, '\.ps1|powershell') THEN 'POWERSHELL'
+           WHEN regexp_matches(low, '\.bat|cmd') THEN 'BATCH' WHEN regexp_matches(low, '\.pl|perl') THEN 'PERL' ELSE 'SHELL' END AS script_type,
+           CASE WHEN given = '' THEN '' ELSE array_to_string(list_transform(string_split(given, ','), lambda x: trim(trim(x), chr(34) || chr(39))), '|') END AS arguments
+    FROM typed WHERE regexp_matches(s, '\.\s*exec\s*\(|new\s+ProcessBuilder\s*\(|executor\.execute\s*\(|CommandLine\.parse\s*\(')""")
+def o10_rules(t):
+    more = F.concat(F.lit(' run(new String[]{"-x", "in '), "method_key", F.lit('.csv" , name});'))
+    texts = sourced(t).withColumn("source", F.concat("source", F.when(F.col("kind") == 4, more).otherwise("")))
+    return c.detect_shell_by_rules(texts).withColumn("arguments", F.array_join("arguments", "|"))
+
+
 @query("o11_grey_scripts", """
     SELECT s.method_fqn, s.script_name, CASE WHEN s.script_name IN ('DYNAMIC_PATH', 'PARAMETERIZED') THEN true ELSE false END AS is_grey FROM {o_shell} s""")
 def o11(t):
@@ -324,6 +340,13 @@ def o31(t):
     return o.step_bean_edges(t.role_bean, beans, t.java_class).uses
 
 
+@query("o31_implemented_by", """
+    SELECT DISTINCT r.step_id, c.fqn AS class_fqn FROM {role_bean} r JOIN {java_class} c ON c.fqn IN (r.tasklet_class, r.reader_class, r.processor_class, r.writer_class)""")
+def o31_implemented_by(t):
+    beans = t.bean.select(F.concat_ws("___", "bean_id", "bean_class").alias("composite_key"))
+    return o.step_bean_edges(t.role_bean, beans, t.java_class).implemented_by
+
+
 @query("o31_unmatched_beans", """
     SELECT DISTINCT r.step_id, x.role, x.b || '___' || x.c AS composite_key FROM {role_bean} r, LATERAL (SELECT 'tasklet' AS role, tasklet_bean AS b, tasklet_class AS c UNION ALL SELECT 'reader', reader_bean, reader_class
         UNION ALL SELECT 'processor', processor_bean, processor_class) x WHERE x.b IS NOT NULL AND x.b || '___' || x.c NOT IN (SELECT bean_id || '___' || bean_class FROM {bean})""")

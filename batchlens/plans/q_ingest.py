@@ -1,5 +1,7 @@
 """Loading queries: sheets, run records and repository files to typed tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from batchlens.functions import clock as ck
@@ -11,6 +13,7 @@ from batchlens.sources import definitions as d
 from batchlens.sources import dynamic as dy
 from batchlens.sources import runs as r
 from batchlens.sources import upsert as up
+from batchlens.sources.tree import write_tree
 
 SHARED.update({
     "loaded_jobs": "SELECT id, name, coalesce(nullif(trim(type), ''), 'spring_xml_config_job') AS type, coalesce(enabled, true) AS enabled FROM {sheet_job} WHERE id IS NOT NULL AND name IS NOT NULL",
@@ -289,6 +292,18 @@ def i25(t):
     return co.keep_code_files(t.code_file).select("path", co.file_name(F.col("path")).alias("name"))
 
 
+@query("i25_scan_files_on_disk", r"""
+    SELECT DISTINCT path, regexp_extract(path, '[^/]+$') AS name, CASE WHEN path LIKE '%.%' THEN regexp_extract(path, '\.[^./]+$') ELSE '' END AS extension,
+           octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS text_md5
+    FROM {code_file} WHERE path NOT LIKE '%/target/%' AND path NOT LIKE '%/src/test/%' AND path NOT LIKE '%.log'""")
+def i25_disk(t):
+    """The files of the listing, written below a folder and found again there."""
+    root = f"{work_dir(t.spark)}/tree-{uuid.uuid4().hex}"
+    write_tree(t.code_file.select("path", "text").repartition(8, "path"), root)
+    found = co.scan_code_files(t.spark, root).files
+    return found.select("path", "name", "extension", "size", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("i26_tag_file_types", """
     SELECT path, 'XmlConfig' AS file_type FROM {code_file} WHERE path LIKE '%.xml' AND path NOT LIKE '%/pom.xml'
     UNION ALL SELECT path, 'SpringConfig' FROM {code_file} WHERE path LIKE '%.xml' AND path NOT LIKE '%/pom.xml' AND text LIKE '%http://www.springframework.org/schema/%'

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ def local_session(app: str = "batchlens", cpus: str = "8", shuffle: int = 8) ->
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did; a cluster gets it by --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for loop state.
 

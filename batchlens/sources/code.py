@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchlens.sources.tree import read_tree
+
 # fixed values: folders and files left out of the inventory
 SKIP_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv", "target", "build", ".idea", ".vscode", "bin", "obj", ".gradle", "out")
 SKIP_FILES = (
@@ -49,22 +51,13 @@ class Scan(NamedTuple):
     rejects: DataFrame  # path, size of files whose content is no UTF-8 text
 
 
-def scan_code_files(spark: SparkSession, root: str, **options) -> Scan:
-    """Files below a folder, in parallel by Spark's file source.
+def scan_code_files(spark: SparkSession, root: str, skip_dirs=SKIP_DIRS, skip_files=SKIP_FILES, max_depth: int | None = None) -> Scan:
+    """Kept files below a folder, listed and read in parallel, one partition per folder (``tree``).
 
-    Paths are listed and filtered first; only the content of kept files is read.
+    Skipped folders aren't entered and the content of skipped files isn't read.
     """
-    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    prefix = "^file:|" + re.escape(root.rstrip("/")) + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:(//)?", ""), prefix, "")
-    # the driver lists the folder for any file source; the content column is not read here
-    listed = source.load(root).select(F.col("path").alias("full"), rel.alias("path"))
-    kept = [r["full"] for r in keep_code_files(listed, **options).select("full").collect()]
-    if not kept:
-        none = spark.createDataFrame([], "path string, size long, text string, name string, extension string")
-        return Scan(none, none.select("path", "size"))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    read = source.load(kept).select(rel.alias("path"), F.col("length").alias("size"), text.alias("text"))
+    read = read_tree(spark, root, skip_dirs, glob_regex(tuple(skip_files)), max_depth)
+    read = read.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).drop("content")
     files = read.where(F.col("text").isNotNull()).withColumn("name", file_name(F.col("path"))).withColumn("extension", extension(F.col("path")))
     return Scan(files, read.where(F.col("text").isNull()).select("path", "size"))
 

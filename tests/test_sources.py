@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from batchlens.functions import clock as ck
 from batchlens.operators import codescan, graphview, performance
-from batchlens.sources import code, runs, upsert
+from batchlens.sources import code, runs, tree, upsert
 
 
 def test_upsert_modes_and_null_keys(spark):
@@ -52,6 +52,25 @@ def test_scan_code_files_from_disk(spark, tmp_path):
     assert kinds == {("src/main/java/A.java", "JavaClass"), ("conf/app.xml", "XmlConfig"), ("conf/app.xml", "SpringConfig"), ("db/t.sql", "SqlScript")}
 
 
+def test_skipped_files_are_not_read_and_folders_are_shared_out(spark, tmp_path):
+    for n in range(30):
+        f = tmp_path / f"m{n % 5}" / f"p{n % 3}" / f"F{n}.java"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(f"class F{n} {{ é }}")
+    for p in ("m0/build/X.java", "m1/src/test/Y.java", "m2/keep.log", ".git/config"):  # reading one of these would fail
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.symlink_to(tmp_path / "nowhere")
+    rows = {r.path: (r.text, r.size) for r in code.scan_code_files(spark, str(tmp_path)).files.collect()}
+    assert rows == {f"m{n % 5}/p{n % 3}/F{n}.java": (f"class F{n} {{ é }}", len(f"class F{n} {{ é }}".encode())) for n in range(30)}
+    assert code.scan_code_files(spark, str(tmp_path), max_depth=0).files.count() == 0
+    few = tree.read_tree(spark, str(tmp_path), code.SKIP_DIRS, code.glob_regex(code.SKIP_FILES), partitions=3)
+    assert few.rdd.getNumPartitions() <= 8 and few.count() == 30
+    empty = tmp_path / "m9"
+    empty.mkdir()
+    assert code.scan_code_files(spark, str(empty)).files.count() == 0
+
+
 def test_clocks(spark):
     df = spark.createDataFrame([("23:59:59.5",), ("07:00",), ("02:00:00+05:30",), ("24:00",), ("soon",)], "t string")
     assert [r.m for r in df.select(ck.clock_to_ms(F.col("t")).alias("m")).collect()] == [86399500, 25200000, 7200000, None, None]

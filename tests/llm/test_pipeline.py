@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from batchlens.llm import queries
+from batchlens.llm import queries, similar
 
 
 def test_stages_pass_documents_on(spark, docs):
@@ -47,6 +47,44 @@ def test_planted_near_copies_go(spark, empty):
     assert stage(spark, empty, "").count() == 0
 
 
+def test_groups_are_those_of_all_pairs(spark, monkeypatch):
+    """Components of links at 0.8 by brute force, with passages that many texts share and chains of near copies."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    passages = [[word() for _ in range(60)] for _ in range(3)]
+    texts = [[word() for _ in range(rng.randrange(0, 40))] + rng.choice(passages) + [word() for _ in range(rng.randrange(0, 60))] for _ in range(80)]
+    for base in range(0, 40, 5):
+        now = list(texts[base])
+        for _ in range(4):
+            now = list(now)
+            now[rng.randrange(len(now))] = word()
+            texts.append(now)
+    texts += [["a", "b"], ["A", "b"], [], [], ["a"], ["x"] * 50, ["x"] * 30]
+    rows = [(i, "  \n".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, "a\tb")]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: grams(t) for i, t in rows}
+    near = lambda a, b: a == b or (a and b and 10 * len(a & b) >= 8 * len(a | b))
+    root = {i: i for i in sets}
+    for _ in range(len(sets)):
+        new = {i: min(root[j] for j in sets if near(sets[i], sets[j])) for i in sets}
+        if new == root:
+            break
+        root = new
+    want = {}
+    for i, r in root.items():
+        want.setdefault(r, set()).add(i)
+    for crowded in (2, 5, 10**6):
+        monkeypatch.setattr(similar, "CROWDED", crowded)
+        got = {}
+        for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+            got.setdefault(r["component"], set()).add(r["doc_id"])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_run_packs_what_is_left(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

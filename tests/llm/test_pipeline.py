@@ -77,8 +77,9 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch):
     want = {}
     for i, r in root.items():
         want.setdefault(r, set()).add(i)
-    for crowded in (2, 5, 10**6):
-        monkeypatch.setattr(similar, "CROWDED", crowded)
+    for bits in (1 << 28, 1 << 10):  # as it is, a full filter
+        monkeypatch.setattr(similar, "FILTER_BITS", bits)
+        monkeypatch.setattr(similar, "CHUNK_BITS", min(bits, 1 << 12))
         got = {}
         for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
             got.setdefault(r["component"], set()).add(r["doc_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -30,14 +32,19 @@ _HELD: dict[tuple, object] = {}
 def held(key: tuple, make: Callable[[], object]) -> object:
     """One object that a worker process keeps for its next tasks; asking for another lets go of it."""
     if key not in _HELD:
-        _HELD.clear()
+        let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def let_go() -> None:
-    """Free what tasks of another operator have left in this worker process."""
+    """Free what tasks of another operator have left in this worker process, and give unused memory back to the system."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -103,7 +103,8 @@ def format_turns(conversations: DataFrame, template: Template = CHATML) -> DataF
             ]
             yield pa.record_batch(arrays, names=["conv_id", "turn_no", "part", "segment", "loss", "valid"])
 
-    turns = conversations.select("conv_id", "turn", "role", "text")
+    said = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]  # null sorts like the empty string it stands for
+    turns = conversations.select("conv_id", "turn", *said)
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return ordered.mapInArrow(run, f"conv_id {id_type(conversations, 'conv_id')}, turn_no long, part int, segment string, loss boolean, valid boolean")
 

@@ -173,3 +173,10 @@ def test_chat(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert got[1]["valid"] and got[9]["valid"] and not got[3]["valid"] and not got[4]["valid"]
     assert chat.read_back(chat.format_turns(table.limit(0))).count() == 0
+
+
+def test_null_and_empty_roles_of_a_turn_sort_by_text(spark):
+    rows = [(1, 0, None, "b"), (1, 0, "", "a"), (1, 0, None, None)]
+    got = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    shown = ["".join(r["segment"] for r in got if r["turn_no"] == n) for n in range(3)]
+    assert "a" not in shown[0].replace("<|im_start|>", "") and "a" in shown[1].replace("<|im_start|>", "") and "b" in shown[2]

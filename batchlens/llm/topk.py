@@ -17,7 +17,8 @@ Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do null ids; rows that repeat an id count once (the smallest
 vector); a shorter vector counts as filled up with zeros; ties go to the
 smaller id; a query with fewer than k candidates returns all; an empty table
-gives an empty result; other columns are ignored.  Scores must fit a long.
+gives an empty result; other columns are ignored.  Scores must fit a long; they are exact beyond 2^53
+as well.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ CANDIDATE_BLOCK = 1024
 STRIPE = 16
 #: Candidates evaluated between two looks at the bounds.
 TILE = 256
+#: Whole numbers below this are exact as doubles.
+EXACT = 2.0**53
+#: The score of no candidate.
+NONE = np.iinfo(np.int64).min
 
 
 def usable(vector: Column) -> Column:
@@ -57,9 +62,9 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return valid.select(F.col(id_col).alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def matrix(lists, width: int) -> np.ndarray:
-    """Rows filled up with zeros, as exact floats."""
-    out = np.zeros((len(lists), width))
+def matrix(lists, width: int, kind: type = np.float64) -> np.ndarray:
+    """Rows filled up with zeros."""
+    out = np.zeros((len(lists), width), dtype=kind)
     for row, v in zip(out, lists, strict=True):
         row[: len(v)] = v
     return out
@@ -88,18 +93,31 @@ def upper(query_norm: np.ndarray, norm: np.ndarray, gap: np.ndarray) -> np.ndarr
     return top + 1e-9 * (query_norm + norm) + 1e-6
 
 
+def inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows: in floating point where every partial sum is exact there, else in whole numbers."""
+    largest = [float(np.abs(side.astype(np.float64)).max(initial=0)) for side in (q, x)]
+    if largest[0] * largest[1] * q.shape[1] < EXACT and max(largest) < EXACT:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    return q @ x.T
+
+
 def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k largest of each row, -inf where there are fewer."""
+    """The k largest of each row, ``NONE`` where there are fewer."""
     if scores.shape[1] < k:
-        scores = np.pad(scores, ((0, 0), (0, k - scores.shape[1])), constant_values=-np.inf)
+        scores = np.pad(scores, ((0, 0), (0, k - scores.shape[1])), constant_values=NONE)
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k:]
 
 
 def search(q_id: np.ndarray, q: np.ndarray, floor: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], pivots: np.ndarray, k: int):
-    """(query row, id, score) of candidates that can be among the k best; ``floor``: a score the k-th best is known to reach."""
-    q_norm, q_far = (q**2).sum(axis=1), distances(q, pivots)
-    top, reach = np.full((len(q), k), -np.inf), floor.copy()
-    facts = [(ids, x, distances(x, pivots), (x**2).sum(axis=1)) for ids, x in blocks]
+    """(query row, id, score) of candidates that can be among the k best; ``floor``: a score the k-th best is known to reach.
+
+    Vectors and scores are whole numbers; bounds are floating point with room
+    for rounding, also for that of a score they are compared with.
+    """
+    real = q.astype(np.float64)
+    q_norm, q_far = (real**2).sum(axis=1), distances(real, pivots)
+    top, reach = np.full((len(q), k), NONE), floor.copy()
+    facts = [(ids, x, distances(x.astype(np.float64), pivots), (x.astype(np.float64) ** 2).sum(axis=1)) for ids, x in blocks]
     bounds = []
     for _, _, far, norm in facts:
         gap = np.maximum(q_far - far.max(axis=0), far.min(axis=0) - q_far).max(axis=1)
@@ -123,16 +141,16 @@ def search(q_id: np.ndarray, q: np.ndarray, floor: np.ndarray, blocks: list[tupl
                     break  # no bound left reaches a k-th best score
                 continue
             who = live[on]
-            score = q[who] @ x[tile].T
-            score[q_id[who][:, None] == ids[tile][None]] = -np.inf
+            score = inner(q[who], x[tile])
+            score[q_id[who][:, None] == ids[tile][None]] = NONE
             top[who] = best(np.concatenate([top[who], score], axis=1), k)
             reach[who] = np.maximum(reach[who], top[who].min(axis=1))
-            i, j = np.nonzero((score >= reach[who, None]) & (score > -np.inf))
+            i, j = np.nonzero((score >= reach[who, None]) & (score > NONE))
             rows.append(who[i])
             found.append(ids[tile[j]])
             scores.append(score[i, j])
     if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     rows, found, scores = np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
     keep = scores >= reach[rows]
     rows, found, scores = rows[keep], found[keep], scores[keep]
@@ -147,13 +165,13 @@ def pack_blocks(vectors: DataFrame, size: int, pivots: np.ndarray, width: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column("v").to_pylist(), width)
+            x = matrix(batch.column("v").to_pylist(), width, np.int64)
             ids = batch.column("vec_id").to_numpy()
-            near = distances(x, pivots)
+            near = distances(x.astype(np.float64), pivots)
             order = np.lexsort((near.min(axis=1), near.argmin(axis=1)))
             for at in range(0, len(order), size):
                 rows = order[at:at + size]
-                yield pa.record_batch([pa.array([ids[rows].tobytes()]), pa.array([x[rows].astype(np.int64).tobytes()])], names=["ids", "x"])
+                yield pa.record_batch([pa.array([ids[rows].tobytes()]), pa.array([x[rows].tobytes()])], names=["ids", "x"])
 
     return vectors.mapInArrow(run, "ids binary, x binary")
 
@@ -168,8 +186,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     rows, facts = state.save_summing(vectors, width=F.lit(0))
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
     head = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    sample, sample_ids = matrix([r["v"] for r in head], width), np.array([r["vec_id"] for r in head], dtype=np.int64)
-    pivots = choose_pivots(sample)
+    sample, sample_ids = matrix([r["v"] for r in head], width, np.int64), np.array([r["vec_id"] for r in head], dtype=np.int64)
+    pivots = choose_pivots(sample.astype(np.float64))
     result = "query_id long, vec_id long, score long"
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -184,15 +202,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = [
-            (kind, np.frombuffer(ids, dtype=np.int64), np.frombuffer(x, dtype=np.int64).reshape(-1, width).astype(float))
+            (kind, np.frombuffer(ids, dtype=np.int64), np.frombuffer(x, dtype=np.int64).reshape(-1, width))
             for kind, ids, x in zip(group["kind"], group["ids"], group["x"], strict=True)
         ]
         _, q_id, q = next(p for p in parts if p[0] == 0)
-        known = q @ sample.T
-        known[q_id[:, None] == sample_ids[None]] = -np.inf
+        known = inner(q, sample)
+        known[q_id[:, None] == sample_ids[None]] = NONE
         floor = best(known, k).min(axis=1)
         row, found, score = search(q_id, q, floor, [(i, x) for kind, i, x in parts if kind], pivots, k)
-        return pd.DataFrame({"query_id": q_id[row], "vec_id": found, "score": score.astype(np.int64)})
+        return pd.DataFrame({"query_id": q_id[row], "vec_id": found, "score": score})
 
     local = grid_q.unionByName(grid_c).groupBy("q", "stripe").applyInPandas(run, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -65,6 +65,20 @@ def test_topk_of_little(spark):
     assert [tuple(r) for r in topk.top_k(topk.quantized(two), F.col("vec_id") == 0, 20).collect()] == [(0, 1, 1, -4096)]
 
 
+def test_scores_beyond_doubles(spark):
+    """Scores near 2^60 whose differences doubles can't hold, with ties only in floating point."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(120_000_000, 120_000_040, 16) / 64).tolist()) for i in range(120)]
+    ints = {i: [int(64 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in (0, 20, 40, 60, 80, 100):
+        ranked = sorted((-sum(x * y for x, y in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:20]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)}
+    assert min(s for *_, s in want) > 2**57
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in topk.top_k(topk.quantized(table), F.pmod("vec_id", F.lit(20)) == 0, 20).collect()} == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, q = np.floor(64 * rng.normal(size=(200, 8))), np.floor(64 * rng.normal(size=(9, 8)))

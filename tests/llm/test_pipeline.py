@@ -77,7 +77,8 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch):
     want = {}
     for i, r in root.items():
         want.setdefault(r, set()).add(i)
-    for bits in (1 << 28, 1 << 10):  # as it is, a full filter
+    for bits, few in ((1 << 28, similar.FEW), (1 << 10, 0)):  # as it is; a full filter and all rounds
+        monkeypatch.setattr(similar, "FEW", few)
         monkeypatch.setattr(similar, "FILTER_BITS", bits)
         monkeypatch.setattr(similar, "CHUNK_BITS", min(bits, 1 << 12))
         got = {}

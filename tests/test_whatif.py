@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from batchlens.operators import whatif as w
+from batchlens.operators.traverse import reachable
 
 NODE = "scenario_id string, node string, job_group_id string, is_root boolean, delay_ms long, dur long, deadline_ms long, executed_ms long"
 
@@ -134,3 +137,13 @@ def test_source_types_are_normalised(spark):
 
     df = spark.createDataFrame([("Job-Group",), (" jobgroup ",), ("SIC",), ("planet",), (None,)], "t string")
     assert [r.k for r in df.select(w.source_kind(F.col("t")).alias("k")).collect()] == ["job_group", "job_group", "sic", None, None]
+
+
+def test_stored_pairs_are_not_broadcast_by_their_file_size(spark):
+    """Names that repeat make small files; the rows are what a broadcast would put into the driver."""
+    pairs = spark.range(400_000).select(F.format_string("SC_%010d", F.col("id") % 40).alias("scenario_id"), F.format_string("SIC_%010d", F.floor(F.col("id") / 40)).alias("node"))
+    edges = spark.createDataFrame([("a", "b")], "src_id string, dst_id string")
+    walked = reachable(edges, pairs, ["scenario_id"])
+    met = walked.join(walked.withColumnRenamed("distance", "again"), ["scenario_id", "node"])
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 400_000

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from batchlens.operators import codeops, codescan, traverse
+from batchlens.operators.codeops import returned_classes
 
 
 def methods(spark, *sources):
@@ -54,3 +57,20 @@ def test_tables_of_statements(spark):
 def test_nested_generics(spark):
     df = spark.createDataFrame([("m(A<B<C<D<E<F<G>>>>>>, H <I>)",), ("plain()",), (None,)], "s string")
     assert [r[0] for r in df.select(codescan.erased_key(df["s"])).collect()] == ["m(A,H)", "plain()", None]
+
+
+def test_calls_that_hang_on_no_other_are_spread(spark):
+    raw = spark.range(1000).select(
+        F.format_string("m%d", "id").alias("src_fqn"), F.lit("C").alias("target_class"), F.lit("read").alias("name"),
+        F.when(F.col("id") == 0, "C").alias("via_class"), F.when(F.col("id") <= 1, "read").alias("via_name"))
+    methods = spark.createDataFrame([("C.read_2()", "C", "read", "E"), ("C.read_1()", "C", "read", "D")], "fqn string, class_fqn string, name string, return_class string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = returned_classes(raw, methods).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 1000 and {r["src_fqn"]: r["returned"] for r in rows if r["returned"]} == {"m0": "D"}
+    assert len({r["part"] for r in rows if r["via_class"] is None}) > 1

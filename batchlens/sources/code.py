@@ -153,8 +153,8 @@ DDL_KEY = ["name", "type", "schema_name", "package_name"]
 def load_ddl_resources(ddl: DataFrame) -> DdlResources:
     """Distinct objects with a stable id, and file to object edges; missing name parts compare equal."""
     ident = F.concat(F.lit("DDL_"), F.sha2(F.concat_ws("\u0001", *(F.coalesce(c, F.lit("\u0000")) for c in DDL_KEY)), 256))
-    keyed = ddl.select(*DDL_KEY, "path", ident.alias("id"))
-    return DdlResources(keyed.select("id", *DDL_KEY).distinct(), keyed.select("path", F.col("id").alias("resource_id")).distinct())
+    resources = ddl.select(*DDL_KEY).distinct().select(ident.alias("id"), *DDL_KEY)  # the id follows from the key and is not carried through the shuffle
+    return DdlResources(resources, ddl.select("path", *DDL_KEY).distinct().select("path", ident.alias("resource_id")).distinct())
 
 
 def mark_duplicate_resources(ddl: DataFrame) -> DataFrame:

@@ -250,12 +250,20 @@ def _tails(path: Column) -> Column:
 
 def link_script_sql(scripts: DataFrame, sqls: DataFrame) -> DataFrame:
     """Edges from scripts (id, text) to the SQL files (id, path) they call: one path ends with the other."""
-    refs = scripts.select(F.col("id").alias("script_id"), F.explode(sql_files_in_script(F.col("text"))).alias("ref"))
-    whole = F.array_join(path_parts(F.col("ref")), "/")
-    files = sqls.select(F.col("id").alias("sql_id"), F.array_join(path_parts(F.col("path")), "/").alias("full"), F.explode(_tails(F.col("path"))).alias("tail"))
-    longer = refs.select("script_id", whole.alias("tail")).join(files, "tail").select("script_id", "sql_id")
-    shorter = refs.select("script_id", F.explode(_tails(F.col("ref"))).alias("full")).join(files.select("sql_id", "full").distinct(), "full").select("script_id", "sql_id")
-    return longer.unionByName(shorter).distinct().withColumn("execution_type", F.lit("SQL_SCRIPT"))
+    plain = lambda path: F.array_join(path_parts(F.col(path)), "/")
+    refs = scripts.select(F.col("id").alias("script_id"), F.explode(sql_files_in_script(F.col("text"))).alias("ref")).select("script_id", plain("ref").alias("whole")).distinct()
+    files = sqls.select(F.col("id").alias("sql_id"), plain("path").alias("full")).distinct()
+    # paths are matched before ids come in, so edges, far more than either, need no shuffle
+    asked, known = refs.select("whole").distinct(), files.select("full").distinct()
+    longer = asked.withColumn("tail", F.col("whole")).join(known.select("full", F.explode(_tails(F.col("full"))).alias("tail")), "tail").select("whole", "full")
+    shorter = asked.select("whole", F.explode(_tails(F.col("whole"))).alias("full")).join(known, "full").select("whole", "full")
+    called = refs.join(longer.unionByName(shorter).distinct(), "whole").select("script_id", "full").distinct()
+    # only a file id that stands for several paths can meet a script twice
+    paths = files.groupBy("sql_id").agg(F.count("*").alias("paths"), F.min("full").alias("full"))
+    once = called.join(paths.where("paths = 1 AND sql_id IS NOT NULL"), "full").select("script_id", "sql_id")
+    unnamed = called.join(files.where("sql_id IS NULL"), "full").select("script_id", "sql_id")
+    several = called.join(files.join(paths.where("paths > 1").select("sql_id"), "sql_id"), "full").select("script_id", "sql_id")
+    return once.unionByName(several.unionByName(unnamed).distinct()).withColumn("execution_type", F.lit("SQL_SCRIPT"))
 
 
 class CodeTables(NamedTuple):

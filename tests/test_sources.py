@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from batchlens.functions import clock as ck
 from batchlens.operators import codescan, graphview, performance
 from batchlens.sources import code, runs, tree, upsert
+from batchlens.sources.code import link_script_sql, load_ddl_resources
 
 
 def test_upsert_modes_and_null_keys(spark):
@@ -144,3 +145,22 @@ def test_old_versions_and_orphans_go(spark, tmp_path):
     used = {f for v in (4, 5) for f in t._state(v)["parts"].values()}
     left = {str(p) for p in (tmp_path / "t").glob("0000000[1-5]-*/_part=*")}
     assert left == used and t.expire(2) == 0
+
+
+def test_edges_of_scripts_are_not_shuffled_and_come_once(spark):
+    scripts = spark.createDataFrame([("a", "@/x/q.sql @/y/q.sql"), ("a", "@/x/q.sql"), ("b", "@/q.sql"), (None, "@/y/q.sql"), ("c", None)], "id string, text string")
+    sqls = spark.createDataFrame(
+        [("1", "/x/q.sql"), ("1", "/x/q.sql"), ("2", "/x/q.sql"), ("2", "/y/q.sql"), (None, "q.sql"), (None, "/z/q.sql"), ("3", "/w/x/q.sql"), ("4", "/x/Q.sql"), ("5", None)], "id string, path string")
+    edges = link_script_sql(scripts, sqls)
+    got = sorted((str(r["script_id"]), str(r["sql_id"])) for r in edges.collect())
+    want = [("None", "2"), ("None", "None"), ("a", "1"), ("a", "2"), ("a", "3"), ("a", "None"), ("b", "1"), ("b", "2"), ("b", "3"), ("b", "None")]
+    assert got == want
+    assert "Union" in edges._jdf.queryExecution().analyzed().toString().splitlines()[1]
+
+
+def test_ids_of_ddl_resources_are_not_shuffled(spark):
+    ddl = spark.createDataFrame([("f", 1, "TABLE", None, None, "T"), ("g", 1, "TABLE", None, None, "T"), ("f", 2, "VIEW", "S", None, "T")], "path string, pos int, type string, schema_name string, package_name string, name string")
+    loaded = load_ddl_resources(ddl)
+    assert loaded.resources.count() == 2 and loaded.creates.count() == 3
+    assert loaded.creates.join(loaded.resources, loaded.creates["resource_id"] == loaded.resources["id"]).count() == 3
+    assert "sha2" not in loaded.resources.drop("id")._jdf.queryExecution().optimizedPlan().toString()

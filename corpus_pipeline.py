@@ -8,9 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from batchlens.llm import langid, packing, similar, substring
+from batchlens.llm import langid, packing, simhash, similar, substring
 from batchlens.llm.common import table
-from batchlens.session import work_dir
+from batchlens.session import LoopState, work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,8 +21,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of five-word shingles of at least 0.8 the document with the smallest id stays."""
-    return similar.keep_first(docs)
+    """Of each group of near copies the document with the smallest id stays.
+
+    Groups are first those of op5: SimHash fingerprints that differ in at most two bits.  Of what stays, documents linked by a similarity of
+    five-word shingles of at least 0.8, which fingerprints don't tell from others, are grouped too.
+    """
+    state = LoopState(spark, "near-dedup")
+    first, _ = state.save(simhash.keep_first(docs))
+    kept, _ = state.save(similar.keep_first(first))
+    state.drop(first)
+    return kept
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,18 @@ def test_calls_that_hang_on_no_other_are_spread(spark):
             spark.conf.set(k, v)
     assert len(rows) == 1000 and {r["src_fqn"]: r["returned"] for r in rows if r["returned"]} == {"m0": "D"}
     assert len({r["part"] for r in rows if r["via_class"] is None}) > 1
+
+
+def test_paths_of_unresolved_methods_take_the_lowest_caller(spark):
+    """Several paths of one length, a longer one, and circles back into them; each hop reads what the walk has found."""
+    calls = [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("e", "f"), ("a", "f"), ("f", "d"), ("x", "e")]
+    edges = spark.createDataFrame([*calls, ("a", "b")], "src_fqn string, dst_fqn string")
+    entries = spark.createDataFrame([("s", "a"), ("s", "a"), ("t", "x")], "step_id string, method_fqn string")
+    ops = spark.createDataFrame([(m, "DB", "SELECT:DYNAMIC_TABLE:LOW") for m in ("d", "e", "x")] + [("f", "DB", "SELECT:T:LOW")], "method_fqn string, kind string, op string")
+    found = codeops.trace_unknown(entries, edges, ops)
+    assert {(r.step_id, r.method_fqn, r.distance) for r in found.methods.collect()} == {("s", "d", 2), ("s", "e", 3), ("t", "x", 0), ("t", "e", 1), ("t", "d", 3)}
+    paths = {}
+    for r in found.path.collect():
+        paths.setdefault((r.step_id, r.method_fqn), {})[r.position] = r.on_path
+    assert {k: "".join(v[i] for i in sorted(v)) for k, v in paths.items()} == {
+        ("s", "d"): "abd", ("s", "e"): "abde", ("t", "x"): "x", ("t", "e"): "xe", ("t", "d"): "xefd"}

@@ -183,3 +183,12 @@ def test_asked_pairs_equal_the_closure(spark):
         rows = got.pairs.collect()
         assert {(r.src_id, r.dst_id): r.reachable for r in rows} == want and len(rows) == len(want)
         assert got.searched < len(pairs) / 4  # labels decide most pairs
+
+
+def test_a_walk_may_write_rows_in_proportion_to_its_links(spark):
+    """A few rows for each link are cheaper than facts of whole components, however many links there are."""
+    e = frame(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)] + [(f"n{i}", f"m{i}") for i in range(6)], "src_id string, dst_id string")
+    roots = frame(spark, [(f"n{i}", f"n{i}") for i in range(7)], "root string, node string")
+    assert tr.reachable(e, roots, most=10) is None
+    assert tr.reachable(e, roots, most=10, per_links=2).count() == 49  # twelve links: sixty rows
+    assert tr.reachable(e, roots, most=10, per_links=12) is None

@@ -1,6 +1,7 @@
 """Loops against plain-Python walks over small random graphs."""
 
 import random
+import time
 from collections import deque
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from batchlens.functions.ranking import group_index
 from batchlens.operators import condense, reachindex
 from batchlens.operators import traverse as tr
+from batchlens.session import SHUFFLES_GO, LoopState
 
 
 def frame(spark, rows, schema):
@@ -192,3 +194,19 @@ def test_a_walk_may_write_rows_in_proportion_to_its_links(spark):
     assert tr.reachable(e, roots, most=10) is None
     assert tr.reachable(e, roots, most=10, per_links=2).count() == 49  # twelve links: sixty rows
     assert tr.reachable(e, roots, most=10, per_links=12) is None
+
+
+def test_shuffles_behind_a_written_table_go(spark):
+    def held():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+
+    state = LoopState(spark, "shuffled")
+    spark._jvm.System.gc()
+    before, setting = held(), spark.conf.get(SHUFFLES_GO)
+    stored, n = state.save(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")))
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before and spark.conf.get(SHUFFLES_GO) == setting
+    assert n == 10 and {(r.k, r.n) for r in stored.collect()} == {(k, 100) for k in range(10)}

@@ -147,3 +147,17 @@ def test_stored_pairs_are_not_broadcast_by_their_file_size(spark):
     met = walked.join(walked.withColumnRenamed("distance", "again"), ["scenario_id", "node"])
     assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
     assert met.count() == 400_000
+
+
+def test_links_are_freed_of_repeats_before_the_joins_and_only_there(spark):
+    """Links outnumber nodes: a distinct over them, and further ones in levels and waves, were most of the projection's shuffles."""
+    nodes = spark.createDataFrame([("s", "a"), ("s", "a"), ("s", "b"), ("s", "c"), ("t", "b"), ("t", "c"), (None, "a")], "scenario_id string, node string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), (None, "a")], "src_id string, dst_id string")
+    links = w.scenario_edges(nodes, edges)
+    assert sorted(tuple(r) for r in links.collect()) == [("s", "a", "b"), ("s", "a", "c"), ("s", "b", "c"), ("t", "b", "c")]
+    assert not links._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    known = nodes.where("scenario_id IS NOT NULL").distinct().withColumn("dur", F.lit(5).cast("bigint"))
+    placed = w.with_levels(known, links, induced=True)
+    assert sorted(tuple(r) for r in placed.collect()) == sorted(tuple(r) for r in w.with_levels(known, links).collect())
+    tails = [sorted(tuple(r) for r in w.downstream_tail(placed, e).collect()) for e in (links, links.unionByName(links))]
+    assert tails[0] == tails[1] == [("s", "a", 10), ("s", "b", 5), ("s", "c", 0), ("t", "b", 5), ("t", "c", 0)]

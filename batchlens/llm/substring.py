@@ -33,6 +33,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from batchlens.llm import rolling, spans
 from batchlens.llm.common import bytes_of, let_go, slices
+from batchlens.session import LoopState
 
 WINDOW = 35
 GRAM = 12
@@ -171,7 +172,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(rest, text, n_words, n_removed, kept_sha256, kept): every row with ``rest`` of its columns and its text without repeated words."""
-    found = spans.with_spans(docs, repeats(docs))
+    # written first: the windows' shuffle files, the larger part, go before the texts are shuffled
+    stored, _ = LoopState(docs.sparkSession, "repeats").save(repeats(docs))
+    found = spans.with_spans(docs, stored)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):

@@ -98,3 +98,9 @@ def test_repeats_without_spark(mode):
 def test_spans_cover():
     assert spans.covered(5, None).tolist() == [False] * 5
     assert spans.covered(5, [{"first": 0, "last": 2}, {"first": 1, "last": 3}]).tolist() == [True] * 3 + [False] * 2
+
+
+def test_substring_spans_are_stored_before_the_texts_are_shuffled(docs):
+    """Else the shuffle files of all windows lie on disk beside those of the texts."""
+    plan = substring.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(bucket" not in plan

@@ -1,6 +1,7 @@
 """Projections against a sequential simulation of the documented order."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -161,3 +162,25 @@ def test_links_are_freed_of_repeats_before_the_joins_and_only_there(spark):
     assert sorted(tuple(r) for r in placed.collect()) == sorted(tuple(r) for r in w.with_levels(known, links).collect())
     tails = [sorted(tuple(r) for r in w.downstream_tail(placed, e).collect()) for e in (links, links.unionByName(links))]
     assert tails[0] == tails[1] == [("s", "a", 10), ("s", "b", 5), ("s", "c", 0), ("t", "b", 5), ("t", "c", 0)]
+
+
+def test_contexts_of_later_groups_are_not_shuffled_one_by_one(spark, monkeypatch):
+    """Only cells of a group meet the contexts already impacted; repeated and null ids stay as in a plain join."""
+    monkeypatch.setattr(w, "CELL", 2, raising=False)
+    sics = [("a0", "A"), ("b0", "B"), ("b1", "B"), ("b1", "B"), ("b2", "B"), ("b2", "C"), (None, "B"), ("c0", "C"), ("x", None), ("d0", "D")]
+    roots, already = [("s", "a0"), ("t", "b0"), ("u", "d0")], [("s", "a0"), ("s", "b2"), ("s", "b2"), ("t", "b0"), ("t", "b1"), ("t", "c0"), ("u", None)]
+    links = [("A", "B"), ("B", "C"), ("C", "B")]
+    below = {"A": "BC", "B": "BC", "D": ""}
+    home = {"a0": "A", "b0": "B", "d0": "D"}
+    want = sorted(((s, n) for s, r in roots for n, g in sics if g and g in below[home[r]] and (n is None or (s, n) not in already)), key=str)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = w.group_cascade(
+            spark.createDataFrame(roots, "scenario_id string, node string"), spark.createDataFrame(already, "scenario_id string, node string"),
+            spark.createDataFrame(sics, "id string, job_group_id string"), spark.createDataFrame(links, "src_id string, dst_id string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(((r.scenario_id, r.node) for r in got.collect()), key=str) == want
+        assert not re.search(r"hashpartitioning\(scenario_id#\d+, node#\d+", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

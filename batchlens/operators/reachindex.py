@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchlens.operators.condense import strong_components
+from batchlens.operators.condense import numbered, strong_components
 from batchlens.operators.traverse import waves
 from batchlens.session import LoopState
 
@@ -31,7 +31,7 @@ ORDERS = 3
 
 
 class ReachIndex(NamedTuple):
-    members: DataFrame  # node, component
+    members: DataFrame  # node, component (a number)
     labels: DataFrame  # component, level, tree, start, size, lo0, hi0, ...
     links: DataFrame  # src, dst: between components
 
@@ -45,7 +45,8 @@ def reach_index(nodes: DataFrame, edges: DataFrame) -> ReachIndex:
     """
     state = LoopState(nodes.sparkSession, "index")
     everything = nodes.select("node").unionByName(edges.select(F.col("src_id").alias("node"))).unionByName(edges.select(F.col("dst_id").alias("node"))).distinct()
-    members, _ = state.save(strong_components(everything, edges))
+    names, edges = numbered(everything, edges)
+    members, _ = state.save(strong_components(names.select(F.col("n").alias("node")), edges))
     src = members.select(F.col("node").alias("src_id"), F.col("component").alias("src"))
     dst = members.select(F.col("node").alias("dst_id"), F.col("component").alias("dst"))
     links, _ = state.save(edges.select("src_id", "dst_id").join(src, "src_id").join(dst, "dst_id").where("src <> dst").select("src", "dst").distinct())
@@ -69,10 +70,11 @@ def reach_index(nodes: DataFrame, edges: DataFrame) -> ReachIndex:
     downward = size.join(placed, "node", "left").select("node", (F.lit(top) - F.col("level")).alias("level"), F.coalesce("step", F.lit(0)).cast("bigint").alias("step"))
     tree_down = tree_up.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
     starts = waves(downward, tree_down, [], {"from_start": F.max("start"), "from_tree": F.max("tree")}, {
-        "start": (F.coalesce("from_start", F.lit(0)) + F.col("step")).cast("bigint"), "tree": F.coalesce(F.col("from_tree").cast("string"), F.col("node").cast("string"))})
+        "start": (F.coalesce("from_start", F.lit(0)) + F.col("step")).cast("bigint"), "tree": F.coalesce("from_tree", "node")})
     labels = bounds.select("node", *solved).join(size, "node").join(starts.select("node", "start", "tree"), "node")
     labels, _ = state.save(labels.withColumnRenamed("node", "component"))
-    return ReachIndex(members.select("node", "component"), labels, links)
+    members, _ = state.save(names.join(members.select(F.col("node").alias("n"), "component"), "n").select("node", "component"))
+    return ReachIndex(members, labels, links)
 
 
 def _verdict() -> Column:

@@ -126,6 +126,32 @@ def test_components_and_their_levels(spark):
         assert all(level[x] == level[want[x]] for x in nodes)
 
 
+def test_names_are_numbered_in_order_before_the_loops(spark, monkeypatch):
+    """Rounds shuffle numbers; the smallest number still has the smallest name."""
+    kinds, plain = [], condense.topological_levels
+    monkeypatch.setattr(condense, "topological_levels", lambda nodes, edges: kinds.append(nodes.schema["node"].dataType.typeName()) or plain(nodes, edges))
+    e = frame(spark, [("n10", "n9"), ("n9", "n10"), ("n9", "b"), ("b", "a"), ("outside", "a"), ("a", None)], "src_id string, dst_id string")
+    nodes = frame(spark, [("n9",), ("n10",), ("b",), ("a",), ("a",), (None,)], "node string")
+    rows = condense.strong_components(nodes, e).collect()
+    assert {(r.node, r.component) for r in rows} == {("n9", "n10"), ("n10", "n10"), ("b", "b"), ("a", "a"), (None, None)} and len(rows) == 5
+    assert kinds and set(kinds) == {"long"}
+
+
+def test_levels_leave_links_behind_that_are_used_up(spark, monkeypatch):
+    monkeypatch.setattr(tr, "REWRITTEN", 3)
+    rng, written = random.Random(5), []
+    plain = LoopState.drop
+    monkeypatch.setattr(LoopState, "drop", lambda self, table: written.append(table.columns) or plain(self, table))
+    nodes = [f"n{i:02d}" for i in range(14)]
+    edges = {(nodes[a], nodes[b]) for a, b in random_edges(rng, 14, 40, acyclic=True)}
+    want = {}
+    for x in nodes:
+        want[x] = max([want[a] + 1 for a, b in edges if b == x], default=0)
+    got = tr.topological_levels(frame(spark, [(x,) for x in nodes], "node string"), frame(spark, list(edges), "src_id string, dst_id string")).collect()
+    assert {r.node: r.level for r in got} == want and not any(r.in_cycle for r in got)
+    assert len(written) > 1  # more than the one table of all links
+
+
 def test_nodes_behind_a_cycle_are_not_on_it(spark):
     e = frame(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "e")], "src_id string, dst_id string")
     got = {r.node: r.component for r in condense.cycle_members(frame(spark, [(x,) for x in "abcdef"], "node string"), e).collect()}

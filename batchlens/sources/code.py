@@ -216,14 +216,18 @@ def _segment_links(known: DataFrame) -> DataFrame:
 
 
 def match_by_common_key(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """Known script with the same file name whose path holds the wanted path's key (lowest id wins)."""
+    """Known script with the same file name whose path holds the wanted path's key (lowest id wins).
+
+    Names, keys and endings are many times larger than what the planner sees of
+    their tables, so both joins are told to sort: a broadcast would have to fit the driver.
+    """
     asked = wanted.select("want_id", file_name(F.col("path")).alias("name"), common_key(F.col("path")).alias("key")).where("key IS NOT NULL")
     halves = F.split("key", "/")
     keys = asked.select("name", "key").distinct().withColumn("ending", halves[0]).withColumn("begin", halves[1])
     have = known.select("id", "path", file_name(F.col("path")).alias("name"))
     links = _segment_links(have).groupBy("name", "ending", "second").agg(F.min("id").alias("id"))
-    found = keys.join(links, ["name", "ending"]).where(F.col("second").startswith(F.col("begin"))).groupBy("name", "key").agg(F.min("id").alias("resource_id"))
-    return asked.join(found, ["name", "key"]).select("want_id", "resource_id")
+    found = keys.hint("merge").join(links, ["name", "ending"]).where(F.col("second").startswith(F.col("begin"))).groupBy("name", "key").agg(F.min("id").alias("resource_id"))
+    return asked.hint("merge").join(found, ["name", "key"]).select("want_id", "resource_id")
 
 
 def match_sql_resource(wanted: DataFrame, known: DataFrame) -> DataFrame:

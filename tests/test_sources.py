@@ -164,3 +164,16 @@ def test_ids_of_ddl_resources_are_not_shuffled(spark):
     assert loaded.resources.count() == 2 and loaded.creates.count() == 3
     assert loaded.creates.join(loaded.resources, loaded.creates["resource_id"] == loaded.resources["id"]).count() == 3
     assert "sha2" not in loaded.resources.drop("id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scripts_are_matched_by_common_key_without_a_broadcast(spark):
+    """Names, keys and endings are far larger than the planner takes them for; a broadcast of them filled the driver."""
+    wanted = spark.createDataFrame(
+        [("w1", "/x/other-common/jobs/run1.sh"), ("w1", "/x/other-common/jobs/run1.sh"), ("w2", "/x/other-common/jobs/run2.sh"), ("w3", "/x/jobs/run1.sh"), (None, "/y/common/jobs/run1.sh"), ("w5", None)],
+        "want_id string, path string")
+    known = spark.createDataFrame(
+        [("k2", "apps\\batch-common\\jobs\\run1.sh"), ("k1", "/opt/myjobs/run1.sh"), ("k0", "/opt/jobs/old/run1.sh"), ("k3", "/opt/other/run2.sh"), (None, "/opt/jobs/run1.sh")],
+        "id string, path string")
+    got = code.match_by_common_key(wanted, known)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [("w1", "k1"), ("w1", "k1"), (None, "k1")]

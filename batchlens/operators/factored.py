@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from batchlens.operators import whatif as w
 from batchlens.operators.performance import avg_duration, circular_mean_finish
-from batchlens.operators.traverse import flip, reachable, topological_levels, waves
+from batchlens.operators.traverse import reachable, topological_levels, waves
 from batchlens.session import LoopState, plan_by_row_size
 
 KEY = ["scenario_id"]
@@ -39,9 +39,9 @@ class Parts(NamedTuple):
     state: LoopState
     scen: DataFrame  # scenario_id, delay_ms, days, kind (null without a later group); a row for each row of the scenarios
     reach: DataFrame  # scenario_id, node, distance: contexts below the roots
-    direct: DataFrame  # the same with all inputs: scenario_id, kind, node, job_group_id, is_root, delay_ms, deadline_ms, dur, duration_source, home, level
+    direct: DataFrame  # the same with all inputs: scenario_id, days, kind, node, job_group_id, is_root, delay_ms, deadline_ms, dur, duration_source, home, level
     attr: DataFrame  # days, node, job_group_id, deadline_ms, dur, duration_source, level: inputs of every context
-    member: DataFrame  # kind, node, job_group_id, deadline_ms, dur, duration_source, home, level: contexts of the later groups of a kind
+    member: DataFrame  # kind, days, node, job_group_id, deadline_ms, dur, duration_source, home, level: contexts of the later groups of a kind
     size: DataFrame  # kind, cells
     groups: DataFrame  # kind, job_group_id: later groups
     ordered: DataFrame  # src_id, dst_id, _from, _to: precedence with the places of both ends in the order
@@ -133,9 +133,9 @@ def impact_frame(
         return df.join(flags, ["kind", "job_group_id"], "left").withColumn("home", F.coalesce("home", F.lit(False)))
 
     inside = groups.join(member, "job_group_id").select("kind", "node").join(kinds.select("kind", "days"), "kind")
-    members, _ = state.save(flagged(inside.join(attr, ["days", "node"]).drop("days")))
+    members, _ = state.save(flagged(inside.join(attr, ["days", "node"])))
     size, _ = state.save(members.groupBy("kind").agg(F.ceil(F.count("*") / CELL).alias("cells")))
-    direct = reach.select("scenario_id", "node", (F.col("distance") == 0).alias("is_root")).join(scen, "scenario_id").join(attr, ["days", "node"]).drop("days")
+    direct = reach.select("scenario_id", "node", (F.col("distance") == 0).alias("is_root")).join(scen, "scenario_id").join(attr, ["days", "node"])
     ordered = between.drop("scenario_id").join(order.select(F.col("node").alias("src_id"), F.col("level").alias("_from")), "src_id").join(
         order.select(F.col("node").alias("dst_id"), F.col("level").alias("_to")), "dst_id")
     ordered, _ = state.save(ordered.select("src_id", "dst_id", "_from", "_to"))
@@ -190,3 +190,40 @@ def nodes(f: Impact) -> DataFrame:
     if f.parts is None:
         return f.whole.nodes.select(*cols)
     return f.parts.direct.select(*cols).unionByName(listed(f.parts, f.parts.member.select("kind", *cols[1:])).select(*cols))
+
+
+# ---- solving ---------------------------------------------------------------
+
+
+def _links(p: Parts, direct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links into contexts below a root: from others below it (with places in the order), and from listed ones (scenario_id, kind, src_id, dst_id)."""
+    ids = direct.select("scenario_id", "kind", "node").distinct()
+    into = ids.withColumnRenamed("node", "dst_id").join(p.ordered, "dst_id")
+    other = ids.select("scenario_id", F.col("node").alias("src_id"), F.lit(True).alias("near"))
+    found = into.join(other, ["scenario_id", "src_id"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    found, _ = p.state.save(found.where("near OR kind IS NOT NULL"), ["near"])
+    far = found.where("NOT near").join(p.member.select("kind", F.col("node").alias("src_id")).distinct(), ["kind", "src_id"], "left_semi")
+    return found.where("near").select("scenario_id", "src_id", "dst_id", "_from", "_to"), far.select("scenario_id", "kind", "src_id", "dst_id")
+
+
+def _links_of(p: Parts, nodes: DataFrame, key: str) -> DataFrame:
+    """(key, src_id, dst_id, _from, _to): links among the nodes of each kind, or of each date."""
+    ids = nodes.select(key, "node").distinct()
+    return ids.withColumnRenamed("node", "src_id").join(p.ordered, "src_id").join(ids.withColumnRenamed("node", "dst_id"), [key, "dst_id"], "left_semi")
+
+
+def propagated_delay(f: Impact) -> DataFrame:
+    """Largest delay reaching each impacted context; none reaches one that is not below a root."""
+    p = f.parts
+    if p is None:
+        return w.propagated_delay(f.whole.nodes, f.whole.links)
+    direct, _ = p.state.save(p.direct)
+    near, _ = _links(p, direct)
+    own = F.when(F.col("is_root"), F.col("delay_ms")).otherwise(F.lit(0))
+    came = F.when(F.col("home"), F.col("delay_home")).otherwise(F.col("delay_in"))  # root groups are solved first
+    solved = waves(
+        direct, near, KEY, {"delay_in": F.max("delay"), "delay_home": F.max(F.when(F.col("from_home"), F.col("delay")))},
+        {"delay": F.greatest(own, F.coalesce(came, F.lit(0))).cast("bigint"), "from_home": F.col("home")}, KEY, repeats_count=False,
+    ).select("scenario_id", "node", F.col("delay").alias("propagated_delay_ms"))
+    rest = listed(p, p.member.select("kind", "node")).withColumn("propagated_delay_ms", F.lit(0).cast("bigint"))
+    return solved.unionByName(rest)

@@ -74,10 +74,18 @@ def test_listed_contexts_are_not_shuffled_one_by_one(spark, both):
     assert any("Generate inline" in line for line in top) and not any("Join" in line for line in top[:2])
 
 
+def test_delays_are_those_of_all_rows(spark, both):
+    _, whole, parts = both
+    cols = ["scenario_id", "node", "propagated_delay_ms"]
+    assert rows_of(fw.propagated_delay(parts), cols) == rows_of(w.propagated_delay(whole.nodes, whole.links), cols)
+
+
 @pytest.mark.parametrize("odd", ["cycle", "negative"])
 def test_cycles_and_negative_durations_take_the_long_way(spark, odd):
     frames = make(spark, 5, **{odd: True})
     parts = fw.impact_frame(**frames)
     cols = ["scenario_id", "node", "dur"]
     assert parts.parts is None
-    assert rows_of(fw.nodes(parts), cols) == rows_of(w.impact_frame(**frames).nodes, cols)
+    whole = w.impact_frame(**frames)
+    assert rows_of(fw.nodes(parts), cols) == rows_of(whole.nodes, cols)
+    assert fw.propagated_delay(parts).count() == whole.nodes.count()

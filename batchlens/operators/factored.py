@@ -227,3 +227,30 @@ def propagated_delay(f: Impact) -> DataFrame:
     ).select("scenario_id", "node", F.col("delay").alias("propagated_delay_ms"))
     rest = listed(p, p.member.select("kind", "node")).withColumn("propagated_delay_ms", F.lit(0).cast("bigint"))
     return solved.unionByName(rest)
+
+
+def finish_projection(f: Impact, anchor_ms: int = 0, latest: DataFrame | None = None, scenarios: DataFrame | None = None) -> DataFrame:
+    """Finish times from a start anchor; contexts that already ran, by ``latest`` on the scenario's date, stay where they are."""
+    p = f.parts
+    if p is None:
+        rows = f.whole.nodes
+        if latest is None:
+            rows = rows.withColumn("executed_ms", F.lit(None).cast("bigint"))
+        else:
+            rows = rows.join(w.actual_on_date(scenarios, latest).select("scenario_id", "node", "executed_ms"), ["scenario_id", "node"], "left")
+        return w.finish_projection(rows, f.whole.links, anchor_ms)
+
+    def with_runs(df: DataFrame) -> DataFrame:
+        if latest is None:
+            return df.withColumn("executed_ms", F.lit(None).cast("bigint"))
+        ran = p.dates.join(latest, "business_date").select("days", F.col("sic_id").alias("node"), F.col("end_time_ms").alias("executed_ms"))
+        return df.join(ran, ["days", "node"], "left")
+
+    direct, _ = p.state.save(with_runs(p.direct))
+    near, far = _links(p, direct)
+    rows = with_runs(p.member).withColumnRenamed("kind", "scenario_id").withColumn("is_root", F.lit(False)).withColumn("delay_ms", F.lit(0).cast("bigint"))
+    base = w.finish_projection(rows, _links_of(p, p.member, "kind").withColumnRenamed("kind", "scenario_id"), anchor_ms).withColumnRenamed("scenario_id", "kind")
+    before = far.join(base.select("kind", F.col("node").alias("src_id"), "baseline"), ["kind", "src_id"]).groupBy(
+        "scenario_id", F.col("dst_id").alias("node")).agg(F.max("baseline").alias("before_ms"))
+    solved = w.finish_projection(direct.join(before, ["scenario_id", "node"], "left"), near, anchor_ms)
+    return solved.unionByName(listed(p, base))

@@ -80,6 +80,13 @@ def test_delays_are_those_of_all_rows(spark, both):
     assert rows_of(fw.propagated_delay(parts), cols) == rows_of(w.propagated_delay(whole.nodes, whole.links), cols)
 
 
+def test_finishes_are_those_of_all_rows(spark, both):
+    _, whole, parts = both
+    cols = ["scenario_id", "node", "delay", "baseline", "projected"]
+    idle = whole.nodes.withColumn("executed_ms", F.lit(None).cast("bigint"))
+    assert rows_of(fw.finish_projection(parts, 5), cols) == rows_of(w.finish_projection(idle, whole.links, 5), cols)
+
+
 @pytest.mark.parametrize("odd", ["cycle", "negative"])
 def test_cycles_and_negative_durations_take_the_long_way(spark, odd):
     frames = make(spark, 5, **{odd: True})
@@ -88,4 +95,4 @@ def test_cycles_and_negative_durations_take_the_long_way(spark, odd):
     assert parts.parts is None
     whole = w.impact_frame(**frames)
     assert rows_of(fw.nodes(parts), cols) == rows_of(whole.nodes, cols)
-    assert fw.propagated_delay(parts).count() == whole.nodes.count()
+    assert fw.propagated_delay(parts).count() == fw.finish_projection(parts).count() == whole.nodes.count()

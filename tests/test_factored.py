@@ -87,6 +87,17 @@ def test_finishes_are_those_of_all_rows(spark, both):
     assert rows_of(fw.finish_projection(parts, 5), cols) == rows_of(w.finish_projection(idle, whole.links, 5), cols)
 
 
+def test_finishes_on_each_scenarios_date(spark):
+    frames = make(spark, 3)
+    whole, parts = w.impact_frame(**frames), fw.impact_frame(**frames, dated=True)
+    runs = [(f"S{i:02d}", day, i * 1000, 400_000 + i) for i in range(0, 26, 2) for day in ([DAY, NEXT] if i % 4 else [NEXT])]
+    latest = spark.createDataFrame(runs, "sic_id string, business_date date, duration_ms long, end_time_ms long")
+    cols = ["scenario_id", "node", "delay", "baseline", "projected"]
+    ran = w.actual_on_date(frames["scenarios"], latest).select("scenario_id", "node", "executed_ms")
+    want = w.finish_projection(whole.nodes.join(ran, ["scenario_id", "node"], "left"), whole.links)
+    assert rows_of(fw.finish_projection(parts, latest=latest, scenarios=frames["scenarios"]), cols) == rows_of(want, cols)
+
+
 @pytest.mark.parametrize("odd", ["cycle", "negative"])
 def test_cycles_and_negative_durations_take_the_long_way(spark, odd):
     frames = make(spark, 5, **{odd: True})

@@ -254,3 +254,55 @@ def finish_projection(f: Impact, anchor_ms: int = 0, latest: DataFrame | None =
         "scenario_id", F.col("dst_id").alias("node")).agg(F.max("baseline").alias("before_ms"))
     solved = w.finish_projection(direct.join(before, ["scenario_id", "node"], "left"), near, anchor_ms)
     return solved.unionByName(listed(p, base))
+
+
+def downstream_tail(f: Impact) -> DataFrame:
+    """Longest run time after each impacted context; null where its own duration is unknown.
+
+    All that follows a context below a root is below it too, so its tail is
+    that of the whole graph.  A listed context has the tail of its kind, unless
+    a link into a context below a root makes it longer.
+    """
+    p = f.parts
+    if p is None:
+        return w.downstream_tail(f.whole.nodes, f.whole.links)
+
+    def tails(nodes: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        links, _ = p.state.save(_links_of(p, nodes, key), ["_from"])
+        out = w.downstream_tail(nodes.withColumnRenamed(key, "scenario_id"), links.select(F.col(key).alias("scenario_id"), "src_id", "dst_id"))
+        after, _ = p.state.save(out.withColumnRenamed("scenario_id", key))
+        longest = nodes.groupBy(key, "node").agg(F.max("dur").alias("dur"), F.first("level").alias("level")).where("dur IS NOT NULL")
+        return after, p.state.save(longest.join(after.groupBy(key, "node").agg(F.max("downstream_after_ms").alias("after")), [key, "node"]))[0], links
+
+    all_after, all_ends, _ = tails(p.attr, "days")
+    kind_after, kind_ends, kind_links = tails(p.member, "kind")
+    days = p.scen.where("kind IS NOT NULL").select("kind", "days").distinct()
+    _, far = _links(p, p.state.save(p.direct.select("scenario_id", "kind", "node"))[0])
+    ends = all_ends.select("days", F.col("node").alias("dst_id"), (F.col("dur") + F.col("after")).alias("best"))
+    into = far.join(days, "kind").join(ends, ["days", "dst_id"]).groupBy("scenario_id", "kind", F.col("src_id").alias("node")).agg(F.max("best").alias("best"))
+    into, top = p.state.save_largest(into.join(kind_ends, ["kind", "node"]).where("best > after").select("scenario_id", "kind", "node", "best", "level"), top=F.col("level"))
+    leads: dict[int, list[int]] = {}
+    for row in kind_links.select("_from", "_to").distinct().collect():  # pairs of levels
+        leads.setdefault(row["_from"], []).append(row["_to"])
+    rounds: dict[int, DataFrame] = {}
+    for level in range(top["top"], -1, -1):
+        here = into.where(F.col("level") == level).select("scenario_id", "kind", "node", "best")
+        below = [rounds[n] for n in sorted(leads.get(level, [])) if n in rounds]
+        if below:
+            step = kind_links.where(F.col("_from") == level).select("kind", F.col("src_id").alias("node"), "dst_id")
+            longer = p.state.union_of(below).select("scenario_id", "kind", F.col("node").alias("dst_id"), (F.col("dur") + F.col("best")).alias("best"))
+            here = here.unionByName(longer.join(step, ["kind", "dst_id"]).select("scenario_id", "kind", "node", "best"))
+        here = here.groupBy("scenario_id", "kind", "node").agg(F.max("best").alias("best"))
+        here = here.join(kind_ends.where(F.col("level") == level).select("kind", "node", "dur", "after"), ["kind", "node"]).where("best > after")
+        saved, count = p.state.save(here.select("scenario_id", "kind", "node", "dur", "best"))
+        if count:
+            rounds[level] = saved
+    near = p.reach.select("scenario_id", "node").join(p.scen.select("scenario_id", "days"), "scenario_id").join(all_after, ["days", "node"])
+    near = near.select("scenario_id", "node", "downstream_after_ms")
+    if not rounds:
+        return near.unionByName(listed(p, kind_after))
+    changed = _placed(p, p.state.union_of(list(rounds.values())).select("scenario_id", "kind", "node", "best"))
+    changed = changed.groupBy("scenario_id", "cell").agg(F.collect_list(F.struct("node", "best")).alias("longer"))
+    own = F.get(F.filter("longer", lambda x: x["node"] == F.col("node")), F.lit(0))["best"]
+    after = F.when(F.col("downstream_after_ms").isNotNull(), F.greatest("downstream_after_ms", own))
+    return near.unionByName(listed(p, kind_after, changed=changed).select("scenario_id", "node", after.alias("downstream_after_ms")))

@@ -87,6 +87,12 @@ def test_finishes_are_those_of_all_rows(spark, both):
     assert rows_of(fw.finish_projection(parts, 5), cols) == rows_of(w.finish_projection(idle, whole.links, 5), cols)
 
 
+def test_tails_are_those_of_all_rows(spark, both):
+    _, whole, parts = both
+    cols = ["scenario_id", "node", "downstream_after_ms"]
+    assert rows_of(fw.downstream_tail(parts), cols) == rows_of(w.downstream_tail(whole.nodes, whole.links), cols)
+
+
 def test_finishes_on_each_scenarios_date(spark):
     frames = make(spark, 3)
     whole, parts = w.impact_frame(**frames), fw.impact_frame(**frames, dated=True)
@@ -106,4 +112,4 @@ def test_cycles_and_negative_durations_take_the_long_way(spark, odd):
     assert parts.parts is None
     whole = w.impact_frame(**frames)
     assert rows_of(fw.nodes(parts), cols) == rows_of(whole.nodes, cols)
-    assert fw.propagated_delay(parts).count() == fw.finish_projection(parts).count() == whole.nodes.count()
+    assert fw.propagated_delay(parts).count() == fw.downstream_tail(parts).count() == fw.finish_projection(parts).count() == whole.nodes.count()
